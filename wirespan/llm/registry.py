@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name: module of this subpackage that has it and, where SQL can express it, ORACLE_SQL.
 MODULES = {
     "op1_near_dedup": "near_dedup",
+    "op2_line_dedup": "line_dedup",
     "op3_exact_dedup": "exact_dedup",
     "op4_packing": "packing",
     "op5_url_filter": "url_filter",
