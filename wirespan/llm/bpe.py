@@ -33,7 +33,7 @@ from wirespan.llm.memo import Memo, slices
 
 NONE = np.int64(1) << 62
 #: Leaves worked on at a time.
-LEAVES = 1 << 20
+LEAVES = 1 << 17
 
 
 class WordBpe:
@@ -176,11 +176,10 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", into: str =
     def run(batches):
         bpe = word_bpe(tokenizer)
         for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            for part in slices(texts):
-                rest = batch.slice(part.start, part.stop - part.start)
+            for part, texts in slices(batch.column(text_at)):
+                rest = batch.slice(part.start, len(texts))
                 columns = [c for i, c in enumerate(rest.columns) if i != text_at]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(bpe.encode(texts[part]), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bpe.encode(texts), pa.binary())], names)
 
     kept = [c for c in docs.columns if c not in (into, text_col)]
     source = docs.select(*kept, text_of(text_col).alias(text_col))

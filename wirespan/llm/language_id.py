@@ -149,13 +149,12 @@ def identify(docs: DataFrame, models: Models, text_col: str = "text") -> DataFra
     def run(batches):
         models = shared.value
         for batch in batches:
-            texts = [x or "" for x in batch.column(text_at).to_pylist()]
-            for part in slices(texts):
-                n = part.stop - part.start
+            for part, texts in slices(batch.column(text_at)):
+                n = len(texts)
                 lang, score, rate = ["und"] * n, np.zeros(n), np.full(n, np.nan)
-                lettered = [i for i, t in enumerate(texts[part]) if LETTER.search(t)] if models.languages else []
+                lettered = [i for i, t in enumerate(texts) if LETTER.search(t)] if models.languages else []
                 if lettered:
-                    data = [letters(texts[part.start + i]) for i in lettered]
+                    data = [letters(texts[i]) for i in lettered]
                     bits = models.bits(data)
                     best = bits.argmin(1)
                     least = bits[np.arange(len(data)), best]

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Characters worked on at a time, so that long texts do not add up in a task's memory.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 class Memo:
     """What ``encode_many`` gives for each word; a worker keeps the first ``limit`` words it met."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 300_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 100_000):
         self.encode_many, self.limit, self.known = encode_many, limit, {}
 
     def join(self, texts: list[list[str]]) -> list[bytes]:
@@ -26,13 +29,15 @@ class Memo:
         return out
 
 
-def slices(texts: list[str]) -> Iterator[slice]:
-    """Runs of texts with about SLICE_CHARS characters; a longer text is a run of its own."""
+def slices(column: pa.Array | list[str], most: int = SLICE_CHARS) -> Iterator[tuple[slice, list[str]]]:
+    """Runs of texts with about ``most`` characters, null as the empty text; a longer text is a run of its own."""
+    column = pa.array(column, pa.string()) if isinstance(column, list) else column
     begin = chars = 0
-    for i, text in enumerate(texts):
-        if chars and chars + len(text) > SLICE_CHARS:
-            yield slice(begin, i)
+    part = lambda a, b: (slice(a, b), [x or "" for x in column.slice(a, b - a).to_pylist()])
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(column), 0).to_pylist()):
+        if i > begin and chars + n > most:
+            yield part(begin, i)
             begin, chars = i, 0
-        chars += len(text)
-    if begin < len(texts):
-        yield slice(begin, len(texts))
+        chars += n
+    if begin < len(column):
+        yield part(begin, len(column))

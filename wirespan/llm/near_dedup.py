@@ -152,9 +152,8 @@ def common_shingles(texts: DataFrame, n: int, words: int) -> dict[int, float]:
 
     def each(batches):
         for batch in batches:
-            found = batch.column("text").to_pylist()
-            for part in slices(found):
-                yield shingles(found[part], words)[1]
+            for _, found in slices(batch.column("text")):
+                yield shingles(found, words)[1]
 
     def buckets(batches):
         counts = np.zeros(BUCKETS, np.int64)
@@ -198,10 +197,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
 
     def signatures(batches):
         for batch in batches:
-            found = batch.column("text").to_pylist()
-            for part in slices(found):
-                size = part.stop - part.start
-                text, code, count = shingles(found[part], words)
+            for part, found in slices(batch.column("text")):
+                size = len(found)
+                text, code, count = shingles(found, words)
                 weight = weights.value.of(code, count)
                 at = np.unique(text)
                 one, two, total = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size)
@@ -240,10 +238,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
 
     def verified(batches):
         for batch in batches:
-            a, b = batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist()
-            for part in slices([x + y for x, y in zip(a, b, strict=True)]):
-                size = part.stop - part.start
-                text, code, count = shingles([*a[part], *b[part]], words)
+            for part, a in slices(batch.column("a_text")):  # of similar length are only texts that are compared
+                size = len(a)
+                text, code, count = shingles([*a, *batch.column("b_text").slice(part.start, size).to_pylist()], words)
                 weight = weights.value.of(code, count)
                 cut = np.searchsorted(text, np.arange(2 * size + 1))
                 good = []
@@ -252,7 +249,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
                     _, x, y = np.intersect1d(code[left], code[right], assume_unique=True, return_indices=True)
                     both = np.minimum(weight[left][x], weight[right][y]).sum()
                     good.append(both >= threshold * (weight[left].sum() + weight[right].sum() - both) * (1 - 1e-12))
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in (batch.slice(part.start, size).column(0), batch.slice(part.start, size).column(1))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(part.start, size).filter(pa.array(good)) for k in (0, 1)], ["a", "b"])
 
     def check(pairs: DataFrame) -> DataFrame:
         right = bodies.select(F.col("v").alias("b"), F.col("text").alias("b_text"))
