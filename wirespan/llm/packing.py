@@ -31,8 +31,8 @@ LONGEST = 1024
 class ByteBpe:
     """Ids of a byte-level BPE whose pre-tokens never reach from a non-space over a following space."""
 
-    #: A space between white space (or at the end behind some): what precedes and follows it can't be encoded apart.
-    ENTANGLED = re.compile(r"\s (?:\s|\Z)")
+    #: Runs of white space of which more than the last is one pre-token, so that a text can't be encoded word by word.
+    ENTANGLED = re.compile(r"\s\s(?:\s|\Z)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,29 +42,32 @@ class ByteBpe:
         self.tokenizer.no_padding()
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        self.memo = Memo(self._words)
+        self.opens[[i for token, i in vocabulary.items() if token[0] in "ĠĊ"]] = True
+        self.memo = Memo(self._words, 400_000)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, keys: list[str]) -> list[bytes]:
-        """A key with a leading space is a text's first word, which has no space before it; all others have one."""
+        """A key is a word with the line end before it, if any; if none, a space goes before it, unless the key begins with one."""
         out: dict[str, bytes] = {}
-        plain = [k for k in keys if k and not any(map(str.isspace, k))]
-        for i in range(0, len(plain), 1000):  # one call for many words; each begins at a token with a space
+        plain = [k for k in keys if (k.isprintable() and k[:1] != " " and k) or (k[:1] == "\n" and len(k) > 1 and k[1:].isprintable())]
+        for i in range(0, len(plain), 1000):  # one call for many words; each begins at a token with a space or line end
             run = plain[i : i + 1000]
-            ids = self._ids(["".join([f" {k}" for k in run])])[0]
+            ids = self._ids(["".join([k if k[0] == "\n" else f" {k}" for k in run])])[0]
             raw, at = ids.tobytes(), (np.flatnonzero(self.opens[ids]) * 4).tolist()
             out |= zip(run, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)], strict=True)
         rest = [k for k in keys if k not in out]
-        out |= zip(rest, [x.tobytes() for x in self._ids([k[1:] if k[:1] == " " else f" {k}" for k in rest])], strict=True)
+        texts = [k[1:] if k[:1] == " " else k if k[:1] == "\n" else f" {k}" for k in rest]
+        out |= zip(rest, [x.tobytes() for x in self._ids(texts)], strict=True)
         return [out[k] for k in keys]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         whole = [i for i, t in enumerate(texts) if self.ENTANGLED.search(t)]
-        words = [[] if i in whole else t.split(" ") for i, t in enumerate(texts)] if whole else [t.split(" ") for t in texts]
+        words = [t.replace("\n", " \n").split(" ") for t in texts]
+        for i in whole:
+            words[i] = []
         for w in words:
             if w:
                 w[0] = f" {w[0]}"
@@ -97,10 +100,10 @@ def pack(docs: DataFrame, tokenizer: str, close_id: int = 0, longest: int = LONG
     def pieces(batches):
         bpe = byte_bpe(tokenizer)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for part in slices(texts):
+            ids = batch.column("doc_id")
+            for part, texts in slices(batch.column("text"), 4_000_000):
                 starts, lengths, blobs, totals, owner = [], [], [], [], []
-                for i, raw in enumerate(bpe.encode(texts[part]), part.start):
+                for i, raw in enumerate(bpe.encode(texts), part.start):
                     raw += close
                     at, n = 0, len(raw) // 4
                     for length in binary_pieces(n, longest):
