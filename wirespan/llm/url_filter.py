@@ -75,7 +75,7 @@ class Cascade:
         self.levels: list[Level] = []
         self.listed = listed.select("key").distinct()
         n = self.listed.count()
-        others = universe.select("key").join(self.listed, "key", "left_anti")
+        others = universe.select("key").distinct().join(self.listed, "key", "left_anti")
         size = others.agg(F.approx_count_distinct("key")).first()[0]  # only sizes the first level
         # The first level's rate lets about as many keys pass wrongly as are listed; all later levels halve what is left.
         rate = min(0.5, math.sqrt(0.5) * max(n, 1) / max(size, 1))
