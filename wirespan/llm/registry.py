@@ -11,6 +11,7 @@ MODULES = {
     "op3_exact_dedup": "exact_dedup",
     "op4_packing": "packing",
     "op5_url_filter": "url_filter",
+    "op6_lm_scoring": "lm_scoring",
     "op9_language_id": "language_id",
     "op10_bpe": "bpe",
 }
