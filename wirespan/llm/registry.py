@@ -12,6 +12,7 @@ MODULES = {
     "op4_packing": "packing",
     "op5_url_filter": "url_filter",
     "op6_lm_scoring": "lm_scoring",
+    "op7_html_text": "html_text",
     "op8_fingerprint": "fingerprint",
     "op9_language_id": "language_id",
     "op10_bpe": "bpe",
