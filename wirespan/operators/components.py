@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that spark.checkpoint.dir names (a temporary one only where it is unset)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+from wirespan.sources.tables import drop_tables, shared_table
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", salts: int = 8) -> DataFrame:
@@ -26,14 +18,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", salts: in
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("w")).where("u is not null and w is not null")
     both = edges.union(edges.select("w", "u")).distinct()
     salt, spread = F.pmod(F.hash("u"), F.lit(salts)), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    both = checkpointed(both.withColumn("salt", salt))
-    labels = checkpointed(both.groupBy("u").agg(F.least("u", F.min("w")).alias("label")).select(F.col("u").alias("v"), "label"))
+    both = shared_table(both.withColumn("salt", salt))
+    labels = shared_table(both.groupBy("u").agg(F.least("u", F.min("w")).alias("label")).select(F.col("u").alias("v"), "label"))
     while True:
         near = both.join(labels.select(F.col("v").alias("w"), F.col("label").alias("near"), spread.alias("salt")), ["w", "salt"])
         least = near.groupBy("u").agg(F.min("near").alias("near"))
         stepped = labels.join(least, labels.v == least.u).select("v", F.least("label", "near").alias("to"), "label")
         jump = labels.select(F.col("v").alias("to"), F.col("label").alias("further"))
-        new = checkpointed(stepped.join(jump, "to").select("v", F.least("to", "further").alias("label"), (F.least("to", "further") != F.col("label")).alias("moved")))
+        new = shared_table(stepped.join(jump, "to").select("v", F.least("to", "further").alias("label"), (F.least("to", "further") != F.col("label")).alias("moved")))
+        drop_tables(labels)
         labels = new.drop("moved")
         if not new.where("moved").limit(1).count():
+            drop_tables(both)
             return labels.select("v", F.col("label").alias("component"))
