@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirespan.sources.tables import shared_table
+
 #: ASCII white space, as a class body for regular expressions.
 SPACE = r"\x20\x09-\x0D"
 
@@ -16,14 +16,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that later jobs and lost executors reread it.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one is set.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    """df, computed once and kept in the shared folder, so that later jobs and lost executors reread it."""
+    return shared_table(df)
 
 
 def crc_mod(id_column: str, m: int) -> Column:

@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     tested = materialised(starred.select(F.col("hub.v").alias("a"), F.col("v").alias("b")).distinct())
     links = materialised(check(tested))
     parts = connected_components(links)
-    taken, step, most = 1, 3, members.agg(F.max("n")).first()[0] or 0
+    taken, step, most = 1, 15, members.agg(F.max("n")).first()[0] or 0
     # Further rounds: the next members, more each time, in buckets that span several components.
     while taken < most:
         at = members.where(F.col("n") > taken + 1).join(parts, "v", "left").withColumn("component", F.coalesce("component", "v"))
@@ -278,9 +278,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
         pairs = ranked.where(F.col("rank") > taken + 1).join(hub, "key").where(fits).select("a", F.col("v").alias("b")).distinct()
         pairs = materialised(pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.limit(1).count():
-            tested = tested.union(pairs)
-            links = materialised(links.union(check(pairs)))
-            parts = connected_components(links)
+            tested, new = tested.union(pairs), materialised(check(pairs))
+            if new.limit(1).count():
+                links = links.union(new)
+                parts = connected_components(links)
         taken, step = taken + step, step * 4
 
     named = vertices.join(parts, "v", "left").select(*sets, F.coalesce("component", "v").alias("component"), "first", "copies")
