@@ -54,6 +54,12 @@ def scene_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scene_pins(lines: DataFrame) -> DataFrame:
+    """Texts (page_id, sig_idx, raw_text, corners) around both ends of a page's first 8 lines; texts repeat."""
+    ends = lines.where("line_idx < 8").selectExpr("page_id", "inline(array(struct(line_idx * 2 as sig_idx, x1 as x, y1 as y), struct(line_idx * 2 + 1, x2, y2)))")
+    return ends.selectExpr("page_id", "sig_idx", "concat('P', (page_id * 7 + sig_idx * 3) % 6) as raw_text", "x - 12 as x1", "y - 6 as y1", "x + 14 as x2", "y + 8 as y2")
+
+
 def split_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Devices of which some are one box that a drawing splits: page_id, box_idx, corners; 6 a page in two columns."""
     h = table(spark, sf_dir, "customer").selectExpr("cast(c_custkey as bigint) as k", "(cast(c_custkey as bigint) * 15485863 + cast(c_nationkey as bigint) * 32452843 + 777) % 1000003 as h")
