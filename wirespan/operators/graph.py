@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wirespan.functions import geometry as g
 from wirespan.functions.params import DEFAULT, Params
 from wirespan.operators.components import connected_components
+from wirespan.sources.tables import shared_table
 
 KINDS = "case kind when 'device' then 0 when 'ground' then 1 else 2 end"
 
@@ -167,7 +168,7 @@ def contract(nodes: DataFrame, graph: DataFrame, lines: DataFrame, signals: Data
     Signals act in order, and a node that merged is gone for later ones. Where no node lies in two signals' boxes that is
     a relabelling of both ends of edges; pages where one does are worked off signal by signal in one task each.
     """
-    found = mergeable(nodes, lines, signals, boxes, p)
+    found = shared_table(mergeable(nodes, lines, signals, boxes, p))  # read four times below
     twice = found.groupBy("page_id", "jid").agg(F.count("*").alias("n")).where("n > 1").select("page_id").distinct()
     plain = chains(found.join(twice, "page_id", "left_anti"), p)
 

@@ -214,7 +214,7 @@ def flow() -> list[str]:
         "segxy as (select s.page_id, path, i, a.x as x, a.y as y, b.x as ex, b.y as ey from seg s join allnodes a on a.page_id = s.page_id and a.jid = ja join allnodes b on b.page_id = s.page_id and b.jid = jb)",
         f"lab as (select s.page_id, s.path, g.sig_idx, g.raw_text, bool_or({hits('s.x', 's.y', 's.ex', 's.ey', 'g')}) as hit, min({to_segment('(g.x1 + g.x2) / 2', '(g.y1 + g.y2) / 2', 's.x', 's.y', 's.ex', 's.ey')}) as d, bool_or((g.y1 + g.y2) / 2 < (s.y + s.ey) / 2 - 5) as above from segxy s join signals g on g.page_id = s.page_id group by all)",
         "best as (select page_id, path, raw_text from lab where hit or (above and d < 50) qualify row_number() over (partition by page_id, path order by case when hit then 0 else d end, sig_idx) = 1)",
-        "conn as (select p.page_id, a.raw_text as from_device, b.raw_text as to_device, a.kind as from_type, b.kind as to_type, case when a.kind = 'device' and b.kind = 'device' then coalesce(t.raw_text, '') end as signal, path[1] as from_entry, path[-1] as to_entry, path "
+        "conn as (select p.page_id, a.raw_text as from_device, b.raw_text as to_device, a.kind as from_type, b.kind as to_type, case when a.kind = 'device' and b.kind = 'device' then coalesce(t.raw_text, '') end as signal, p.path[1] as from_entry, p.path[-1] as to_entry, p.path "
         "from wpaths p join gids a on a.page_id = p.page_id and a.gid = from_gid join gids b on b.page_id = p.page_id and b.gid = to_gid left join best t on t.page_id = p.page_id and t.path = p.path)",
     ]
     return steps
