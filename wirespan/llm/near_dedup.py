@@ -11,14 +11,17 @@ then of the shingles in buckets that reach a tenth.
 Each document draws BANDS x ROWS consistent weighted samples, each of which two
 documents share with the probability of their weighted Jaccard similarity.
 Documents that share a band are candidates. Texts with equal weighted sets are
-one vertex from the start. In a bucket of candidates all are held against its
-least vertex. A bucket that then still spans several components is worked on:
-up to SMALL vertices, all pairs of different components are verified; a larger
-one, as of texts that share a passage and little else, is split by each further
-band, and its parts go through the same. At a similarity of 0.8 a pair shares
-one of 20 bands with a probability of 0.99997 and two with 0.9996. A pair is
-verified by its texts' weighted Jaccard similarity; pairs whose total weights
-exclude it are not looked up.
+one vertex from the start. In a bucket of candidates all are held against one
+of them, drawn by hash, so that a vertex meets another one in each band. A
+bucket that then still spans several components is worked on. In one of more
+than SMALL vertices, those outside its largest component meet HUBS more first.
+Where at most SMALL are outside after that, they are held against all others:
+SMALL times the bucket's size at most. A bucket with more, as of texts that
+share a passage and little else, is split by each further band, and its parts
+go through the same. At a similarity of 0.8 a pair shares one of 20 bands with
+a probability of 0.99997 and two with 0.9996. A pair is verified by its texts'
+weighted Jaccard similarity; pairs whose total weights exclude it are not
+looked up.
 
 A text of fewer than five words is one shingle; texts without words (null too)
 are equal. Rows are told apart by id and text, so repeated rows and ids are
@@ -43,8 +46,10 @@ WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
 COMMON = 0.1
 BUCKETS = 1 << 16
 SALTS = 16
-#: In buckets of up to so many vertices, all pairs of different components are verified; larger ones are split first.
+#: Up to so many vertices outside a bucket's largest component are held against all of the bucket; with more it is split.
 SMALL = 24
+#: Vertices of a large bucket that those outside its largest component are held against first.
+HUBS = 6
 BASE, MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -261,8 +266,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
 
     def check(pairs: DataFrame) -> DataFrame:
         right = bodies.select(F.col("v").alias("b"), F.col("text").alias("b_text"))
-        left = salted(bodies.select(F.col("v").alias("a"), F.col("text").alias("a_text")).join(pairs.select("a").distinct(), "a"))
-        both = pairs.join(right, "b").withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS))).join(left, ["a", "salt"])
+        dealt = pairs.withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS)))
+        # A text goes to as many tasks as its pairs are dealt to, not to all salts.
+        left = bodies.select(F.col("v").alias("a"), F.col("text").alias("a_text")).join(dealt.select("a", "salt").distinct(), "a")
+        both = dealt.join(right, "b").join(left, ["a", "salt"])
         return both.select("a", "b", "a_text", "b_text").mapInArrow(verified, "a bigint, b bigint")
 
     similar_size = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b) * (1 - 1e-12)
@@ -279,23 +286,42 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
             parts = connected_components(links)
 
     def still_open(rows: DataFrame) -> DataFrame:
-        """Rows of buckets that span several components, with their component."""
+        """Rows of buckets that span several components, with their component, the bucket's largest one, and how many are not in it."""
         at = rows.join(parts, "v", "left").withColumn("component", F.coalesce("component", "v"))
-        spans = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        return materialised(at.withColumn("salt", salt).join(salted(spans), ["key", "salt"]).select("key", "band", "v", "size", "n", "component"))
+        each = at.groupBy("key", "component").agg(F.count("*").alias("n_component"))
+        spans = each.groupBy("key").agg(F.max(F.struct("n_component", "component")).alias("main"), F.sum("n_component").alias("all"), F.count("*").alias("components"))
+        spans = spans.where("components > 1").select("key", F.col("main.component").alias("main"), (F.col("all") - F.col("main.n_component")).alias("outside"))
+        return materialised(at.withColumn("salt", salt).join(salted(spans), ["key", "salt"]).select("key", "band", "v", "size", "n", "component", "main", "outside"))
+
+    def hubs(rows: DataFrame, count: int) -> DataFrame:
+        """For each bucket, ``count`` of its vertices by hash (some may be the same)."""
+        drawn = [F.min_by(F.struct("v", "size", "component"), F.xxhash64("key", "v", F.lit(i))) for i in range(count)]
+        return rows.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("hubs"))
+
+    def against(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """Pairs of rows and the hubs of their buckets that differ in component and are of a similar size."""
+        met = rows.withColumn("salt", salt).join(salted(others), ["key", "salt"]).select("v", "size", "component", F.explode("hubs").alias("hub"))
+        met = met.where((F.col("hub.v") != F.col("v")) & (F.col("hub.component") != F.col("component")) & similar_size("size", "hub.size"))
+        return met.select(F.least("hub.v", "v").alias("a"), F.greatest("hub.v", "v").alias("b"))
+
+    def outsiders(rows: DataFrame) -> DataFrame:
+        """Pairs of vertices outside a bucket's largest component, and of these with all of it."""
+        out = rows.where("component != main").select("key", F.col("v").alias("o"), F.col("size").alias("o_size"), F.col("component").alias("o_component"))
+        out = out.groupBy("key").agg(F.collect_list(F.struct(F.col("o").alias("v"), F.col("o_size").alias("size"), F.col("o_component").alias("component"))).alias("hubs"))  # at most SMALL
+        return against(rows, out)
 
     current = members
     while True:
-        # All against the least vertex of their bucket.
-        hubs = current.groupBy("key").agg(F.min(F.struct("v", "size")).alias("hub"))
-        starred = current.withColumn("salt", salt).join(salted(hubs), ["key", "salt"]).where((F.col("hub.v") != F.col("v")) & similar_size("size", "hub.size"))
-        test(starred.select(F.col("hub.v").alias("a"), F.col("v").alias("b")).distinct())
+        first = current.withColumn("component", F.col("v"))
+        test(against(first, hubs(first, 1)).distinct())
         at = still_open(current)
-        few = at.where(F.col("n") <= SMALL)
-        left = few.select("key", F.col("v").alias("a"), F.col("size").alias("a_size"), F.col("component").alias("a_component"))
-        fits = (F.col("a") < F.col("v")) & (F.col("a_component") != F.col("component")) & similar_size("size", "a_size")
-        test(few.join(left, "key").where(fits).select("a", F.col("v").alias("b")).distinct())
-        many = still_open(at.where(F.col("n") > SMALL).drop("component"))
+        few, many = at.where(F.col("outside") <= SMALL), at.where(F.col("outside") > SMALL)
+        test(outsiders(few).union(against(many.where("component != main"), hubs(many, HUBS))).distinct())
+        at = still_open(many.drop("component", "main", "outside"))
+        if not at.limit(1).count():
+            break
+        test(outsiders(at.where(F.col("outside") <= SMALL)).distinct())
+        many = still_open(at.where(F.col("outside") > SMALL).drop("component", "main", "outside"))
         if not many.limit(1).count():
             break
         # Vertices that share a large bucket and are alike share a further band too: split the bucket by each later one.
