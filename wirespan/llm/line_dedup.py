@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirespan.llm.common import SPACE, materialised, read, text_of
-from wirespan.llm.near_dedup import SALTS, salted
+from wirespan.llm.near_dedup import BASE, SALTS, mixed, salted
 
 MIN_CHARS = 20
 #: Two primes below 2 ** 31 and the bases of polynomial hashes modulo them.
@@ -95,32 +95,32 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
     found = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id) & (texts.key == wanted.key)).select(texts.doc_id, texts.key, "text", "nos").dropDuplicates(["doc_id", "key"])
     pick = F.transform(F.array(F.split("text", "\n")), lambda all_: F.transform("nos", lambda no: F.struct(no.alias("no"), F.get(all_, no).alias("raw"))))[0]
     found = found.select("doc_id", "key", F.inline(pick))
-    bodies = materialised(found.select(where, trimmed(F.col("raw")).alias("line")))
+    # Numbers that rise with the lines' order stand for them below.
+    bodies = materialised(found.select(where, trimmed(F.col("raw")).alias("line")).orderBy("at").withColumn("number", F.monotonically_increasing_id()))
 
     def variants(batches):
         for batch in batches:
-            for k in range(len(batch)):
-                line = batch.column(1)[k].as_py()
+            for number, line in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 placed, plain, whole = variant_keys(line)
                 plain = np.unique(plain)
                 n, m = len(placed), len(plain)
-                keys = np.concatenate([placed, plain, np.array([whole], np.uint64)]).view(np.int64)
-                # Role 0: one of those that lack the same place; 1: lacks a character; 2: the line itself.
+                keys = np.concatenate([placed, plain, np.array([whole], np.uint64)])
+                # Role 0: one of those that lack the same place; 1: lacks a character; 2: the line itself. Equal keys have equal lengths.
                 role = np.repeat(np.array([0, 1, 2], np.int8), [n, m, 1])
-                size = np.repeat([n, n - 1, n], [n, m, 1])
-                at = pa.array(np.zeros(n + m + 1, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1).take(at), pa.array(role), pa.array(size), pa.array(keys)], ["at", "role", "size", "variant"])
-
-    schema = f"at {bodies.schema['at'].dataType.simpleString()}, role tinyint, size bigint, variant bigint"
-    made = materialised(bodies.mapInArrow(variants, schema))
-    first = lambda *roles: made.where(F.col("role").isin(*roles)).groupBy("variant", "size", *["role"] * (len(roles) > 1)).agg(F.min("at").alias("first"))
+                keys = mixed(keys ^ np.repeat(np.array([2 * n, 2 * n - 1, 2 * n + 1], np.uint64) * BASE, [n, m, 1]))
+                yield pa.RecordBatch.from_arrays([pa.repeat(number, n + m + 1), pa.array(role), pa.array(keys.view(np.int64))], ["number", "role", "variant"])
+
+    made = materialised(bodies.select("number", "line").mapInArrow(variants, "number bigint, role tinyint, variant bigint"))
+    of = lambda role: F.when(F.col("role") == role, F.col("number"))
+    firsts = made.groupBy("variant").agg(F.min(of(0)).alias("first0"), F.max(of(0)).alias("last0"), F.min(of(1)).alias("first1"), F.min(of(2)).alias("first2"))
+    firsts = firsts.where("first0 < last0 or first1 is not null and first2 is not null").drop("last0")
+    meets = made.withColumn("salt", F.pmod(F.hash("number"), F.lit(SALTS))).join(salted(firsts), ["variant", "salt"])
+    # Who lacks a character meets the line itself, and the reverse.
+    earlier = F.when(F.col("role") == 0, F.col("first0")).when(F.col("role") == 1, F.col("first2")).otherwise(F.col("first1"))
+    pairs = meets.select("number", earlier.alias("first")).where("first < number").distinct()
+    right = bodies.select(F.col("number").alias("first"), F.col("line").alias("earlier"))
+    near = pairs.join(bodies, "number").join(right, "first").where(F.levenshtein("line", "earlier", 1) >= 0).select("at").distinct()
     salt = F.pmod(F.hash("at"), F.lit(SALTS))
-    swapped = first(0).withColumn("role", F.lit(0).cast("tinyint"))
-    other = first(1, 2).withColumn("role", (3 - F.col("role")).cast("tinyint"))  # who lacks a character meets the line itself, and the reverse
-    meets = made.withColumn("salt", salt).join(salted(swapped.select("variant", "size", "role", "first").union(other.select("variant", "size", "role", "first"))), ["variant", "size", "role", "salt"])
-    pairs = meets.where(F.col("first") < F.col("at")).select("at", "first").distinct()
-    right = bodies.select(F.col("at").alias("first"), F.col("line").alias("earlier"))
-    near = pairs.join(bodies, "at").join(right, "first").where(F.levenshtein("line", "earlier", 1) >= 0).select("at").distinct()
     near = near.join(distinct, "at").select("h1", "h2", F.lit(True).alias("near"))
 
     repeated = distinct.where("n > 1").select("h1", "h2", F.col("at").alias("first"))
