@@ -68,7 +68,7 @@ class Models:
             inside = data != 0
             counts.append([np.unique(grams(data, k + 1)[inside], return_counts=True) for k in range(order + 1)])
         self.known, self.cost, self.contexts, self.escape = [], [], [], []
-        for k in range(order + 1):
+        for k in range(order + 1) if samples else ():
             known = np.unique(np.concatenate([c[k][0] for c in counts]))
             contexts = np.unique(known >> np.uint32(8))
             cost, escape = np.zeros((len(known), n)), np.zeros((len(contexts), n))

@@ -14,11 +14,12 @@ Documents that share a band are candidates. Texts with equal weighted sets are
 one vertex from the start. In a bucket of candidates all are held against one
 of them, drawn by hash, so that a vertex meets another one in each band. A
 bucket that then still spans several components is worked on. In one of more
-than SMALL vertices, those outside its largest component meet HUBS more first.
-Where at most SMALL are outside after that, they are held against all others:
-SMALL times the bucket's size at most. A bucket with more, as of texts that
-share a passage and little else, is split by each further band, and its parts
-go through the same. At a similarity of 0.8 a pair shares one of 20 bands with
+than SMALL vertices outside its largest component, those leave that can have no
+partner: what no other vertex of such buckets has is over a fifth of them, as
+with texts that share a passage and little else, or copies with many edits. The
+others meet HUBS more. Where at most SMALL are outside after that, they are
+held against all: SMALL times the bucket's size at most. A bucket with more is
+split by each further band, and its parts go through the same. At a similarity of 0.8 a pair shares one of 20 bands with
 a probability of 0.99997 and two with 0.9996. A pair is verified by its texts'
 weighted Jaccard similarity; pairs whose total weights exclude it are not
 looked up.
@@ -310,12 +311,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
         out = out.groupBy("key").agg(F.collect_list(F.struct(F.col("o").alias("v"), F.col("o_size").alias("size"), F.col("o_component").alias("component"))).alias("hubs"))  # at most SMALL
         return against(rows, out)
 
+    def shingled(batches):
+        for batch in batches:
+            for part, found in slices(batch.column(1)):
+                text, code, count = shingles(found, words)
+                owner = batch.column(0).slice(part.start, len(found)).take(pa.array(text))
+                yield pa.RecordBatch.from_arrays([owner, pa.array(code.view(np.int64)), pa.array(weights.value.of(code, count))], ["v", "code", "weight"])
+
+    def with_partners(rows: DataFrame) -> DataFrame:
+        """Rows of vertices of which others among the rows have enough: a similarity is at most the shared share of either text."""
+        codes = materialised(bodies.join(rows.select("v").distinct(), "v").select("v", "text").mapInArrow(shingled, "v bigint, code bigint, weight double"))
+        shared = codes.groupBy("code").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").select("code")
+        sums = codes.join(shared, "code").groupBy("v").agg(F.sum("weight").alias("held"))
+        return rows.join(sums, "v").where(F.col("held") >= threshold * F.col("size") * (1 - 1e-9)).drop("held")
+
     current = members
     while True:
         first = current.withColumn("component", F.col("v"))
         test(against(first, hubs(first, 1)).distinct())
         at = still_open(current)
         few, many = at.where(F.col("outside") <= SMALL), at.where(F.col("outside") > SMALL)
+        if not many.limit(1).count():
+            test(outsiders(few).distinct())
+            break
+        many = still_open(with_partners(many).drop("component", "main", "outside"))
         test(outsiders(few).union(against(many.where("component != main"), hubs(many, HUBS))).distinct())
         at = still_open(many.drop("component", "main", "outside"))
         if not at.limit(1).count():
