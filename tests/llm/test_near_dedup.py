@@ -117,3 +117,52 @@ def test_shingle_counts_are_exact():
     text, code, count = near_dedup.shingles(texts)
     assert sorted(Counter(text.tolist()).items()) == [(0, 6), (2, 1), (3, 1)]
     assert count.max() == 2 and set(code[text == 3]) <= set(code[text == 0])
+
+
+def test_similar_pairs_against_counts():
+    """Blocks of texts, with repeated shingles, shingles of few texts and of many, and texts without words."""
+    rng = random.Random(3)
+    base = rng.choices("abcdefgh", k=40)
+    texts = [" ".join(w if rng.random() < 0.97 else rng.choice("xyz") for w in base) for _ in range(60)] + ["", "a a a a a a a a", "one two", "one two"]
+    sets = [shingle_counts(t) for t in texts]
+    got = near_dedup.similar_pairs(texts[:50], texts[40:], near_dedup.Weights({}), 0.6, 5)
+    for i, x in enumerate(sets[:50]):
+        for j, y in enumerate(sets[40:]):
+            both = sum((x & y).values())
+            assert got[i, j] == (both >= 0.6 * (x.total() + y.total() - both) - 1e-9)
+
+
+def test_group_of_thousands(spark):
+    """Copies with so many edits that few pairs of them reach the threshold, though all share bands."""
+    import numpy as np
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    base = rng.choices(words, k=200)
+    rows = []
+    for i in range(2400):
+        text = list(base)
+        for at in rng.sample(range(200), rng.randint(2, 5)):
+            text[at] = f"edit{i}_{at}"
+        rows.append((i, " ".join(text)))
+    sets = [shingle_counts(t) for _, t in rows]
+    n, df = len(rows), Counter(s for x in sets for s in x)
+    idf = {s: max(0.5, min(1.0, np.log(n / d) / np.log(10))) for s, d in df.items() if d > 1}
+    column = {s: k for k, s in enumerate(idf)}
+    has = np.zeros((n, len(column)), np.float64)
+    for i, x in enumerate(sets):
+        assert max(x.values()) == 1
+        has[i, [column[s] for s in x if s in column]] = 1
+    both = (has * np.array(list(idf.values()))) @ has.T
+    total = np.array([sum(idf.get(s, 1.0) for s in x) for x in sets])
+    alike = both >= 0.8 * (total[:, None] + total[None, :] - both) * (1 - 1e-12)
+    np.fill_diagonal(alike, True)
+    label = np.arange(n)
+    while True:
+        new = np.array([label[a].min() for a in alike])
+        if (new == label).all():
+            break
+        label = new
+    assert 100 < len(set(label.tolist())) < n - 100
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(n)] == label.tolist()

@@ -12,17 +12,16 @@ Each document draws BANDS x ROWS consistent weighted samples, each of which two
 documents share with the probability of their weighted Jaccard similarity.
 Documents that share a band are candidates. Texts with equal weighted sets are
 one vertex from the start. In a bucket of candidates all are held against one
-of them, drawn by hash, so that a vertex meets another one in each band. A
-bucket that then still spans several components is worked on. In one of more
-than SMALL vertices outside its largest component, those leave that can have no
-partner: what no other vertex of such buckets has is over a fifth of them, as
-with texts that share a passage and little else, or copies with many edits. The
-others meet HUBS more. Where at most SMALL are outside after that, they are
-held against all: SMALL times the bucket's size at most. A bucket with more is
-split by each further band, and its parts go through the same. At a similarity of 0.8 a pair shares one of 20 bands with
-a probability of 0.99997 and two with 0.9996. A pair is verified by its texts'
-weighted Jaccard similarity; pairs whose total weights exclude it are not
-looked up.
+of them, drawn by hash. A bucket that then still spans several components is
+worked on: all outside its largest component are held against all of it, so
+that no pair which shares a band and may join two components is left out. In
+buckets of at most PAIRS such pairs these are rows. Larger buckets, or what
+hangs together by them where that is less work, are dealt in blocks of texts,
+and a task computes the similarities of two blocks as a matrix product and puts
+out only the links that join components. At a similarity of 0.8 a pair shares
+one of 20 bands with a probability of 0.99997. A pair is verified by its texts'
+weighted Jaccard similarity; pairs of rows whose total weights exclude it are
+not looked up.
 
 A text of fewer than five words is one shingle; texts without words (null too)
 are equal. Rows are told apart by id and text, so repeated rows and ids are
@@ -34,6 +33,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,10 +47,12 @@ WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
 COMMON = 0.1
 BUCKETS = 1 << 16
 SALTS = 16
-#: Up to so many vertices outside a bucket's largest component are held against all of the bucket; with more it is split.
-SMALL = 24
-#: Vertices of a large bucket that those outside its largest component are held against first.
-HUBS = 6
+#: Buckets of up to so many pairs to verify have them as rows; larger ones go in blocks.
+PAIRS = 1024
+#: A block has about so many texts, or so much weight, at most, so that a task's memory is bounded.
+BLOCK_TEXTS, BLOCK_WEIGHT = 512, 400_000
+#: Shingles of a matrix product at a time.
+COLUMNS = 2048
 BASE, MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -157,6 +159,53 @@ class Weights:
         return weight
 
 
+def similar_pairs(left: list[str], right: list[str], weights: Weights, threshold: float, words: int) -> np.ndarray:
+    """Which texts of left and right have at least the weighted Jaccard similarity: a matrix of booleans.
+
+    A shingle that a text has k times counts as k shingles, each weighing its IDF, so that the least of two weights adds
+    up as a product of matrices of zeros and ones.
+    """
+    n = len(left)
+    text, code, count = shingles([*left, *right], words)
+    idf = weights.of(code, np.ones(len(code), np.int64))
+    total = np.bincount(text, idf * count, n + len(right))
+    again = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    text, code, idf = np.repeat(text, count), np.repeat(code, count), np.repeat(idf, count)
+    code = np.where(again > 0, mixed(code + again.astype(np.uint64) * BASE), code)
+    distinct, column = np.unique(code, return_inverse=True)
+    of_left = text < n
+    holders = np.stack([np.bincount(column[of_left], minlength=len(distinct)), np.bincount(column[~of_left], minlength=len(distinct))])
+    pairs = holders[0] * holders[1]
+    both = np.zeros((n, len(right)))
+    dense = np.flatnonzero(pairs * 16 > both.size)  # others are cheaper pair by pair
+    place = np.full(len(distinct), -1)
+    place[dense] = np.arange(len(dense))
+    for begin in range(0, len(dense), COLUMNS):
+        here = (place[column] >= begin) & (place[column] < begin + COLUMNS)
+        grid = np.zeros((n + len(right), min(COLUMNS, len(dense) - begin)))
+        grid[text[here], place[column[here]] - begin] = np.where(of_left[here], idf[here], 1.0)
+        both += grid[:n] @ grid[n:].T
+    loose = np.flatnonzero((pairs > 0) & (place < 0))
+    order = np.argsort(column, kind="stable")  # left texts of a shingle come before right ones
+    first = np.searchsorted(column[order], loose)
+    ends = np.cumsum(pairs[loose])
+    for begin, end in _runs(ends, 1 << 20):
+        at, k = loose[begin:end], pairs[loose[begin:end]]
+        number = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        width, start = np.repeat(holders[1][at], k), np.repeat(first[begin:end], k)
+        a = order[start + number // width]
+        b = order[start + np.repeat(holders[0][at], k) + number % width]
+        both += np.bincount(text[a] * len(right) + text[b] - n, idf[a], both.size).reshape(both.shape)
+    return both >= threshold * (total[:n, None] + total[None, n:] - both) * (1 - 1e-12)
+
+
+def _runs(ends: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs of items whose sizes, given by their running sum, add up to about ``most``."""
+    cuts = np.flatnonzero(np.diff(ends // most, prepend=0)).tolist()
+    bounds = sorted({0, *cuts, len(ends)})
+    return list(zip(bounds[:-1], bounds[1:], strict=True))
+
+
 def common_shingles(texts: DataFrame, n: int, words: int) -> dict[int, float]:
     """The IDF of every shingle that at least COMMON of all n documents have."""
 
@@ -294,10 +343,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
         spans = spans.where("components > 1").select("key", F.col("main.component").alias("main"), (F.col("all") - F.col("main.n_component")).alias("outside"))
         return materialised(at.withColumn("salt", salt).join(salted(spans), ["key", "salt"]).select("key", "band", "v", "size", "n", "component", "main", "outside"))
 
-    def hubs(rows: DataFrame, count: int) -> DataFrame:
-        """For each bucket, ``count`` of its vertices by hash (some may be the same)."""
-        drawn = [F.min_by(F.struct("v", "size", "component"), F.xxhash64("key", "v", F.lit(i))) for i in range(count)]
-        return rows.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("hubs"))
+    def hubs(rows: DataFrame) -> DataFrame:
+        """For each bucket, one of its vertices by hash."""
+        return rows.groupBy("key").agg(F.array(F.min_by(F.struct("v", "size", "component"), F.xxhash64("key", "v"))).alias("hubs"))
 
     def against(rows: DataFrame, others: DataFrame) -> DataFrame:
         """Pairs of rows and the hubs of their buckets that differ in component and are of a similar size."""
@@ -308,44 +356,67 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     def outsiders(rows: DataFrame) -> DataFrame:
         """Pairs of vertices outside a bucket's largest component, and of these with all of it."""
         out = rows.where("component != main").select("key", F.col("v").alias("o"), F.col("size").alias("o_size"), F.col("component").alias("o_component"))
-        out = out.groupBy("key").agg(F.collect_list(F.struct(F.col("o").alias("v"), F.col("o_size").alias("size"), F.col("o_component").alias("component"))).alias("hubs"))  # at most SMALL
+        out = out.groupBy("key").agg(F.collect_list(F.struct(F.col("o").alias("v"), F.col("o_size").alias("size"), F.col("o_component").alias("component"))).alias("hubs"))  # fewer than PAIRS
         return against(rows, out)
 
-    def shingled(batches):
-        for batch in batches:
-            for part, found in slices(batch.column(1)):
-                text, code, count = shingles(found, words)
-                owner = batch.column(0).slice(part.start, len(found)).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([owner, pa.array(code.view(np.int64)), pa.array(weights.value.of(code, count))], ["v", "code", "weight"])
-
-    def with_partners(rows: DataFrame) -> DataFrame:
-        """Rows of vertices of which others among the rows have enough: a similarity is at most the shared share of either text."""
-        codes = materialised(bodies.join(rows.select("v").distinct(), "v").select("v", "text").mapInArrow(shingled, "v bigint, code bigint, weight double"))
-        shared = codes.groupBy("code").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").select("code")
-        sums = codes.join(shared, "code").groupBy("v").agg(F.sum("weight").alias("held"))
-        return rows.join(sums, "v").where(F.col("held") >= threshold * F.col("size") * (1 - 1e-9)).drop("held")
-
-    current = members
-    while True:
-        first = current.withColumn("component", F.col("v"))
-        test(against(first, hubs(first, 1)).distinct())
-        at = still_open(current)
-        few, many = at.where(F.col("outside") <= SMALL), at.where(F.col("outside") > SMALL)
-        if not many.limit(1).count():
-            test(outsiders(few).distinct())
-            break
-        many = still_open(with_partners(many).drop("component", "main", "outside"))
-        test(outsiders(few).union(against(many.where("component != main"), hubs(many, HUBS))).distinct())
-        at = still_open(many.drop("component", "main", "outside"))
-        if not at.limit(1).count():
-            break
-        test(outsiders(at.where(F.col("outside") <= SMALL)).distinct())
-        many = still_open(at.where(F.col("outside") > SMALL).drop("component", "main", "outside"))
-        if not many.limit(1).count():
-            break
-        # Vertices that share a large bucket and are alike share a further band too: split the bucket by each later one.
-        later = many.join(vertices.select("v", "keys"), "v").select("v", "size", "band", F.col("key").alias("of"), F.posexplode("keys").alias("next", "with"))
-        current = buckets(later.where(F.col("next") > F.col("band")).select(F.xxhash64("of", "with").alias("key"), F.col("next").alias("band"), "v", "size"))
+    def units(rows: DataFrame) -> DataFrame:
+        """Rows (unit, v, size, component, out): buckets, or all that hang together by buckets where that has fewer pairs."""
+        rows = rows.withColumn("out", F.col("component") != F.col("main")).select("key", "v", "size", "component", "out")
+        least = rows.groupBy("key").agg(F.min("v").alias("hub"))
+        whole = connected_components(rows.withColumn("salt", salt).join(salted(least), ["key", "salt"]), "v", "hub").withColumnRenamed("component", "whole")
+        rows = materialised(rows.join(whole, "v"))
+        counts = rows.groupBy("whole", "key").agg((F.count("*") * F.count_if("out")).alias("pairs")).groupBy("whole").agg(F.sum("pairs").alias("pairs"))
+        once = rows.groupBy("whole", "v").agg(F.any_value("size").alias("size"), F.any_value("component").alias("component"), F.bool_or("out").alias("out"))
+        better = once.groupBy("whole").agg((F.count("*") * F.count_if("out")).alias("of_whole")).join(counts, "whole").where("of_whole <= pairs").select("whole")
+        better = materialised(better)
+        single = rows.withColumn("salt", salt).join(salted(better), ["whole", "salt"], "left_anti").select(F.col("key").alias("unit"), "v", "size", "component", "out")
+        return single.union(once.withColumn("salt", salt).join(salted(better), ["whole", "salt"]).select(F.xxhash64("whole", F.lit("whole")).alias("unit"), "v", "size", "component", "out"))
+
+    def compared(frame: pd.DataFrame) -> pd.DataFrame:
+        """Links (a, b) of two blocks, as few as join what their links join."""
+        left, right = frame[frame.left], frame[~frame.left]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        alike = similar_pairs(left.text.tolist(), right.text.tolist(), weights.value, threshold, words)
+        alike &= left.component.to_numpy()[:, None] != right.component.to_numpy()[None, :]
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while root.get(c, c) != c:
+                root[c] = c = root.get(root[c], root[c])
+            return c
+
+        a, b = (left.v.to_numpy(), left.component.tolist()), (right.v.to_numpy(), right.component.tolist())
+        found = []
+        for i, j in np.argwhere(alike).tolist():
+            x, y = top(a[1][i]), top(b[1][j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                found.append((min(a[0][i], b[0][j]), max(a[0][i], b[0][j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    def block_links(rows: DataFrame) -> DataFrame:
+        """Links between vertices outside the largest component of a bucket and all of it, by blocks of texts."""
+        rows = materialised(units(rows))
+        blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_WEIGHT))
+        sizes = rows.groupBy("unit").agg(blocks(F.count_if("out"), F.coalesce(F.sum(F.when(F.col("out"), F.col("size"))), F.lit(0.0))).alias("n_left"), blocks(F.count("*"), F.sum("size")).alias("n_right"))
+        dealt = rows.withColumn("salt", salt).join(salted(sizes), ["unit", "salt"])
+        number = lambda n: F.pmod(F.xxhash64("v", F.lit("block")), n)
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+        left = dealt.where("out").select("unit", number(F.col("n_left")).alias("i"), every(F.col("n_right")).alias("j"), F.lit(True).alias("left"), "v", "component")
+        right = dealt.select("unit", every(F.col("n_left")).alias("i"), number(F.col("n_right")).alias("j"), F.lit(False).alias("left"), "v", "component")
+        texts = left.union(right).join(bodies, "v")
+        return texts.select("unit", "i", "j", "left", "v", "component", "text").groupBy("unit", "i", "j").applyInPandas(compared, "a bigint, b bigint")
+
+    first = members.withColumn("component", F.col("v"))
+    test(against(first, hubs(first)).distinct())
+    at = still_open(members)
+    small = F.col("outside") * F.col("n") <= PAIRS
+    test(outsiders(at.where(small)).distinct())
+    at = still_open(at.where(~small).drop("component", "main", "outside"))
+    if at.limit(1).count():
+        links = links.union(materialised(block_links(at)))
+        parts = connected_components(links)
 
     named = vertices.join(parts, "v", "left").select(*sets, F.coalesce("component", "v").alias("component"), "first", "copies")
     classes = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("copies").alias("class_size"))
