@@ -147,3 +147,22 @@ def test_pipeline_stages(spark, texts):
         docs, ids = out, now
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in last.select("doc_id").collect()} == ids
+
+
+def test_similar_fingerprints_of_a_shared_beginning(spark):
+    """Many documents with one beginning, and near copies among them, against all pairs."""
+    rng = np.random.default_rng(4)
+    words = [f"word{i}" for i in range(500)]
+    draw = lambda n: " ".join(rng.choice(words, n))
+    start, rows = draw(100), []
+    for i in range(150):
+        text = f"{start} {draw(100)}"
+        rows += [(2 * i, text), (2 * i + 1, text[:-40] + draw(6))]
+    prints = fingerprint.fingerprints([t for _, t in rows])
+    alike = (prints[:, None] == prints[None]).mean(2) >= fingerprint.LIKE
+    label = np.arange(len(rows))
+    while (new := np.array([label[a].min() for a in alike])).tolist() != label.tolist():
+        label = new
+    assert 20 < len(set(label.tolist())) < len(rows) - 20
+    got = {r.doc_id: r.class_id for r in fingerprint.similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == label.tolist()

@@ -10,7 +10,8 @@ A fingerprint samples SLOTS places of the embedding. Slot s takes, of the steps
 that the embedding has, the one of the least hash for s, so that embeddings of
 different lengths still mostly sample the same steps, and keeps 16 bits of the
 character and the step. The likeness of two fingerprints is the share of equal
-slots. Bands of sampled slots find candidates, and the likeness verifies them.
+slots. Alike are fingerprints that differ in at most d slots; as these cannot lie
+in all of d + 1 disjoint bands of slots, alike ones share one of these bands.
 
 A null text counts as empty; the empty text's slots are all zero. Equal texts
 have equal fingerprints. Rows stay one to one, repeated ids too; null ids come
@@ -22,6 +23,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +33,9 @@ from wirespan.llm.memo import slices
 from wirespan.llm.near_dedup import BASE, MIX2, SALTS, mixed, salted
 from wirespan.operators.components import connected_components
 
-SLOTS, BANDS, BAND_SLOTS, LIKE = 64, 12, 4, 0.8
+SLOTS, LIKE = 64, 0.8
+#: Fingerprints that meet in one task, at most about twice.
+BLOCK = 1024
 #: Coins repeat after so many steps, and so many kinds of characters have coins of their own.
 STEPS, KINDS = 4096, 256
 #: Texts that walk side by side as one array; what is longer than all but so many texts walks alone.
@@ -139,16 +143,46 @@ def similar(docs: DataFrame, like: float = LIKE, id_col: str = "doc_id", text_co
     """One row per input row: doc_id, fingerprint and class_id, the least id of its class.
 
     Equal fingerprints are one class from the start; in each bucket of a band all are held against its least fingerprint.
+    In a bucket that then spans several components, all outside the largest one are held against all of it, in blocks.
     """
     prints = materialised(fingerprint(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))).drop("text"))
     own = prints.select("fingerprint").distinct()
-    sampled = np.random.default_rng(8).permutation(SLOTS)[: BANDS * BAND_SLOTS].reshape(BANDS, BAND_SLOTS).tolist()
+    need = next(k for k in range(1, SLOTS + 1) if k / SLOTS >= like)
+    bands = [x.tolist() for x in np.array_split(np.random.default_rng(8).permutation(SLOTS), SLOTS - need + 1)]
     band = lambda i, slots: F.xxhash64(F.lit(i), *[F.substring("fingerprint", 4 * s + 1, 4) for s in slots])
-    keyed = materialised(own.select("fingerprint", F.explode(F.array(*[band(i, s) for i, s in enumerate(sampled)])).alias("band")))
-    least = keyed.groupBy("band").agg(F.min("fingerprint").alias("hub"))
-    pairs = keyed.withColumn("salt", F.pmod(F.hash("fingerprint"), F.lit(SALTS))).join(salted(least), ["band", "salt"])
-    pairs = pairs.where(F.col("hub") != F.col("fingerprint")).select("hub", "fingerprint").distinct()
-    parts = connected_components(pairs.where(likeness(F.col("hub"), F.col("fingerprint")) >= like), "hub", "fingerprint")
+    salt = F.pmod(F.hash("fingerprint"), F.lit(SALTS))
+    keyed = materialised(own.select("fingerprint", F.explode(F.array(*[band(i, s) for i, s in enumerate(bands)])).alias("band")))
+    least = keyed.groupBy("band").agg(F.min("fingerprint").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    met = materialised(keyed.withColumn("salt", salt).join(salted(least), ["band", "salt"]).select("band", "hub", "fingerprint"))
+    pairs = met.where(F.col("hub") != F.col("fingerprint")).select("hub", "fingerprint").distinct()
+    links = materialised(pairs.where(likeness(F.col("hub"), F.col("fingerprint")) >= like))
+    parts = connected_components(links, "hub", "fingerprint")
+
+    at = met.join(parts, met.fingerprint == parts.v, "left").select("band", "fingerprint", F.coalesce("component", "fingerprint").alias("component"))
+    each = at.groupBy("band", "component").agg(F.count("*").alias("k"))
+    spans = each.groupBy("band").agg(F.max(F.struct("k", "component")).alias("main"), F.sum("k").alias("n"), F.count("*").alias("components")).where("components > 1")
+    blocks = lambda n: F.ceil(n / BLOCK)
+    spans = spans.select("band", F.col("main.component").alias("main"), blocks(F.col("n") - F.col("main.k")).alias("n_left"), blocks(F.col("n")).alias("n_right"))
+    rows = materialised(at.withColumn("salt", salt).join(salted(spans), ["band", "salt"]))
+    number = lambda n: F.pmod(F.xxhash64("fingerprint", F.lit("block")), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    outside = rows.where("component != main").select("band", number(F.col("n_left")).alias("i"), every(F.col("n_right")).alias("j"), F.lit(True).alias("left"), "fingerprint", "component")
+    inside = rows.select("band", every(F.col("n_left")).alias("i"), number(F.col("n_right")).alias("j"), F.lit(False).alias("left"), "fingerprint", "component")
+
+    def compared(frame: pd.DataFrame) -> pd.DataFrame:
+        """Links of two blocks, one at most from an outsider to each component."""
+        left, right = frame[frame.left], frame[~frame.left]
+        slots = lambda x: np.frombuffer(bytes.fromhex("".join(x.fingerprint)), ">u2").reshape(len(x), SLOTS)
+        second, components = slots(right), right.component.to_numpy()
+        found = []
+        for own, name, component in zip(slots(left), left.fingerprint, left.component, strict=True):
+            hits = np.flatnonzero(((second == own).sum(1) >= need) & (components != component))
+            found += [(name, right.fingerprint.iat[hits[k]]) for k in np.unique(components[hits], return_index=True)[1]]
+        return pd.DataFrame(found, columns=["hub", "fingerprint"], dtype=object)
+
+    if rows.limit(1).count():
+        more = outside.union(inside).groupBy("band", "i", "j").applyInPandas(compared, "hub string, fingerprint string")
+        parts = connected_components(links.union(materialised(more)), "hub", "fingerprint")
     named = own.join(parts, own.fingerprint == parts.v, "left").select("fingerprint", F.coalesce("component", "fingerprint").alias("component"))
     named = prints.join(named, "fingerprint")
     return named.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted(named.groupBy("component").agg(F.min("doc_id").alias("class_id"))), ["component", "salt"]).select("doc_id", "fingerprint", "class_id")
