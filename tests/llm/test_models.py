@@ -166,3 +166,16 @@ def test_similar_fingerprints_of_a_shared_beginning(spark):
     assert 20 < len(set(label.tolist())) < len(rows) - 20
     got = {r.doc_id: r.class_id for r in fingerprint.similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert [got[i] for i in range(len(rows))] == label.tolist()
+
+
+def test_page_texts_that_begin_alike_or_lie_deep(spark):
+    begin = "the same words as on every page " * 10
+    body = lambda rest: f"<body><article><h1>About {rest}</h1><div class=body>{begin}<br>and then {rest}</div></article></body>"
+    rows = [(i, "http://a.org/", body(f"number {i}")) for i in range(6)]
+    rows += [(10 + i, "http://b.org/", body("it").replace("About it", f"About {i}")) for i in range(6)]
+    rows += [(20, "http://c.org/", "<div>" * 500 + "deep" + "</div>" * 500)]
+    rows += [(21, "http://d.org/", "<div><article><p>Before</p>" + "<div>" * 80 + "deep" + "</div>" * 80 + "<p>After</p></article></div>")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i].endswith(f"{begin}and then number {i}") and got[10 + i].endswith(f"{begin}and then it")
+    assert got[20] == "deep" and got[21] == "Before\ndeep\nAfter"

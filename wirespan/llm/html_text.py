@@ -13,19 +13,23 @@ partial wrappers, so a host with very many pages meets in no single task. The
 host's wrapper decides once what is main: the article or main element, or else
 the element that holds most of the text that is in no link, without menus,
 headers, footers, sidebars, notices, adverts, forms, comments and template
-texts. Each page is then aligned with its host's wrapper.
+texts. Each page is then aligned with its host's wrapper. A page's text is
+template only if the whole of it is what all pages have there, and where such
+texts are most of the main part, the pages are copies of one article and keep them.
 
 Null or empty html gives an empty text, a null URL is a host of its own,
 unclosed and misnested tags and cut-off pages are read as far as they go, and
-elements nested deeper than DEPTH belong to the one at that depth. Rows stay
+what is in elements nested deeper than DEPTH belongs to the one at that depth. Rows stay
 one to one, repeated ids and pages too; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -78,6 +82,15 @@ def parse(page: str) -> Element:
     """The page's elements; inline ones are their parent's text. A text item is (text, is in a link), a block's end None."""
     root = Element("html")
     stack, links, at, skip = [root], 0, 0, None
+    held = Counter()  # how many elements of each name are on the stack
+
+    def leave(i: int) -> None:
+        for e in stack[i:]:
+            held[e.name] -= 1
+        if i >= DEPTH:
+            stack[i].items.append(None)
+        del stack[i:]
+
     for m in TOKEN.finditer(page):
         if skip is None and m.start() > at:
             stack[-1].items.append((page[at : m.start()], links > 0))
@@ -103,20 +116,18 @@ def parse(page: str) -> Element:
             if name == "a":
                 links = max(0, links - 1) if closing else 1
         elif closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    links = 0
-                    break
+            if held[name] > 0:
+                leave(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
+                links = 0
         else:
             links = 0
             if name == "p" or (name in FLOW and stack[-1].name == "p") or name in ("div", "section", "article", "footer", "nav", "aside", "form", "header", "main"):
                 while stack[-1].name in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                    stack.pop()
+                    leave(len(stack) - 1)
             if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}[name]
                 while stack[-1].name in (*same, "p"):
-                    stack.pop()
+                    leave(len(stack) - 1)
             found = set()
             for a in ATTRIBUTE.finditer(rest):
                 key = a[1].lower()
@@ -126,19 +137,29 @@ def parse(page: str) -> Element:
                 else:
                     found |= set(WORDS.findall(value)) & (ASIDE_WORDS | MAIN_WORDS)
             new = Element(name, frozenset(found))
-            stack[-1].items.append(new)
-            if len(stack) < DEPTH and not rest.endswith("/"):
+            if len(stack) < DEPTH:
+                stack[-1].items.append(new)
+            else:  # it has its own end, and its texts are those of the element at DEPTH
+                stack[-1].items.append(None)
+                new.items = stack[-1].items
+            if not rest.endswith("/"):
                 stack.append(new)
+                held[name] += 1
     if skip is None and at < len(page):
         stack[-1].items.append((page[at:], links > 0))
     return root
 
 
+def text_hash(e: Element) -> str:
+    """A hash of the element's own whole text; empty where it has none."""
+    text = SPACE.sub(" ", "".join(i[0] for i in e.items if isinstance(i, tuple))).strip()
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest() if text else ""
+
+
 def wrapper_of(e: Element) -> dict:
-    """The element's own wrapper: label l, pages n, characters c outside and k inside links, template text t, groups g."""
+    """The element's own wrapper: label l, pages n, characters c outside and k inside links, template text's hash t, groups g."""
     own = [i for i in e.items if isinstance(i, tuple)]
-    text = SPACE.sub(" ", "".join(t for t, _ in own)).strip()
-    w = {"l": e.label, "n": 1, "q": "", "c": sum(len(t.strip()) for t, link in own if not link), "k": sum(len(t.strip()) for t, link in own if link), "t": text[:200], "g": []}
+    w = {"l": e.label, "n": 1, "q": "", "c": sum(len(t.strip()) for t, link in own if not link), "k": sum(len(t.strip()) for t, link in own if link), "t": text_hash(e), "g": []}
     for child in e.items:
         if isinstance(child, Element):
             add_group(w["g"], wrapper_of(child))
@@ -230,9 +251,34 @@ def main_label(wrapper: dict) -> str:
     return max(deep, key=lambda x: x[1])[0] if deep else wrapper["l"]
 
 
+def is_template(w: dict) -> bool:
+    return w["q"] != "+" and bool(w["t"]) and w["n"] >= TEMPLATE_PAGES and not w["g"]
+
+
+def copies(wrapper: dict, label: str) -> bool:
+    """Whether texts that all pages have are most of the main part's: then they are its article."""
+    same = other = 0
+
+    def visit(w: dict, within: bool) -> None:
+        nonlocal same, other
+        if is_aside(w["l"]):
+            return
+        within = within or w["l"] == label
+        if within and is_template(w):
+            same += w["c"]
+        elif within:
+            other += w["c"]
+        for g in w["g"]:
+            visit(g, within)
+
+    visit(wrapper, False)
+    return same > other
+
+
 def main_text(page: Element, wrapper: dict) -> str:
     """The page's main text by its host's wrapper."""
     label = main_label(wrapper)
+    whole = copies(wrapper, label)
     for root in (label, page.label):
         blocks: list[tuple[str, bool]] = []
         current: list[str] = []
@@ -257,7 +303,7 @@ def main_text(page: Element, wrapper: dict) -> str:
                     k = next((k for k in range(len(w["g"])) if w["g"][k]["l"] == c.label), None) if k is None else k
                     if k is not None:
                         pairs[id(c)], at = w["g"][k], k
-            fixed = bool(w) and w["q"] != "+" and bool(w["t"]) and w["n"] >= TEMPLATE_PAGES and not children
+            fixed = not whole and bool(w) and not children and is_template(w) and text_hash(e) == w["t"]
             for item in e.items:
                 if isinstance(item, Element):
                     if within:
