@@ -27,3 +27,26 @@ def crc_mod(id_column: str, m: int) -> Column:
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+#: Tasks that a group with more than its share of the rows is dealt over.
+SALTS = 16
+#: A group is heavy from one row in so many on, so there are never more heavy groups than this.
+SHARE = 1024
+
+
+def by_group(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, deal_by: str, how: str = "inner") -> DataFrame:
+    """rows joined with their groups (a written table of one row for each ``keys``, whose ``count`` is how many rows it has).
+
+    Only heavy groups are salted. They are fewer than SHARE, as each has more than one row in SHARE, so the list of them
+    that is broadcast has a proven bound.
+    """
+    total = groups.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    least = max(1000, total // SHARE)
+    heavy = groups.where(F.col(count) > least).select(*keys, F.lit(True).alias("_heavy"))
+    if not heavy.limit(1).count():
+        return rows.join(groups, keys, how)
+    salt = F.when(F.col("_heavy"), F.pmod(F.hash(deal_by), F.lit(SALTS))).otherwise(F.lit(0))
+    dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("_salt", salt).drop("_heavy")
+    salts = F.explode(F.when(F.col(count) > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    return dealt.join(groups.withColumn("_salt", salts), [*keys, "_salt"], how).drop("_salt")
