@@ -2,7 +2,8 @@
 
 A rule is a host and a path prefix; it fits its host and all subdomains where
 the URL's path starts with the rule's. The URL's candidate keys are its host
-suffixes and path prefixes of the shapes (labels, path length) that rules have.
+suffixes and path prefixes of the shapes (labels, path length) that rules have,
+one array that a single expression makes for any number of shapes.
 Level 0 of a cascade encodes the listed keys; level 1 the keys of the corpus
 that level 0 wrongly passes; level 2 the listed keys that level 1 wrongly
 passes, and so on until no level errs. As the levels are built against every
@@ -18,18 +19,15 @@ input's further columns are ignored.
 
 from __future__ import annotations
 
-import json
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespan.llm.common import read
+from wirespan.llm.bloom import Bloom
+from wirespan.llm.common import materialised, read
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: A cascade that would be larger than this is not sent to executors; its keys are joined instead.
-MAX_FILTER_BYTES = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,99 +43,69 @@ def key_of(host: Column, path: Column) -> Column:
     return F.concat(host, F.lit("\n"), path)
 
 
-class Level:
-    """A Bloom filter of m bits: 64-bit words that expressions embed, and k positions a key by double hashing."""
-
-    def __init__(self, number: int, keys: DataFrame, n: int, rate: float):
-        self.number = number
-        self.m = 64 * max(1, math.ceil(max(n, 1) * -math.log(rate) / math.log(2) ** 2 / 64))
-        self.k = max(1, round(self.m / max(n, 1) * math.log(2))) if n else 1
-        self.k = min(self.k, 24)
-        bits = keys.select(F.explode(F.array(*self.positions(F.col("key")))).alias("at"))
-        words = bits.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
-        found = {r.w: r.bits for r in words.collect()}  # at most m / 64 rows, which MAX_FILTER_BYTES bounds
-        self.words = [found.get(w, 0) for w in range(self.m // 64)]
-
-    def positions(self, key: Column) -> list[Column]:
-        first, step = F.xxhash64(F.lit(2 * self.number), key), F.xxhash64(F.lit(2 * self.number + 1), key)
-        return [F.pmod(F.shiftright(first, 8) + F.lit(i) * F.shiftright(step, 8), F.lit(self.m)) for i in range(self.k)]
-
-    def has(self, key: Column) -> Column:
-        words = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")  # folded into one constant
-        one = lambda p: F.call_function("shiftright", F.get(words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-        return reduce(Column.__and__, map(one, self.positions(key)))
-
-
 class Cascade:
-    """Exact membership in ``listed`` for every key of ``universe`` (both have a column key, whose rows may repeat)."""
-
-    def __init__(self, listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_FILTER_BYTES):
-        self.levels: list[Level] = []
-        self.listed = listed.select("key").distinct()
-        n = self.listed.count()
-        others = universe.select("key").distinct().join(self.listed, "key", "left_anti")
-        size = others.agg(F.approx_count_distinct("key")).first()[0]  # only sizes the first level
+    """Exact membership in ``listed`` for every key of ``universe`` (both have a column key, whose rows may repeat).
+
+    A level takes some 1.5 bits for each halving of its errors and key, 2 bytes a rule or so in all, and goes to the tasks
+    as a constant. The rules are a parameter of the job and do not grow with the corpus.
+    """
+
+    def __init__(self, listed: DataFrame, universe: DataFrame):
+        self.levels: list[tuple[Bloom, Column]] = []
+        keep = materialised(listed.select("key").distinct())
+        n = keep.count()
+        if not n:
+            return
+        size = universe.agg(F.approx_count_distinct("key")).first()[0]  # only sizes the first level
         # The first level's rate lets about as many keys pass wrongly as are listed; all later levels halve what is left.
-        rate = min(0.5, math.sqrt(0.5) * max(n, 1) / max(size, 1))
-        self.joined = -math.log(rate) / math.log(2) ** 2 * n / 8 > max_bytes
-        keep, other = self.listed, others
-        while n and not self.joined:
-            level = Level(len(self.levels), keep, n, rate)
-            self.levels.append(level)
-            wrong = other.where(level.has(F.col("key"))).distinct()
-            keep, other, n, rate = wrong, keep, wrong.count(), 0.5
+        self._add(keep, n, min(0.5, math.sqrt(0.5) * n / max(size, 1)))
+        other = materialised(self._passed(universe.select("key")).distinct().join(keep, "key", "left_anti"))
+        while n := other.count():
+            self._add(other, n, 0.5)
+            keep, other = other, materialised(self._passed(keep))
+
+    def _add(self, keys: DataFrame, n: int, rate: float) -> None:
+        level = Bloom(keys, n, rate, len(self.levels), math.inf)
+        self.levels.append((level, level.constant()))
+
+    def _passed(self, keys: DataFrame) -> DataFrame:
+        level, constant = self.levels[-1]
+        return keys.where(level.has(constant, F.col("key")))
 
     def has(self, key: Column) -> Column:
         """Odd number of levels passed: listed."""
         inside = F.lit(len(self.levels) % 2 == 1)
-        for i in reversed(range(len(self.levels))):
-            inside = F.when(self.levels[i].has(key), inside).otherwise(F.lit(i % 2 == 1))
+        for i, (level, constant) in reversed(list(enumerate(self.levels))):
+            inside = F.when(level.has(constant, key), inside).otherwise(F.lit(i % 2 == 1))
         return inside
 
 
-def shapes(rules: list[tuple[str, str, str]]) -> list[tuple[int, int]]:
-    """(labels, path length) of the rules, the longest host first."""
-    return sorted({(host.count(".") + 1, len(path)) for host, path, _ in rules}, reverse=True)
-
-
-def candidates(host: Column, path: Column, kinds: list[tuple[int, int]]) -> list[Column]:
-    """The keys by which rules of these shapes could fit; null where the URL is too short."""
+def candidates(host: Column, path: Column, rules: DataFrame) -> Column:
+    """The keys by which rules of these (labels, path length) could fit a URL, as one array."""
+    shapes = rules.select((F.size(F.split("host", r"\.", -1))).alias("k"), F.length("path").alias("n")).distinct().collect()  # as many as hosts' labels times paths' lengths
+    kinds = F.array(*[F.struct(F.lit(r.k).alias("k"), F.lit(r.n).alias("n")) for r in sorted(shapes)])
     labels = F.size(F.split(host, r"\.", -1))
-    return [F.when((labels >= k) & (F.length(path) >= n) & (host != ""), key_of(F.substring_index(host, ".", -k), F.substring(path, 1, n))) for k, n in kinds]
+    fit = F.filter(kinds, lambda x: (x["k"] <= labels) & (x["n"] <= F.length(path)) & (host != ""))
+    return F.transform(fit, lambda x: key_of(F.call_function("substring_index", host, F.lit("."), -x["k"]), F.substring(path, F.lit(1), x["n"])))
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", id_col: str = "page_id", max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-    """page_id, host, path, rule and verdict (allow or block) of every row."""
-    spark, kinds = pages.sparkSession, shapes(rules)
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, url_col: str = "url", id_col: str = "page_id") -> DataFrame:
+    """page_id, host, path, rule and verdict (allow or block) of every row, by rules (host, path, verdict)."""
+    spark = pages.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(rules, "host string, path string, verdict string")
+    rules = materialised(rules.select("host", "path", key_of(F.col("host"), F.col("path")).alias("key"), "verdict"))
     host, path = split_url(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    listed = spark.createDataFrame([(f"{h}\n{p}", v == "block") for h, p, v in rules], "key string, blocks boolean")
-    universe = urls.select(F.explode(F.array_compact(F.array(*candidates(F.col("host"), F.col("path"), kinds)))).alias("key"))
-    known = Cascade(listed, universe, max_bytes)
-    blocking = Cascade(listed.where("blocks"), listed, max_bytes)
-    if known.joined or blocking.joined:
-        return _joined(urls, listed, kinds)
-    keys = candidates(F.col("host"), F.col("path"), kinds)
-    rank = lambda k: F.struct((F.length(k) - 1).alias("n"), F.locate("\n", k).alias("h"), k.alias("key"))
-    fits = [F.when(k.isNotNull() & known.has(k), rank(k)) for k in keys]
-    best = F.greatest(*fits) if len(fits) > 1 else fits[0]
-    out = urls.withColumn("best", best["key"])
-    return _verdicts(out, F.when(blocking.has(F.col("best")), "block").otherwise("allow"))
-
-
-def _joined(urls: DataFrame, listed: DataFrame, kinds: list[tuple[int, int]]) -> DataFrame:
-    """The same by a join with the rules, for lists whose filters executors should not hold."""
-    rules = listed.groupBy("key").agg(F.max("blocks").alias("blocks"))
-    urls = urls.withColumn("row", F.monotonically_increasing_id())
-    keys = urls.select("*", F.explode(F.array_compact(F.array(F.lit("\n"), *candidates(F.col("host"), F.col("path"), kinds)))).alias("key"))
-    rank = F.when(F.col("blocks").isNotNull(), F.struct((F.length("key") - 1).alias("n"), F.locate("\n", "key").alias("h"), "key", "blocks"))
-    best = keys.join(rules, "key", "left").groupBy("row", "page_id", "host", "path").agg(F.max(rank).alias("b"))
-    return _verdicts(best.withColumn("best", F.col("b.key")), F.when(F.col("b.blocks"), "block").otherwise("allow"))
-
-
-def _verdicts(urls: DataFrame, verdict: Column) -> DataFrame:
-    rule = F.translate("best", "\n", "")
-    return urls.select("page_id", "host", "path", rule.alias("rule"), F.when(F.col("best").isNull(), "allow").otherwise(verdict).alias("verdict"))
+    if not rules.limit(1).count():
+        return urls.select("*", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    keys = candidates(F.col("host"), F.col("path"), rules)
+    known = Cascade(rules, urls.select(F.explode(keys).alias("key")))
+    blocking = Cascade(rules.where("verdict = 'block'"), rules)
+    ranked = F.transform(F.filter(keys, known.has), lambda k: F.struct((F.length(k) - 1).alias("n"), F.locate("\n", k).alias("h"), k.alias("key")))
+    out = urls.withColumn("best", F.array_max(ranked)["key"])
+    verdict = F.when(F.col("best").isNotNull() & blocking.has(F.col("best")), "block").otherwise("allow")
+    return out.select("page_id", "host", "path", F.translate("best", "\n", "").alias("rule"), verdict.alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
