@@ -16,10 +16,14 @@ MAX_BYTES = 16 << 20
 
 
 class Bloom:
-    """A filter of the values in ``keys``' column key: m bits, of which k belong to a key by double hashing."""
+    """A filter of the values in ``keys``' column key: m bits, of which k belong to a key by double hashing.
+
+    A bigint key is taken for a hash already, so that asking for it reads the hashed text once or twice.
+    """
 
     def __init__(self, keys: DataFrame, n: int, rate: float, seed: int = 0, max_bytes: float = MAX_BYTES):
         bits = min(max(n, 1) * -math.log(rate) / math.log(2) ** 2, 8 * max_bytes)
+        self.hashed = keys.schema["key"].dataType.simpleString() == "bigint"
         self.seed, self.m = seed, 64 * max(1, math.ceil(bits / 64))
         self.k = min(24, max(1, round(self.m / max(n, 1) * math.log(2))))
         one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
@@ -27,7 +31,7 @@ class Bloom:
         self.words = words.groupBy("w").agg(F.bit_or("bits").alias("bits"))
 
     def _place(self, key: Column, i: Column) -> Column:
-        first, step = F.xxhash64(F.lit(2 * self.seed), key), F.xxhash64(F.lit(2 * self.seed + 1), key)
+        first, step = (key, F.xxhash64(key, F.lit(self.seed))) if self.hashed else (F.xxhash64(F.lit(2 * self.seed), key), F.xxhash64(F.lit(2 * self.seed + 1), key))
         return F.pmod(F.shiftright(first, 8) + i * F.shiftright(step, 8), F.lit(self.m))
 
     def table(self) -> DataFrame:
@@ -36,11 +40,12 @@ class Bloom:
         full = self.words.unionByName(every).groupBy("w").agg(F.bit_or("bits").alias("bits"))
         return materialised(full.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "bits"))), lambda x: x["bits"]).alias("words")))
 
-    def filtered(self, rows: DataFrame, key: Column) -> DataFrame:
-        """Rows whose key may be in the filter, which every task gets as a scalar subquery's value."""
+    def filtered(self, rows: DataFrame, key: Column, inside: bool = True) -> DataFrame:
+        """Rows whose key may be in the filter (or is not in it), which every task gets as a scalar subquery's value."""
         words = self.table().scalar()
         bit = lambda at: F.call_function("shiftright", F.get(words, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-        return rows.where(reduce(Column.__and__, [bit(self._place(key, F.lit(i))) for i in range(self.k)]))
+        has = reduce(Column.__and__, [bit(self._place(key, F.lit(i))) for i in range(self.k)])
+        return rows.where(has if inside else ~has)
 
     def constant(self) -> Column:
         """The filter as a binary constant of seven bits a byte, which unlike a subquery lambdas may ask."""

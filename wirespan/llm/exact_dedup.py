@@ -46,20 +46,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keep_id is the smallest id among the rows with an equal text.
     """
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))  # joins by it also match null ids
-    text = docs.select(F.col(id_col).alias("doc_id"), name.alias("name"), normalised(text_col).alias("norm"))
+    text = docs.select(F.col(id_col).alias("doc_id"), name.alias("name"), normalised(text_col).alias("norm"), F.xxhash64(text_of(text_col)).alias("text_key"))
     sha = F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")
-    hashes = text.select("doc_id", "name", sha, F.xxhash64("norm").alias("text_key"), F.length("norm").alias("n"), F.transform(chunks(F.col("norm")), lambda c: chunk_hash(c)).alias("keys"))
+    hashes = text.select("doc_id", "name", sha, "text_key", F.length("norm").alias("n"), F.transform(chunks(F.col("norm")), lambda c: chunk_hash(c)).alias("keys"))
     recipes = materialised(hashes.withColumn("recipe", F.xxhash64("keys")))
     row, same_recipe = ["name", "text_sha256"], ["n", "recipe"]
 
     # One row for each id and text whose recipe another row has too.
     shared = materialised(recipes.groupBy(*same_recipe).agg(F.count("*").alias("rows")).where("rows > 1"))
     rows = by_group(recipes, shared, same_recipe, "rows", "name")
-    rows = materialised(rows.groupBy(*row, "text_key", "n", "keys").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    suspects = materialised(rows.select(F.col("text_key").alias("key")).distinct())
+    rows = materialised(rows.groupBy(*row, "n", "keys").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
 
     # A chunk's identifier: its hash, and its place among the contents of that hash, which is 0 unless hashes collide.
-    suspects = rows.select(F.col("text_key").alias("key")).distinct()
-    found = Bloom(suspects, suspects.count(), 0.01).filtered(text, F.xxhash64("norm"))
+    found = Bloom(suspects, suspects.count(), 0.01).filtered(text, F.col("text_key"))
     pieces = found.select("name", sha, F.posexplode(chunks(F.col("norm"))).alias("pos", "chunk")).withColumn("key", chunk_hash(F.col("chunk")))
     contents = pieces.groupBy("key", "chunk").agg(F.lit(1).alias("one"))
     collided = materialised(contents.groupBy("key").agg(F.count("*").alias("contents")).where("contents > 1").select("key"))
