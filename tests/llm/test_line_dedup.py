@@ -33,9 +33,9 @@ def brute(rows):
         left = []
         for raw in (text or "").split("\n"):
             line = re.sub(r"[\x20\x09-\x0D]+", " ", raw).strip(" ")
-            if len(line) < 20 or not any(within_one(line, s) for s in seen):
+            if not line or not any(line == s or (min(len(line), len(s)) >= 20 and within_one(line, s)) for s in seen):
                 left.append(raw)
-            seen += [line] if len(line) >= 20 else []
+            seen.append(line)
         out[doc_id] = "\n".join(left) if left else None
     return out
 
@@ -52,7 +52,7 @@ def test_edits_against_brute_force(spark):
         at = rng.randrange(len(line))
         return rng.choice([line, line[:at] + "q" + line[at:], line[:at] + line[at + 1 :], line[:at] + "q" + line[at + 1 :], line[:at] + "qq" + line[at + 2 :]])
 
-    rows = [(i, "\n".join([edited(rng.choice(base)) for _ in range(3)] + [f"short {i}"])) for i in range(60)]
+    rows = [(i, "\n".join([edited(rng.choice(base)) for _ in range(3)] + [f"short {i % 40}", "", " "])) for i in range(60)]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
     assert got == brute(rows)
 

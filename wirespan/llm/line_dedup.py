@@ -1,36 +1,41 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Lines are compared with white space runs as one space, trimmed; lines shorter
-than MIN_CHARS then always stay. A line is dropped if an earlier line of the
-corpus (by document id, then the text's hash, then place) is equal or within
-one edit of it, whether or not that one stays; so the earliest stays.
+Lines are compared with white space runs as one space, trimmed. A line is
+dropped if an earlier line of the corpus (by document id, then the text's hash,
+then place) is equal or, for lines of NEAR_CHARS characters on, within one edit
+of it, whether or not that one stays; so the earliest stays. Blank lines stay.
 
 Within one edit means that both lines, as they are or without one character,
 share a variant: same length and the same place left out (one substituted), or
 one line is the other without a character. Each variant is a hashed key, and a
 line joins the earliest line of its keys; the pair is then verified by its edit
-distance. Groups are reduced to their earliest member before they shuffle, so a
-variant that very many lines share makes no pairs.
+distance. A variant that many lines share makes one pair for each of them.
 
 Variants are made only for lines that can have a partner: one edit leaves the
 first or the last half of a line as it is, so a line whose halves (for its own
 length and the next) no other line shares is within one edit of none.
 
 A null text counts as empty, which has one empty line. Rows that repeat an id
-and a text are one document. Further columns are kept as they are.
+and a text are one document. Further columns are kept as they are. Texts move
+only where lines of theirs are compared or go: Bloom filters of a bounded size
+find these in the scan, and what they pass wrongly changes no result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wirespan.llm.common import SPACE, materialised, read, text_of
-from wirespan.llm.near_dedup import BASE, SALTS, mixed, salted
+from wirespan.llm.bloom import Bloom
+from wirespan.llm.common import SPACE, by_group, materialised, read, text_of
+from wirespan.llm.near_dedup import BASE, mixed
 
-MIN_CHARS = 20
+#: Lines of fewer characters are dropped as copies only: one edit makes another word of them.
+NEAR_CHARS = 20
+#: Variants in a record batch, and about as many as a task makes.
+BATCH, TASK_VARIANTS = 1 << 16, 1_000_000
 #: Two primes below 2 ** 31 and the bases of polynomial hashes modulo them.
 PRIMES, BASES = (2147483647, 2147483629), (1315423911, 2038074743)
 
@@ -72,7 +77,7 @@ def variant_keys(line: str) -> tuple[np.ndarray, np.ndarray, int]:
     return (hashes ^ (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9), hashes, whole
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text that is left, and n_lines, n_copies and n_near (lines dropped as copies or as within one edit).
 
     A document of which nothing is left has a null text.
@@ -82,25 +87,27 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
     texts = keyed.select(F.col(id_col).alias("doc_id"), F.col("_key").alias("key"), text_of(text_col).alias("text"))
     where = F.struct("doc_id", "key", "no").alias("at")
     split = texts.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("no", "raw")).withColumn("line", trimmed(F.col("raw"))).drop("raw")
-    compared = split.where(F.length("line") >= min_chars)
     names = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2")]
-    lines = materialised(compared.select(*names, where, halves(F.col("line")).alias("halves")))
+    both = F.when(F.length("line") >= near_chars, halves(F.col("line"))).alias("halves")
+    lines = materialised(split.where("line != ''").select(*names, where, both))
 
     # Lines that differ have different (h1, h2); the earliest of each stands for it.
     distinct = materialised(lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.any_value("halves").alias("halves")))
     halved = distinct.select("at", F.explode("halves").alias("half"))
-    shared = halved.groupBy("half").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("half")
-    able = halved.withColumn("salt", F.pmod(F.hash("at"), F.lit(SALTS))).join(salted(shared), ["half", "salt"]).select("at").distinct()
-    wanted = able.groupBy("at.doc_id", "at.key").agg(F.collect_set("at.no").alias("nos"))
-    found = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id) & (texts.key == wanted.key)).select(texts.doc_id, texts.key, "text", "nos").dropDuplicates(["doc_id", "key"])
+    shared = halved.groupBy("half").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+    able = by_group(halved, materialised(shared.select("half", "rows")), ["half"], "rows", "at").select("at").distinct()
+    wanted = materialised(able.groupBy("at.doc_id", "at.key").agg(F.collect_set("at.no").alias("nos")))
+    likely = suspects(wanted.select("key")).filtered(texts, F.col("key"))
+    found = likely.join(wanted, likely.doc_id.eqNullSafe(wanted.doc_id) & (likely.key == wanted.key)).select(likely.doc_id, likely.key, "text", "nos").dropDuplicates(["doc_id", "key"])
     pick = F.transform(F.array(F.split("text", "\n")), lambda all_: F.transform("nos", lambda no: F.struct(no.alias("no"), F.get(all_, no).alias("raw"))))[0]
     found = found.select("doc_id", "key", F.inline(pick))
     # Numbers that rise with the lines' order stand for them below.
     bodies = materialised(found.select(where, trimmed(F.col("raw")).alias("line")).orderBy("at").withColumn("number", F.monotonically_increasing_id()))
 
     def variants(batches):
+        held, size = [], 0
         for batch in batches:
-            for number, line in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for number, line in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist(), strict=True):
                 placed, plain, whole = variant_keys(line)
                 plain = np.unique(plain)
                 n, m = len(placed), len(plain)
@@ -108,37 +115,65 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
                 # Role 0: one of those that lack the same place; 1: lacks a character; 2: the line itself. Equal keys have equal lengths.
                 role = np.repeat(np.array([0, 1, 2], np.int8), [n, m, 1])
                 keys = mixed(keys ^ np.repeat(np.array([2 * n, 2 * n - 1, 2 * n + 1], np.uint64) * BASE, [n, m, 1]))
-                yield pa.RecordBatch.from_arrays([pa.repeat(number, n + m + 1), pa.array(role), pa.array(keys.view(np.int64))], ["number", "role", "variant"])
-
-    made = materialised(bodies.select("number", "line").mapInArrow(variants, "number bigint, role tinyint, variant bigint"))
-    of = lambda role: F.when(F.col("role") == role, F.col("number"))
-    firsts = made.groupBy("variant").agg(F.min(of(0)).alias("first0"), F.max(of(0)).alias("last0"), F.min(of(1)).alias("first1"), F.min(of(2)).alias("first2"))
-    firsts = firsts.where("first0 < last0 or first1 is not null and first2 is not null").drop("last0")
-    meets = made.withColumn("salt", F.pmod(F.hash("number"), F.lit(SALTS))).join(salted(firsts), ["variant", "salt"])
+                held.append((np.full(len(keys), number), role, keys.view(np.int64)))
+                size += len(keys)
+                if size >= BATCH:
+                    yield from _batches(held)
+                    held, size = [], 0
+        yield from _batches(held)
+
+    # Tasks of about as many variants each, whatever the lines' lengths.
+    to_make = bodies.agg(F.coalesce(F.sum(2 * F.length("line").cast("long") + 1), F.lit(0))).first()[0]
+    dealt = bodies.select("number", "line").repartition(1 + to_make // TASK_VARIANTS, "number")
+    made = dealt.mapInArrow(variants, "number bigint, role tinyint, variant bigint")
+    # Of one variant are at most as many distinct lines as a character can have values, times a line's places.
+    group = Window.partitionBy("variant")
+    least = lambda role: F.min(F.when(F.col("role") == role, F.col("number"))).over(group)
+    met = made.withColumns({f"first{k}": least(k) for k in (0, 1, 2)})
     # Who lacks a character meets the line itself, and the reverse.
     earlier = F.when(F.col("role") == 0, F.col("first0")).when(F.col("role") == 1, F.col("first2")).otherwise(F.col("first1"))
-    pairs = meets.select("number", earlier.alias("first")).where("first < number").distinct()
+    pairs = materialised(met.select("number", earlier.alias("first")).where("first < number").distinct())
     right = bodies.select(F.col("number").alias("first"), F.col("line").alias("earlier"))
     near = pairs.join(bodies, "number").join(right, "first").where(F.levenshtein("line", "earlier", 1) >= 0).select("at").distinct()
-    salt = F.pmod(F.hash("at"), F.lit(SALTS))
-    near = near.join(distinct, "at").select("h1", "h2", F.lit(True).alias("near"))
+    near = near.join(distinct, "at").select("h1", "h2", F.lit(True).alias("near"), F.col("n").alias("n_near"))
 
-    repeated = distinct.where("n > 1").select("h1", "h2", F.col("at").alias("first"))
-    judged = materialised(salted(repeated.join(near, ["h1", "h2"], "full").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))))
-    hit = lines.withColumn("salt", salt).join(judged, ["h1", "h2", "salt"])
+    repeated = distinct.where("n > 1").select("h1", "h2", F.col("at").alias("first"), "n")
+    judged = repeated.join(near, ["h1", "h2"], "full").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("n", "n_near").alias("n"))
+    hit = by_group(lines.select("h1", "h2", "at"), materialised(judged), ["h1", "h2"], "n", "at")
     copy = F.col("first").isNotNull() & (F.col("first") < F.col("at"))
     gone = hit.where(copy | F.col("near")).select("at", copy.alias("copy")).distinct()
     gone = gone.groupBy("at.doc_id", "at.key").agg(F.sort_array(F.collect_list("at.no")).alias("gone"), F.count_if("copy").alias("n_copies"), F.count_if(~F.col("copy")).alias("n_near"))
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key"), F.col("gone").alias("_gone"), "n_copies", "n_near")
-    out = keyed.join(gone, keyed[id_col].eqNullSafe(F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key")), "left")
+    gone = materialised(gone.select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key"), F.col("gone").alias("_gone"), "n_copies", "n_near"))
+    # A text that loses no line is read and passed on where it is; the filter is asked first, so only few of those move.
+    bloom = suspects(gone.select(F.col("_gone_key").alias("key")))
     lines_of = F.split(text_of(text_col), "\n")
+    n_lines = F.size(lines_of).cast("long").alias("n_lines")
+    own = [c for c in keyed.columns if c != "_key"]
+    untouched = bloom.filtered(keyed, F.col("_key"), inside=False).select(*own, n_lines, F.lit(0).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_near"))
+    touched = bloom.filtered(keyed, F.col("_key"))
+    out = touched.join(gone, touched[id_col].eqNullSafe(F.col("_gone_id")) & (F.col("_key") == F.col("_gone_key")), "left")
     # Runs of lines between those that go; each array is bound once.
     starts, stops = F.concat(F.array(F.lit(1)), F.transform("_gone", lambda i: i + 2)), F.concat("_gone", F.array(F.size(lines_of)))
     runs = lambda all_: F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice(all_, a, b - a + 1)))
     left = F.transform(F.array(lines_of), runs)[0]
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).when(F.size("_gone") < F.size(lines_of), F.array_join(left, "\n"))
-    kept = [text.alias(c) if c == text_col else F.col(c) for c in keyed.columns if c != "_key"]
-    return out.select(*kept, F.size(lines_of).cast("long").alias("n_lines"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    kept = [text.alias(c) if c == text_col else F.col(c) for c in own]
+    out = out.select(*kept, n_lines, F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    return out.unionByName(untouched)
+
+
+def suspects(keys: DataFrame) -> Bloom:
+    """A filter of the texts (by their hash) that a later step works on."""
+    keys = materialised(keys.distinct())
+    return Bloom(keys, keys.count(), 0.01)
+
+
+def _batches(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    """Record batches of at most BATCH variants."""
+    if held:
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        for a in range(0, len(columns[0]), BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + BATCH]) for x in columns], ["number", "role", "variant"])
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -158,8 +193,8 @@ with l as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as no from documents),
 t as (select doc_id, no, raw, trim(regexp_replace(raw, '[ 	-
 ]+', ' ', 'g')) as line from l),
-c as (select line, min(doc_id * 1000000 + no) as pos, length(line) as n from t where length(line) >= 20 group by line),
-k as (select line, pos, n, n + more as m, (n + more) // 2 as half, side from c, (values (0), (1)) as v(more), (values (0), (1)) as w(side)),
+c as (select line, min(doc_id * 1000000 + no) as pos, length(line) as n from t where line != '' group by line),
+k as (select line, pos, n, n + more as m, (n + more) // 2 as half, side from c, (values (0), (1)) as v(more), (values (0), (1)) as w(side) where n >= 20),
 h as (select line, pos, n, m, side, case side when 0 then left(line, half) else right(line, m - half) end as half from k),
 near as (select distinct b.line from h a join h b on a.m = b.m and a.side = b.side and a.half = b.half and a.pos < b.pos and abs(a.n - b.n) <= 1 where levenshtein(a.line, b.line) <= 1),
 j as (select t.doc_id, t.no, t.raw, c.pos < t.doc_id * 1000000 + t.no as copy, near.line is not null as near from t left join c on t.line = c.line left join near on t.line = near.line),
