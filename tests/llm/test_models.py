@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wirespan.llm import elias_fano, fingerprint, html_text, language_id, lm_scoring
@@ -68,27 +69,85 @@ def test_scores_against_brute_force(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_scores_are_a_distribution(spark):
-    """Over all words and the end, the probabilities after any context add up to at most one, but for quantisation."""
-    docs = spark.createDataFrame([("a b a c a b",), ("b a b",), ("c a b a",)], "text string")
-    trie, counts, total, distinct = lm_scoring.fit(docs)
-    codes = [np.uint64(r.code) for r in counts.collect() if r.code != int(lm_scoring.BEGIN)]
-    for context in (["a"], ["a", "b"], ["c"], []):
-        mass = 0.0
-        for w in codes:
-            seq = np.array([lm_scoring.BEGIN, *lm_scoring.tokens([" ".join(context)])[0][1:-1], w], np.uint64)
-            base = math.log10(trie.counts[trie.word(np.array([w]))[0]] + 1) - math.log10(total + distinct + 1)
-            mass += 10 ** (base + lm_scoring.adjustments(trie, seq, math.log10(total + distinct + 1))[-1])
-        assert 0.7 < mass < 1.05
+def naive_scores(token_lists, train, discount=lm_scoring.DISCOUNT):
+    """log10 probabilities of texts by back-off from trigrams to bigrams to the base, from counts in dictionaries."""
+    uni, bi, tri = Counter(), {}, {}
+    for tokens in (token_lists[i] for i in train):
+        uni.update(tokens)
+        padded = ["<begin>", "<begin>", *tokens]
+        for u, v, w in zip(padded, padded[1:], tokens, strict=False):
+            bi.setdefault(v, Counter())[w] += 1
+            tri.setdefault((u, v), Counter())[w] += 1
+    norm = uni.total() + len(uni) + 1
+
+    def p(u, v, w):
+        if w in tri.get((u, v), ()):
+            return (tri[u, v][w] - discount) / tri[u, v].total()
+        left = discount * len(tri[u, v]) / tri[u, v].total() if (u, v) in tri else 1.0
+        if w in bi.get(v, ()):
+            return left * (bi[v][w] - discount) / bi[v].total()
+        return left * (discount * len(bi[v]) / bi[v].total() if v in bi else 1.0) * (uni[w] + 1) / norm
+
+    for tokens in token_lists.values():
+        padded = ["<begin>", "<begin>", *tokens]
+        yield sum(math.log10(p(u, v, w)) for u, v, w in zip(padded, padded[1:], tokens, strict=False))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_scores_against_naive_back_off(spark, texts, monkeypatch, small):
+    """Also with many shards, words that are split over several of them, few frequent words and short runs of texts."""
+    if small:
+        for name, value in (("SHARD_TOKENS", 5000), ("SPLIT", 1 << 10), ("FREQUENT", 300), ("GROUP_TOKENS", 9000), ("SLICE", 20_000)):
+            monkeypatch.setattr(lm_scoring, name, value)
+    token_lists = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), d.text or "")) if w] + [None] for i, d in texts.items()}
+    train = {i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2}
+    got = {r.doc_id: r for r in lm_scoring.op6_lm_scoring(spark, SF).collect()}
+    for (i, tokens), wanted in zip(token_lists.items(), naive_scores(token_lists, train), strict=True):
+        assert abs(got[i].score - wanted) <= 0.02 * len(tokens) + 1e-6, i
+    close = [abs(got[i].score - wanted) / len(token_lists[i]) for i, wanted in zip(token_lists, naive_scores(token_lists, train), strict=True)]
+    assert np.mean(close) < 0.003
+
+
+def test_trie_against_dictionaries():
+    """Random trigrams, some words with all their bigrams given apart, before and after a trip through bytes."""
+    rng = np.random.default_rng(5)
+    v, u, w = rng.integers(10, 40, 4000).astype(np.uint64) << np.uint64(40), rng.integers(1, 60, 4000).astype(np.uint32), rng.integers(1, 60, 4000).astype(np.uint32)
+    n, split = rng.integers(1, 4, 4000), v < np.uint64(15 << 40)
+    more = (np.full(3, 11 << 40, np.uint64), np.array([70, 71, 72], np.uint32), np.array([2, 1, 1]))
+    whole = lm_scoring.merged_bigrams(*(np.concatenate([x[split], y]) for x, y in zip((v, w, n), more, strict=True)))
+    bi, tri = {}, {}
+    for a, b, c, k in zip(v.tolist(), u.tolist(), w.tolist(), n.tolist(), strict=True):
+        tri.setdefault((a, b), Counter())[c] += k
+        bi.setdefault(a, Counter())[c] += k
+    for a, c, k in zip(*(x.tolist() for x in more), strict=True):
+        bi[a][c] += k
+    built = elias_fano.Trie.of(v, u, w, n, whole, 0.75)
+    ask = sorted(zip(rng.integers(8, 42, 3000) << 40, rng.integers(1, 62, 3000), rng.integers(1, 74, 3000), strict=True))
+    av, au, aw = np.array([x[0] for x in ask], np.uint64), np.array([x[1] for x in ask], np.uint32), np.array([x[2] for x in ask], np.uint32)
+    for trie in (built, elias_fano.Trie.from_buffer(np.frombuffer(built.to_bytes(), np.uint8))):
+        value, open_ = trie.score(av, au, aw)
+        for (a, b, c), x, o in zip(ask, value.tolist(), open_.tolist(), strict=True):
+            a, b, c = int(a), int(b), int(c)
+            assert o == (c not in bi.get(a, ()))
+            t = tri.get((a, b), Counter())
+            if c in t:
+                wanted = math.log10((t[c] - 0.75) / t.total())
+            else:
+                wanted = math.log10(0.75 * len(t) / t.total()) if t else 0.0
+                wanted += math.log10((bi[a][c] - 0.75) / bi[a].total()) if not o else math.log10(0.75 * len(bi[a]) / bi[a].total()) if a in bi else 0.0
+            assert abs(x - wanted) < 0.05
+        assert (trie.seen(np.array([11 << 40, 9 << 40], np.uint64)) == [bi[11 << 40].total(), 0]).all()
 
 
 def test_scores_of_odd_rows(spark):
-    docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "A a\ta", 3), (3, "A a\ta", 3), (None, "é" * 1000, 4)], "doc_id bigint, text string, more int")
-    model = lm_scoring.fit(docs.select("text"))
-    got = lm_scoring.score(docs, model).collect()
-    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 2), (1, 1), (2, 1), (3, 4), (3, 4)]
-    empty = lm_scoring.fit(docs.select("text").limit(0))
-    assert {r.n_known for r in lm_scoring.score(docs, empty).collect()} == {0}
+    docs = spark.createDataFrame([(1, None, 1, "x"), (2, "", 2, "x"), (3, "A a\ta", 3, "x"), (3, "A a\ta", 3, "x"), (None, "é " * 400_000, 4, None)], "doc_id bigint, text string, more int, value string")
+    out, total = lm_scoring.score(docs, F.lit(True))
+    got = out.collect()
+    assert total == 400_011 and out.columns == ["doc_id", "more", "value", "n_tokens", "n_known", "base_score", "score"]
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in got) == [(0, 400_001, 400_001), (1, 1, 1), (2, 1, 1), (3, 4, 4), (3, 4, 4)]
+    untrained, total = lm_scoring.score(docs, F.lit(False))
+    assert total == 0 and {(r.n_known, r.score) for r in untrained.collect()} == {(0, 0.0)}
+    assert lm_scoring.score(docs.limit(0), F.lit(True))[0].collect() == []
 
 
 def test_fingerprints_table(spark, texts):

@@ -77,8 +77,11 @@ class EliasFano:
         low = self.low[word] >> shift | np.where(shift > np.uint64(0), self.low[word + 1] << (np.uint64(64) - shift & np.uint64(63)), np.uint64(0))
         return low & np.uint64((1 << self.width) - 1)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, -1 where it is not: its high bits name a run of the sequence, where its low bits are searched."""
+    def find(self, values: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """Index of each value, -1 where it is not, if given between the indices first (with it) and last (without it).
+
+        A value's high bits name a run of the sequence; where that overlaps the indices asked for, its low bits are searched.
+        """
         out = np.full(len(values), -1)
         if not self.n:
             return out
@@ -88,6 +91,8 @@ class EliasFano:
         high, low = high[ask], low[ask]
         hi = np.minimum(self._zeros(high) - high, self.n)
         lo = np.where(high > 0, self._zeros(np.maximum(high - 1, 0)) + 1 - high, 0)
+        if first is not None:
+            lo, hi = np.maximum(lo, first[ask]), np.minimum(hi, last[ask])
         end = hi.copy()
         while (open_ := np.flatnonzero(lo < hi)).size:
             middle = (lo[open_] + hi[open_]) >> 1
@@ -101,7 +106,7 @@ class EliasFano:
 
 
 class Codebook:
-    """Numbers as 8-bit codes of at most 256 representatives, equally many numbers to each."""
+    """Numbers as 8-bit codes: of at most 256 different ones, or of as many equal steps between the least and the largest."""
 
     def __init__(self, codes: np.ndarray, values: np.ndarray):
         self.codes, self.values = codes, values
@@ -110,54 +115,117 @@ class Codebook:
     def of(cls, numbers: np.ndarray) -> Codebook:
         if not len(numbers):
             return cls(np.zeros(0, np.uint8), np.zeros(1))
-        values = np.unique(np.quantile(numbers, (np.arange(256) + 0.5) / 256)) if len(np.unique(numbers)) > 256 else np.unique(numbers)
-        at = np.clip(np.searchsorted(values, numbers), 1, max(1, len(values) - 1)) if len(values) > 1 else np.zeros(len(numbers), np.intp)
-        if len(values) > 1:
-            at = np.where(numbers - values[at - 1] < values[at] - numbers, at - 1, at)
-        return cls(at.astype(np.uint8), values)
+        values, codes = np.unique(numbers, return_inverse=True)
+        if len(values) > 256:
+            codes = ((numbers - values[0]) / (values[-1] - values[0]) * 255.999).astype(np.intp)
+            values = np.bincount(codes, numbers, 256) / np.maximum(np.bincount(codes, minlength=256), 1)
+        return cls(codes.astype(np.uint8), values)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         return self.values[self.codes[i]]
 
 
 class Trie:
-    """Levels of an n-gram model.
+    """The n-grams (u, v, w) of some words v, by levels whose monotone pointers lead from one to the next.
 
-    Level 1: ``words`` holds the sorted word codes, ``counts`` how often each was seen, ``back[0]`` the weight (log10) that
-    a word as context gives to shorter ones. Level k > 1: ``grams[k - 2]`` holds context * V + word for each n-gram, where
-    context is its index one level up, in order; ``starts[k - 2]`` where each context's n-grams begin; ``logs[k - 2]``
-    quantised probabilities (log10); ``back[k - 1]`` weights as context.
+    ``tops`` holds the words v, sorted, with how often each was seen (``counts``) and what it leaves to shorter contexts
+    (``back``); ``words`` the codes of all u and w. For the i-th v, ``after`` holds i * W + w for each successor w, from
+    ``after_at[i]`` to ``after_at[i + 1]``, and ``before`` i * W + u for each context (u, v), with its own weight. For the
+    j-th context, ``third`` holds j * R + r for each w that follows it, where r is the place of w among the successors of
+    v: an identifier relative to the shorter context. Probabilities and weights are logarithms (base 10) of 8 bits.
     """
 
-    def __init__(self, words, counts, grams, starts, logs, back):
-        self.words, self.counts, self.grams, self.starts, self.logs, self.back = words, counts, grams, starts, logs, back
-
-    def word(self, codes: np.ndarray) -> np.ndarray:
-        return self.words.find(codes)
-
-    def child(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Indices at ``level`` (2 on) of contexts' continuations; -1 where context or word is -1 or unknown.
+    SEQUENCES = ("tops", "words", "after", "after_at", "before", "before_at", "third", "third_at")
+    BOOKS = ("after_log", "third_log", "back", "before_back")
 
-        A context's continuations are the run of numbers from context * V on, so a word is sought relative to it.
+    @classmethod
+    def of(cls, v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, whole: tuple[np.ndarray, np.ndarray, np.ndarray], discount: float) -> Trie:
+        """From trigrams and their counts n, each perhaps in several parts; ``whole`` has all bigrams (v, w, n) of those v whose trigrams are not all here."""
+        self = cls()
+        tops, words = np.unique(np.concatenate([v, whole[0]])), np.unique(np.concatenate([u, w, whole[1]]))
+        self.size, at = len(words), np.searchsorted
+        i = at(tops, v)
+        key, n = _summed(i * self.size + at(words, u), at(words, w), n)
+        context_of, w_of = key
+        split = np.isin(tops, whole[0])[context_of // self.size]
+        bigram = np.concatenate([(context_of // self.size * self.size + w_of)[~split], at(tops, whole[0]) * self.size + at(words, whole[1])])
+        after, back_to = np.unique(bigram, return_inverse=True)
+        after_n = np.bincount(back_to, np.concatenate([n[~split], whole[2]]), len(after))
+        after_at = np.searchsorted(after // self.size, np.arange(len(tops) + 1)) if len(after) else np.zeros(len(tops) + 1, np.int64)
+        before, j = np.unique(context_of, return_inverse=True)
+        before_at = np.searchsorted(before // self.size, np.arange(len(tops) + 1)) if len(before) else np.zeros(len(tops) + 1, np.int64)
+        v_of = context_of // self.size
+        place = np.searchsorted(after, v_of * self.size + w_of) - after_at[v_of]
+        self.reach = int(np.diff(after_at).max(initial=0)) + 1
+        third = j * self.reach + place
+        third_at = np.searchsorted(j, np.arange(len(before) + 1))
+        self.counts = np.bincount(np.repeat(np.arange(len(tops)), np.diff(after_at)), after_n, len(tops)).astype(np.int64)
+        context_n = np.bincount(j, n, len(before))
+        with np.errstate(divide="ignore"):
+            self.after_log = Codebook.of(np.log10((after_n - discount) / self.counts[after // max(1, self.size)]))
+            self.third_log = Codebook.of(np.log10((n - discount) / context_n[j]))
+            self.back = Codebook.of(np.log10(discount * np.diff(after_at) / np.maximum(self.counts, 1)))
+            self.before_back = Codebook.of(np.log10(discount * np.diff(third_at) / np.maximum(context_n, 1)))
+        for name, values in (("tops", tops), ("words", words), ("after", after), ("after_at", after_at), ("before", before), ("before_at", before_at), ("third", third), ("third_at", third_at)):
+            setattr(self, name, EliasFano.of(values.astype(np.uint64)))
+        return self
+
+    def seen(self, v: np.ndarray) -> np.ndarray:
+        """How often words were seen in training."""
+        i = self.tops.find(v)
+        return np.where(i >= 0, self.counts[i] if len(self.counts) else 0, 0)
+
+    def score(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each w's probability after (u, v), and whether neither context knows it: then it lacks that of w alone.
+
+        Trigrams come sorted by v and u, each of which is looked up once.
         """
-        out = np.full(len(context), -1)
-        ok = np.flatnonzero((context >= 0) & (word >= 0))
-        out[ok] = self.grams[level - 2].find((context[ok] * self.words.n + word[ok]).astype(np.uint64))
-        return out
+        if not self.tops.n or not len(v):
+            return np.zeros(len(v)), np.ones(len(v), bool)
+        new = np.concatenate([[True], v[1:] != v[:-1]])
+        top = self.tops.find(v[new])
+        first, last = self._run(self.after_at, top)
+        run = np.cumsum(new) - 1
+        word = self._words(w)
+        i = top[run]
+        found = np.where((i >= 0) & (word >= 0), i * self.size + word, 0).astype(np.uint64)
+        after = self.after.find(found, first[run], last[run])
+        after[(i < 0) | (word < 0)] = -1
+        pair = new | np.concatenate([[True], u[1:] != u[:-1]])
+        top, word = i[pair], self._words(u[pair])
+        first, last = self._run(self.before_at, top)
+        before = self.before.find(np.where((top >= 0) & (word >= 0), top * self.size + word, 0).astype(np.uint64), first, last)
+        before[(top < 0) | (word < 0)] = -1
+        first, last = self._run(self.third_at, before)
+        each = np.cumsum(pair) - 1
+        j = before[each]
+        relative = after - self._run(self.after_at, np.maximum(i, 0))[0]
+        known = (j >= 0) & (after >= 0)
+        third = self.third.find(np.where(known, j * self.reach + relative, 0).astype(np.uint64), first[each], last[each])
+        third[~known] = -1
+        value = np.where(j >= 0, self.before_back.get(np.maximum(j, 0)) if self.before.n else 0.0, 0.0)
+        value += np.where(after >= 0, self.after_log.get(np.maximum(after, 0)) if self.after.n else 0.0, np.where(i >= 0, self.back.get(np.maximum(i, 0)), 0.0))
+        if self.third.n:
+            value = np.where(third >= 0, self.third_log.get(np.maximum(third, 0)), value)
+        return value, after < 0
+
+    def _words(self, codes: np.ndarray) -> np.ndarray:
+        distinct, at = np.unique(codes, return_inverse=True)
+        return self.words.find(distinct.astype(np.uint64))[at]
 
-    def children(self, level: int, context: int) -> np.ndarray:
-        """Words that continue a context, as the pointers delimit them."""
-        first, last = self.starts[level - 2].get(np.array([context, context + 1])).astype(np.int64)
-        return (self.grams[level - 2].get(np.arange(first, last)) % np.uint64(self.words.n)).astype(np.int64)
+    @staticmethod
+    def _run(pointers: EliasFano, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the children of the i-th begin and end; nowhere for -1."""
+        has = i >= 0
+        first = np.where(has, pointers.get(np.where(has, i, 0)).astype(np.int64), 0)
+        return first, np.where(has, pointers.get(np.where(has, i + 1, 0)).astype(np.int64), 0)
 
     def to_bytes(self) -> bytes:
-        sequences = {"words": self.words, **{f"g{i}": x for i, x in enumerate(self.grams)}, **{f"s{i}": x for i, x in enumerate(self.starts)}}
+        sequences, books = {k: getattr(self, k) for k in self.SEQUENCES}, {k: getattr(self, k) for k in self.BOOKS}
         arrays = {f"{k}.{f}": getattr(x, f) for k, x in sequences.items() for f in EliasFano.FIELDS} | {"counts": self.counts}
-        for kind, books in (("l", self.logs), ("b", self.back)):
-            for i, x in enumerate(books):
-                arrays |= {f"{kind}{i}.codes": x.codes, f"{kind}{i}.values": x.values}
-        head = json.dumps({"n": {k: [x.n, x.width] for k, x in sequences.items()}, "arrays": {k: [str(a.dtype), len(a)] for k, a in arrays.items()}}).encode()
-        parts = [len(head).to_bytes(8, "little"), head]
+        arrays |= {f"{k}.{f}": getattr(x, f) for k, x in books.items() for f in ("codes", "values")}
+        head = json.dumps({"size": self.size, "reach": self.reach, "n": {k: [x.n, x.width] for k, x in sequences.items()}, "arrays": {k: [str(a.dtype), len(a)] for k, a in arrays.items()}}).encode()
+        parts = [len(head).to_bytes(8, "little"), head + b" " * (-len(head) % 8)]
         for a in arrays.values():
             raw = a.tobytes()
             parts.append(raw + b"\0" * (-len(raw) % 8))
@@ -166,13 +234,23 @@ class Trie:
     @classmethod
     def from_buffer(cls, buffer: np.ndarray) -> Trie:
         """From the bytes of to_bytes(), for example mapped from a file; nothing is copied."""
-        size = int.from_bytes(buffer[:8].tobytes(), "little")
-        head, at, arrays = json.loads(buffer[8 : 8 + size].tobytes()), 8 + size, {}
+        self, size = cls(), int.from_bytes(buffer[:8].tobytes(), "little")
+        head, at, arrays = json.loads(buffer[8 : 8 + size].tobytes()), 8 + size + -size % 8, {}
         for k, (kind, n) in head["arrays"].items():
             raw = np.dtype(kind).itemsize * n
             arrays[k] = buffer[at : at + raw].view(kind)
             at += raw + -raw % 8
-        ef = lambda k: EliasFano(*head["n"][k], *(arrays[f"{k}.{f}"] for f in EliasFano.FIELDS))
-        book = lambda k: Codebook(arrays[f"{k}.codes"], arrays[f"{k}.values"])
-        levels = sum(k[0] == "g" for k in head["n"])
-        return cls(ef("words"), arrays["counts"], [ef(f"g{i}") for i in range(levels)], [ef(f"s{i}") for i in range(levels)], [book(f"l{i}") for i in range(levels)], [book(f"b{i}") for i in range(levels)])
+        self.size, self.reach, self.counts = head["size"], head["reach"], arrays["counts"]
+        for k in cls.SEQUENCES:
+            setattr(self, k, EliasFano(*head["n"][k], *(arrays[f"{k}.{f}"] for f in EliasFano.FIELDS)))
+        for k in cls.BOOKS:
+            setattr(self, k, Codebook(arrays[f"{k}.codes"], arrays[f"{k}.values"]))
+        return self
+
+
+def _summed(major: np.ndarray, minor: np.ndarray, n: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The distinct pairs in order, with their sums of n."""
+    order = np.lexsort((minor, major))
+    major, minor, n = major[order], minor[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], (major[1:] != major[:-1]) | (minor[1:] != minor[:-1])])) if len(major) else np.zeros(0, np.intp)
+    return (major[new], minor[new]), np.add.reduceat(n, new) if len(new) else n

@@ -1,17 +1,25 @@
-"""Language-model scores from an Elias-Fano n-gram trie.
+"""Language-model scores from Elias-Fano n-gram tries.
 
 Tokens are words (A-Z lower-cased, split at ASCII white space) and one end per
-text; words are told apart by 64-bit hashes. All counts are gathered from every
-training text. An n-gram is kept if at least FLOOR of all tokens are it, so
-each level has at most 1 / FLOOR n-grams whatever the corpus is, and the trie
-that all executors map has a proven size bound. As a kept n-gram's parts are
-kept, level k counts only continuations of level k - 1.
-
-Level 1 is the base: (c + 1) / (N + V + 1), for every word with its exact
-count. Kept n-grams have (n - D) / n(context); what that leaves goes to the
-others in proportion to the next shorter context. Probabilities and weights
-are quantised to 8 bits. Counts of words that the trie has not are joined to
-the texts that have them.
+text; words are told apart by 64-bit hashes, in the first and last place of a
+trigram by 32 bits of them. Every n-gram of every training text is kept, so the
+model grows with the corpus. Its trigrams are dealt by their middle word (that
+of a bigram is its first) into shards of about SHARD_TOKENS tokens; a word that
+has more than one in SPLIT of all tokens is split by first words, and then each
+part has all its bigrams too. A task gathers one shard's counts, makes a trie
+of them, maps it and answers the trigrams that texts ask it for.
+
+A seen trigram has (n - D) / n(context); what that leaves goes to the next
+shorter context, and from bigrams to (c + 1) / (N + V + 1), the base. The part
+of it that falls on words the longer context has seen is left unused, so the
+probabilities after a context add up to at most one. Probabilities and weights
+are quantised to 8 bits.
+
+Neither the driver nor a broadcast holds more of the model than the words that
+have one in FREQUENT of all tokens, of which there are at most FREQUENT; their
+counts are known where texts are read, those of other words come from shards
+and a join. A text's n-grams leave its task once for each run of about
+GROUP_TOKENS tokens, so common ones move once for very many texts.
 
 A null text counts as empty: its one token is the end. Rows stay one to one,
 repeated ids too; a null id belongs to training, as crc32 of the empty text is
@@ -21,21 +29,25 @@ repeated ids too; a null id belongs to training, as crc32 of the empty text is
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirespan.llm.common import crc_mod, materialised, read, text_of
-from wirespan.llm.elias_fano import Codebook, EliasFano, Trie
+from wirespan.llm.elias_fano import Trie
 from wirespan.llm.memo import slices
-from wirespan.llm.near_dedup import mixed, powers
+from wirespan.llm.near_dedup import BASE, mixed, powers
 
-ORDER, FLOOR, DISCOUNT = 3, 2.0**-22, 0.75
+DISCOUNT = 0.75
 BEGIN, END = np.uint64(1), np.uint64(2)
 SLICE = 3_000_000
+SHARD_TOKENS, SPLIT, FREQUENT = 1 << 21, 256, 1 << 20
+#: Tokens and texts whose n-grams leave a task together.
+GROUP_TOKENS, GROUP_TEXTS = 2_000_000, 60_000
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,42 +70,202 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, owner
 
 
-class Shared:
-    """A trie for tasks, sent as bytes, which each worker puts in a nameless file of its own and maps."""
-
-    def __init__(self, spark: SparkSession, trie: Trie):
-        self.blob = spark.sparkContext.broadcast(trie.to_bytes())  # bounded by FLOOR
-
-    def trie(self) -> Trie:
-        with tempfile.TemporaryFile() as f:
-            f.write(self.blob.value)
-            f.flush()
-            return Trie.from_buffer(np.memmap(f, np.uint8, mode="r"))
-
-
-def words_of(trie: Trie, codes: np.ndarray) -> np.ndarray:
-    """Word index of each token; each distinct one is looked up once."""
-    distinct, at = np.unique(codes, return_inverse=True)
-    return trie.word(distinct)[at]
-
-
-def climb(trie: Trie, codes: np.ndarray, upto: int) -> list[np.ndarray]:
-    """For k = 1 .. upto, at each token the index at level k of the n-gram that ends there, -1 where it is not kept.
-
-    N-grams do not reach over a BEGIN, as nothing continues an END.
+def short(codes: np.ndarray) -> np.ndarray:
+    """The 32 bits that stand for a word in the first and last place."""
+    return (codes >> np.uint64(16)).astype(np.uint32)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    return b"".join([np.array([len(arrays), *map(len, arrays)], np.uint32).tobytes(), *[a.tobytes() for a in arrays]])
+
+
+def unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
+    """The arrays of pack(), of these kinds of numbers."""
+    view = memoryview(blob)
+    n = int(np.frombuffer(view[:4], np.uint32)[0])
+    sizes, at, out = np.frombuffer(view[4 : 4 + 4 * n], np.uint32), 4 + 4 * n, []
+    for size, kind in zip(sizes.tolist(), kinds.split(), strict=True):
+        kind = np.dtype(kind)
+        out.append(np.frombuffer(view[at : at + size * kind.itemsize], kind))
+        at += size * kind.itemsize
+    return out
+
+
+#: What is asked of a shard: words v and how many trigrams each has; rare words and their texts; codes of all u and w; of
+#: each trigram how often it was learned and asked, its u and w as numbers of codes (low and high halves), and the texts
+#: that ask; split words and how many bigrams each has, with counts and w.
+ASKED = "u8 u4 u8 u4 u2 u4 u4 u4 u2 u2 u2 u2 u2 u8 u4 u4 u4"
+#: What comes back: texts with their sums; rare words' texts with sums and seen words; texts with open rare words.
+ANSWERED = "u2 f4 u2 f8 u4 u2 u4"
+
+
+def distinct_trigrams(v: np.ndarray, u: np.ndarray, w: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct trigrams of numbers below m, in order, and which of them each is."""
+    if m < 1 << 21:
+        grams, of = np.unique((v * m + u) * m + w, return_inverse=True)
+        return grams // (m * m), grams // m % m, grams % m, of
+    context, of = np.unique(v * m + u, return_inverse=True)
+    grams, of = np.unique(of * m + w, return_inverse=True)
+    return context[grams // m] // m, context[grams // m] % m, grams % m, of
+
+
+class Asking:
+    """The n-grams of a run of texts, by shard."""
+
+    def __init__(self, shards: int, frequent: np.ndarray, parts: dict[int, int]):
+        self.shards, self.frequent = shards, frequent
+        self.split, self.parts = np.array(sorted(parts), np.uint64), np.array([parts[k] for k in sorted(parts)], np.uint64)
+
+    def home(self, v: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return (mixed(v + (part + np.uint64(1)) * BASE) % np.uint64(self.shards)).astype(np.int64)
+
+    def parts_of(self, v: np.ndarray) -> np.ndarray:
+        if not len(self.split):
+            return np.ones(len(v), np.uint64)
+        at = np.minimum(np.searchsorted(self.split, v), len(self.split) - 1)
+        return np.where(self.split[at] == v, self.parts[at], np.uint64(1))
+
+    def blobs(self, codes: np.ndarray, owner: np.ndarray, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(shard, blob) of texts' tokens; ``owner`` numbers the texts, ``train`` tells which are learned from."""
+        words, place = np.unique(codes, return_inverse=True)
+        at = np.flatnonzero(codes != BEGIN)
+        w, v, u = place[at], place[at - 1], place[np.where(codes[at - 1] == BEGIN, at - 1, at - 2)]
+        texts, m = owner[at], len(words)
+        v, u, w, of = distinct_trigrams(v, u, w, m)
+        times, learned = np.bincount(of, minlength=len(v)), np.bincount(of, train[texts], len(v)).astype(np.uint32)
+        listed = texts[np.argsort(of, kind="stable")].astype(np.uint16)
+        starts = np.cumsum(times) - times
+        parts = self.parts_of(words[v])
+        shard = self.home(words[v], np.where(parts > 1, mixed(words[u] * BASE) % parts, 0).astype(np.uint64))
+
+        # All bigrams of split words, for each of their parts.
+        big = np.flatnonzero((parts > 1) & (learned > 0))
+        pair, back = np.unique(v[big] * m + w[big], return_inverse=True)
+        pair_n, pair_v = np.bincount(back, learned[big], len(pair)).astype(np.uint32), pair // m
+        copies = self.parts_of(words[pair_v]).astype(np.int64)
+        pair_of = np.repeat(np.arange(len(pair)), copies)
+        part = np.arange(len(pair_of)) - np.repeat(np.cumsum(copies) - copies, copies)
+        # Once for each shard, also where that has several parts of a word.
+        there = np.unique(pair_of * self.shards + self.home(words[pair_v[pair_of]], part.astype(np.uint64)))
+        pair_of, pair_shard = there // self.shards, there % self.shards
+
+        # Words that are not frequent, with the texts that have them.
+        hit = np.minimum(np.searchsorted(self.frequent, words), max(0, len(self.frequent) - 1))
+        rare = (self.frequent[hit] != words) if len(self.frequent) else np.ones(m, bool)
+        rare &= words != BEGIN
+        mine = np.flatnonzero(rare[place[at]])
+        mine = mine[np.argsort(place[at][mine], kind="stable")]
+        rare_word, rare_text = place[at][mine], texts[mine].astype(np.uint16)
+        rare_shard = self.home(words[rare_word], np.zeros(len(mine), np.uint64))
+
+        order, pair_order, rare_order = (np.argsort(x, kind="stable") for x in (shard, pair_shard, rare_shard))
+        ends = [np.searchsorted(x[o], np.arange(self.shards + 1)) for x, o in ((shard, order), (pair_shard, pair_order), (rare_shard, rare_order))]
+        for s in range(self.shards):
+            own, own_pairs, own_rare = (o[e[s] : e[s + 1]] for o, e in zip((order, pair_order, rare_order), ends, strict=True))
+            if not len(own) and not len(own_pairs) and not len(own_rare):
+                continue
+            new = np.flatnonzero(np.diff(v[own], prepend=-1))
+            codebook, number = np.unique(np.concatenate([u[own], w[own]]), return_inverse=True)
+            halves = [half for x in (number[: len(own)], number[len(own) :]) for half in (x.astype(np.uint16), (x >> 16).astype(np.uint16))]
+            k = times[own]
+            lists = listed[np.arange(k.sum()) + np.repeat(starts[own] - (np.cumsum(k) - k), k)]
+            first = np.flatnonzero(np.diff(rare_word[own_rare], prepend=-1))
+            p = pair_of[own_pairs]
+            start = np.flatnonzero(np.diff(pair_v[p], prepend=-1))
+            yield s, pack(
+                *(words[v[own][new]], np.diff(new, append=len(own)).astype(np.uint32)),
+                *(words[rare_word[own_rare][first]], np.diff(first, append=len(own_rare)).astype(np.uint32), rare_text[own_rare]),
+                *(short(words[codebook]), learned[own], k.astype(np.uint32), *halves, lists),
+                *(words[pair_v[p][start]], np.diff(start, append=len(p)).astype(np.uint32), pair_n[p], short(words[pair[p] % m])),
+            )
+
+
+def mapped(trie: Trie) -> Trie:
+    """The trie in a nameless file of this task, mapped."""
+    with tempfile.TemporaryFile() as f:
+        f.write(trie.to_bytes())
+        f.flush()
+        return Trie.from_buffer(np.memmap(f, np.uint8, mode="r"))
+
+
+class Base:
+    """The base's probabilities: counts of the frequent words, number of tokens and of distinct ones in training."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+        self.codes, self.logs, self.norm = codes, np.log10(counts + 1.0), float(np.log10(total + distinct + 1))
+        order = np.argsort(short(codes), kind="stable")
+        self.shorts, self.short_logs = short(codes)[order], self.logs[order]
+
+    def known(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are frequent, and log10 of their counts plus one."""
+        return self._look(self.codes, self.logs, words)
+
+    def known_short(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._look(self.shorts, self.short_logs, words)
+
+    @staticmethod
+    def _look(codes: np.ndarray, logs: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(codes):
+            return np.zeros(len(words), bool), np.zeros(len(words))
+        at = np.minimum(np.searchsorted(codes, words), len(codes) - 1)
+        hit = codes[at] == words
+        return hit, np.where(hit, logs[at], 0.0)
+
+
+def answers(blobs: list[bytes], base: Base, discount: float) -> Iterator[bytes]:
+    """One blob for each that asks this shard, from the trie of what all of them learned."""
+    asked = [unpack(b, ASKED) for b in blobs]
+
+    def gathered(columns) -> list[np.ndarray]:
+        parts = [columns(a) for a in asked]
+        return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+    def trigrams(a) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        number = lambda low, high: low.astype(np.intp) | high.astype(np.intp) << 16
+        return np.repeat(a[0], a[1]), a[5][number(a[8], a[9])], a[5][number(a[10], a[11])]
+
+    def learned(a) -> tuple:
+        had = a[6] > 0
+        return *(x[had] for x in trigrams(a)), a[6][had].astype(np.int64)
+
+    v, u, w, n = gathered(learned)
+    whole = gathered(lambda a: (np.repeat(a[13], a[14]), a[16], a[15].astype(np.int64)))
+    trie = mapped(Trie.of(v, u, w, n, merged_bigrams(*whole), discount))
+    del v, u, w, n, whole
+    for a in asked:
+        value, open_ = trie.score(*trigrams(a))
+        texts, k = a[12].astype(np.intp), a[7]
+        w = trigrams(a)[2]
+        hit, logs = base.known_short(w)
+        value = value + np.where(open_, logs * hit - base.norm, 0.0)
+        sums = np.bincount(texts, np.repeat(value, k))
+        there = np.unique(texts)
+        lost = np.repeat(open_ & ~hit, k)
+        seen = trie.seen(a[2])
+        rare = a[4].astype(np.intp)
+        counts = np.repeat(seen, a[3])
+        rare_there = np.unique(rare)
+        yield pack(
+            *(there.astype(np.uint16), sums[there].astype(np.float32)),
+            *(rare_there.astype(np.uint16), np.bincount(rare, np.log10(counts + 1.0))[rare_there], np.bincount(rare, counts > 0)[rare_there].astype(np.uint32)),
+            *(texts[lost].astype(np.uint16), np.repeat(w, k)[lost]),
+        )
+
+
+def merged_bigrams(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((w, v))
+    v, w, n = v[order], w[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])) if len(v) else np.zeros(0, np.intp)
+    return v[new], w[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def score(docs: DataFrame, train: Column, text_col: str = "text", discount: float = DISCOUNT) -> tuple[DataFrame, int]:
+    """docs' columns but the text, with n_tokens, n_known, base_score and score, which replace columns so named; and N.
+
+    The model is learned from the rows for which ``train`` holds.
     """
-    word = words_of(trie, codes)
-    found = [word]
-    for level in range(2, upto + 1):
-        context = np.concatenate([[-1], found[-1][:-1]])
-        context[codes == BEGIN] = -1
-        found.append(trie.child(level, context, word))
-    return found
-
-
-def fit(train: DataFrame, order: int = ORDER, floor: float = FLOOR, discount: float = DISCOUNT) -> tuple[Trie, DataFrame, int, int]:
-    """The trie of ``train``'s column text, the counts of all words (code, n), the number of tokens and of distinct ones."""
-    spark = train.sparkSession
+    spark = docs.sparkSession
+    source = docs.select(text_of(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
 
     def unigrams(batches):
         for batch in batches:
@@ -101,133 +273,108 @@ def fit(train: DataFrame, order: int = ORDER, floor: float = FLOOR, discount: fl
                 codes, n = np.unique(tokens(texts)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n)], ["code", "n"])
 
-    sums = lambda df: df.groupBy("code").agg(F.sum("n").alias("n"))
-    counts = materialised(sums(train.select("text").mapInArrow(unigrams, "code bigint, n bigint")))
-    real = F.col("code") != int(BEGIN)
-    total, distinct = counts.where(real).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(1.0, floor * total)
-    kept = counts.where((F.col("n") >= least) | F.col("code").isin(int(BEGIN), int(END))).toPandas()  # at most 1 / floor rows, and two
-    marks = pd.DataFrame({"code": [int(m) for m in (BEGIN, END) if int(m) not in set(kept.code)], "n": 0}, dtype="int64")
-    kept = pd.concat([kept, marks]).sort_values("code")  # both marks are words even where no text is
-    words, n_words = EliasFano.of(kept.code.to_numpy(np.uint64)), len(kept)
-    empty = EliasFano.of(np.zeros(0, np.uint64))
-    trie = Trie(words, kept.n.to_numpy(np.int64), [], [], [], [])
-    freq = [kept.n.to_numpy(np.float64)]
-    uni = np.log10((freq[0] + 1) / (total + distinct + 1))
-    lower = uni  # log10 probability of each n-gram of the level above
-    for level in range(2, order + 1):
-        shared = Shared(spark, trie)
-
-        def continued(batches, level=level, shared=shared):
-            trie = shared.trie()
-            for batch in batches:
-                for _, texts in slices(batch.column(0), SLICE):
-                    codes = tokens(texts)[0]
-                    found = climb(trie, codes, level - 1)
-                    context, word = np.concatenate([[-1], found[-1][:-1]]), found[0]
-                    # A kept n-gram's last n - 1 words are kept too.
-                    ok = (context >= 0) & (word >= 0) & (found[-1] >= 0) & (codes != BEGIN)
-                    keys, n = np.unique(context[ok] * trie.words.n + word[ok], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["code", "n"])
-
-        found = sums(train.select("text").mapInArrow(continued, "code bigint, n bigint")).where(F.col("n") >= least)
-        grams = found.toPandas().sort_values("code")  # at most 1 / floor rows
-        keys, n = grams.code.to_numpy(np.int64), grams.n.to_numpy(np.float64)
-        context, word = keys // n_words, keys % n_words
-        parents = len(freq[-1])
-        starts = np.searchsorted(context, np.arange(parents + 1))
-        p = (n - discount) / freq[-1][context]
-        if level == 2:
-            shorter = uni[word]
-        else:  # the same without the first word: its context drops that word, and it is kept as well
-            tail = _tails(trie, context, word)
-            shorter = np.where(tail >= 0, lower[np.maximum(tail, 0)], uni[word])
-        used, covered = np.bincount(context, p, parents), np.bincount(context, 10**shorter, parents)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            back = np.where(freq[-1] > 0, np.log10(np.clip(1 - used, 1e-9, 1) / np.clip(1 - covered, 1e-9, 1)), 0.0)
-        trie.back.append(Codebook.of(back))
-        trie.grams.append(EliasFano.of(keys.astype(np.uint64)) if len(keys) else empty)
-        trie.starts.append(EliasFano.of(starts.astype(np.uint64)))
-        trie.logs.append(Codebook.of(np.log10(p)))
-        freq.append(n)
-        lower = np.log10(p)
-    return trie, counts, int(total), int(distinct)
-
-
-def _tails(trie: Trie, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Index at the level of ``context`` of the n-gram of context's last words and ``word``."""
-    grams = trie.grams[-1].get(context)
-    last = (grams % np.uint64(trie.words.n)).astype(np.int64)
-    if len(trie.grams) == 1:
-        return trie.child(2, last, word)
-    return trie.child(len(trie.grams) + 1, _tails_of(trie, grams), word)
-
-
-def _tails_of(trie: Trie, grams: np.ndarray) -> np.ndarray:
-    up, last = (grams // np.uint64(trie.words.n)).astype(np.int64), (grams % np.uint64(trie.words.n)).astype(np.int64)
-    held = Trie(trie.words, trie.counts, trie.grams[:-1], trie.starts[:-1], trie.logs[:-1], trie.back[:-1])
-    return _tails(held, up, last)
-
-
-def adjustments(trie: Trie, codes: np.ndarray, norm: float) -> np.ndarray:
-    """For each token, log10 of its probability over its base; 0 for BEGIN."""
-    order = len(trie.grams) + 1
-    found = climb(trie, codes, order)
-    gain = np.zeros(len(codes))
-    open_ = codes != BEGIN
-    base = np.log10(trie.counts + 1.0) - norm
-    for level in range(order, 1, -1):
-        hit = open_ & (found[level - 1] >= 0)
-        gain[hit] += trie.logs[level - 2].get(found[level - 1][hit]) - base[found[0][hit]]
-        open_ &= ~hit
-        context = np.concatenate([[-1], found[level - 2][:-1]])
-        backs = open_ & (context >= 0)
-        gain[backs] += trie.back[level - 2].get(context[backs])
-    return gain
-
-
-def score(docs: DataFrame, model: tuple[Trie, DataFrame, int, int]) -> DataFrame:
-    """docs' columns but text, with n_tokens, n_known, base_score and score, which replace columns so named."""
-    spark = docs.sparkSession
-    trie, counts, total, distinct = model
-    shared, norm = Shared(spark, trie), float(np.log10(total + distinct + 1))
+    counted = source.where("train").select("text").mapInArrow(unigrams, "code bigint, n bigint")
+    counts = materialised(counted.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("code") != int(BEGIN)))
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    often = F.col("n") * F.lit(FREQUENT) >= F.lit(total)
+    frequent = counts.where(often).toPandas().sort_values("code")  # at most FREQUENT rows
+    words, n = frequent.code.to_numpy(np.uint64), frequent.n.to_numpy(np.int64)
+    big = n * SPLIT > total
+    parts = {int(c): int(-(-k * SPLIT // total)) for c, k in zip(words[big], n[big], strict=True)}
+    if (texts := source.where("train").count()) * SPLIT > total:  # each text has a BEGIN
+        parts[int(BEGIN)] = int(-(-texts * SPLIT // max(1, total)))
+    shards = 1 + total // SHARD_TOKENS
+    base = spark.sparkContext.broadcast(Base(words, n, total, distinct))
+    asking = Asking(int(shards), words, parts)
+
+    own = [c for c in docs.columns if c not in (text_col, "n_tokens", "n_known", "base_score", "score")]
+    kept = [f"_own{i}" for i in range(len(own))]  # no name of the caller's meets one of ours
+    whole = docs.select(text_of(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), *(F.col(c).alias(k) for c, k in zip(own, kept, strict=True)))
+
+    def ask(batches):
+        model, run = base.value, TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+        size = texts_held = 0
+
+        def leave():
+            nonlocal held, size, texts_held, run
+            if held:
+                rows = pa.Table.from_batches([h[0] for h in held]).combine_chunks()
+                codes, train = np.concatenate([h[1] for h in held]), np.concatenate([h[3] for h in held])
+                owner = np.concatenate([h[2] + b for h, b in zip(held, np.cumsum([0, *[len(h[0]) for h in held[:-1]]]), strict=True)])
+                real = codes != BEGIN
+                hit, logs = model.known(codes[real])
+                per_text = lambda x: pa.array(np.bincount(owner[real], x, rows.num_rows))
+                sums = np.bincount(owner[real], minlength=rows.num_rows)
+                known = np.bincount(owner[real], hit, rows.num_rows).astype(np.int64)
+                for name, x in (("n_tokens", pa.array(sums)), ("n_known", pa.array(known)), ("base", pa.array(np.asarray(per_text(logs)) - sums * model.norm))):
+                    rows = rows.append_column(name, x)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as writer:
+                    writer.write_table(rows)
+                out = [(run % asking.shards, 0, sink.getvalue().to_pybytes()), *((s, 1, b) for s, b in asking.blobs(codes, owner, train))]
+                for a in range(0, len(out), 64):
+                    part = out[a : a + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([run] * len(part), pa.int64()), pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.int32()), pa.array([x[2] for x in part], pa.binary())], ["run", "shard", "kind", "blob"])
+                run += 1
+            held, size, texts_held = [], 0, 0
 
-    def run(batches):
-        trie = shared.trie()
-        logs = np.log10(trie.counts + 1.0)
         for batch in batches:
             for part, texts in slices(batch.column(0), SLICE):
-                n = len(texts)
-                codes, owner = tokens(texts)
-                word, real = words_of(trie, codes), codes != BEGIN
-                sums = np.bincount(owner[real], minlength=n)
-                held = real & (word >= 0)
-                seen = held & (trie.counts[np.maximum(word, 0)] > 0)
-                base = np.bincount(owner[held], logs[word[held]], n) - sums * norm
-                gain = np.bincount(owner, adjustments(trie, codes, norm), n)
-                rare = real & (word < 0)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(owner[rare], minlength=n))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(codes[rare].astype(np.int64)))
-                columns = [pa.array(sums), pa.array(np.bincount(owner[seen], minlength=n)), pa.array(base), pa.array(gain), lists]
-                yield pa.RecordBatch.from_arrays([*batch.slice(part.start, n).columns[1:], *columns], names)
-
-    own = [c for c in docs.columns if c not in ("text", "n_tokens", "n_known", "base_score", "score")]
-    kept = [f"_own{i}" for i in range(len(own))]  # no name of the caller's meets one of ours
-    source = docs.select(text_of().alias("text"), *(F.col(c).alias(k) for c, k in zip(own, kept, strict=True)))
-    names = [*kept, "n_tokens", "n_held", "base", "gain", "rare"]
-    fields = ", ".join([*(f"{k} {source.schema[k].dataType.simpleString()}" for k in kept), "n_tokens bigint, n_held bigint, base double, gain double, rare array<bigint>"])
-    scored = materialised(source.mapInArrow(run, fields).withColumn("row", F.monotonically_increasing_id()))
-    words = scored.select("row", F.explode("rare").alias("code"))
-    more = words.join(counts, "code").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("*").alias("k"))
-    more_of = lambda c: F.coalesce(c, F.lit(0))
-    base = (F.col("base") + more_of(F.col("more"))).alias("base_score")
+                for a in range(0, len(texts), GROUP_TEXTS):
+                    some = texts[a : a + GROUP_TEXTS]
+                    codes, owner = tokens(some)
+                    if size + len(codes) > GROUP_TOKENS or texts_held + len(some) > GROUP_TEXTS:
+                        yield from leave()
+                    rows = batch.slice(part.start + a, len(some))
+                    held.append((pa.RecordBatch.from_arrays([*rows.columns[2:], pa.nulls(len(some))], [*kept, "_"]), codes, owner, np.array(rows.column(1).to_pylist(), bool)))
+                    size, texts_held = size + len(codes), texts_held + len(some)
+        yield from leave()
+
+    def answer(table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_pylist()
+        blobs, runs = table.column("blob").to_pylist(), table.column("run").to_pylist()
+        asks = [i for i, k in enumerate(kind) if k]
+        back = answers([blobs[i] for i in asks], base.value, discount) if asks else iter(())
+        for i, b in zip(asks, back, strict=True):
+            blobs[i] = b
+        return pa.table({"run": pa.array(runs, pa.int64()), "kind": pa.array(kind, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        kind, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+        rows = pa.ipc.open_stream(blobs[kind.index(0)]).read_all().drop_columns(["_"])
+        n = rows.num_rows
+        value, more, known, lost = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), []
+        for k, blob in zip(kind, blobs, strict=True):
+            if k:
+                texts, sums, rare, logs, seen, open_text, open_word = unpack(blob, ANSWERED)
+                value[texts] += sums
+                more[rare] += logs
+                known[rare] += seen
+                lost.append((open_text, open_word))
+        open_text, open_word = (np.concatenate(x) for x in zip(*lost, strict=True)) if lost else (np.zeros(0, int), np.zeros(0, int))
+        order = np.argsort(open_text, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(open_text.astype(np.intp), minlength=n))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(open_word[order].astype(np.int64)))
+        base_score = rows.column("base").to_numpy() + more
+        done = {"n_tokens": rows.column("n_tokens"), "n_known": pa.array(rows.column("n_known").to_numpy() + known), "base_score": pa.array(base_score), "value": pa.array(value), "open": lists}
+        return pa.table({**{k: rows.column(k) for k in kept}, **done})
+
+    types = {k: whole.schema[k].dataType.simpleString() for k in kept}
+    fields = ", ".join([*(f"{k} {t}" for k, t in types.items()), "n_tokens bigint, n_known bigint, base_score double, value double, open array<bigint>"])
+    asked = whole.mapInArrow(ask, "run bigint, shard int, kind int, blob binary")
+    answered = asked.groupBy("shard").applyInArrow(answer, "run bigint, kind int, blob binary")
+    gathered = materialised(answered.groupBy("run").applyInArrow(gather, fields).withColumn("row", F.monotonically_increasing_id()))
+    # Rare words that neither context knows: their counts complete the score.
+    rare = counts.where(~often).groupBy(F.shiftright("code", 16).bitwiseAND(F.lit(0xFFFFFFFF)).alias("word")).agg(F.sum("n").alias("n"))
+    late = gathered.select("row", F.explode("open").alias("word")).join(rare, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("late"))
     back = [F.col(k).alias(c) for c, k in zip(own, kept, strict=True)]
-    return scored.join(more, "row", "left").select(*back, "n_tokens", (F.col("n_held") + more_of(F.col("k"))).alias("n_known"), base, (base + F.col("gain")).alias("score"))
+    score_ = (F.col("value") + F.coalesce("late", F.lit(0.0))).alias("score")
+    return gathered.join(late, "row", "left").select(*back, "n_tokens", "n_known", "base_score", score_), int(total)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out: Column = crc_mod("doc_id", 7) == 2
-    docs = read(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"), held_out.alias("held_out"))
-    model = fit(docs.where(~held_out))
-    out = score(docs, model)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model[2]).cast("long").alias("train_tokens"), "base_score", "score")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    out, total = score(docs, ~F.col("held_out"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
