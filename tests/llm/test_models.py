@@ -121,11 +121,14 @@ def test_trie_against_dictionaries():
         bi.setdefault(a, Counter())[c] += k
     for a, c, k in zip(*(x.tolist() for x in more), strict=True):
         bi[a][c] += k
-    built = elias_fano.Trie.of(v, u, w, n, whole, 0.75)
+    tops, words = np.unique(np.concatenate([v, whole[0]])), np.unique(np.concatenate([u, w, whole[1]]))
+    at = np.searchsorted
+    built = elias_fano.Trie.of(tops, words, (at(tops, v), at(words, u), at(words, w), n), (at(tops, whole[0]), at(words, whole[1]), whole[2]), 0.75)
     ask = sorted(zip(rng.integers(8, 42, 3000) << 40, rng.integers(1, 62, 3000), rng.integers(1, 74, 3000), strict=True))
     av, au, aw = np.array([x[0] for x in ask], np.uint64), np.array([x[1] for x in ask], np.uint32), np.array([x[2] for x in ask], np.uint32)
     for trie in (built, elias_fano.Trie.from_buffer(np.frombuffer(built.to_bytes(), np.uint8))):
-        value, open_ = trie.score(av, au, aw)
+        first = np.flatnonzero(np.diff(av, prepend=0))
+        value, open_ = trie.score(av[first], np.diff(first, append=len(av)), np.arange(100, dtype=np.uint32), au.astype(np.intp), aw.astype(np.intp))
         for (a, b, c), x, o in zip(ask, value.tolist(), open_.tolist(), strict=True):
             a, b, c = int(a), int(b), int(c)
             assert o == (c not in bi.get(a, ()))

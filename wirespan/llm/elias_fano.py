@@ -139,16 +139,16 @@ class Trie:
     BOOKS = ("after_log", "third_log", "back", "before_back")
 
     @classmethod
-    def of(cls, v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, whole: tuple[np.ndarray, np.ndarray, np.ndarray], discount: float) -> Trie:
-        """From trigrams and their counts n, each perhaps in several parts; ``whole`` has all bigrams (v, w, n) of those v whose trigrams are not all here."""
-        self = cls()
-        tops, words = np.unique(np.concatenate([v, whole[0]])), np.unique(np.concatenate([u, w, whole[1]]))
-        self.size, at = len(words), np.searchsorted
-        i = at(tops, v)
-        key, n = _summed(i * self.size + at(words, u), at(words, w), n)
-        context_of, w_of = key
-        split = np.isin(tops, whole[0])[context_of // self.size]
-        bigram = np.concatenate([(context_of // self.size * self.size + w_of)[~split], at(tops, whole[0]) * self.size + at(words, whole[1])])
+    def of(cls, tops: np.ndarray, words: np.ndarray, grams: tuple[np.ndarray, ...], whole: tuple[np.ndarray, ...], discount: float) -> Trie:
+        """From trigrams (i, u, w, n), as places in ``tops`` and ``words`` and counts, each perhaps in several parts.
+
+        ``whole`` has all bigrams (i, w, n) of those v whose trigrams are not all here.
+        """
+        self, (i, u, w, n) = cls(), grams
+        self.size = len(words)
+        (context_of, w_of), n = _summed(i * self.size + u, w, n)
+        split = np.isin(np.arange(len(tops)), whole[0])[context_of // self.size] if len(tops) else np.zeros(0, bool)
+        bigram = np.concatenate([(context_of // self.size * self.size + w_of)[~split], whole[0] * self.size + whole[1]])
         after, back_to = np.unique(bigram, return_inverse=True)
         after_n = np.bincount(back_to, np.concatenate([n[~split], whole[2]]), len(after))
         after_at = np.searchsorted(after // self.size, np.arange(len(tops) + 1)) if len(after) else np.zeros(len(tops) + 1, np.int64)
@@ -175,31 +175,33 @@ class Trie:
         i = self.tops.find(v)
         return np.where(i >= 0, self.counts[i] if len(self.counts) else 0, 0)
 
-    def score(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, v: np.ndarray, times: np.ndarray, words: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 of each w's probability after (u, v), and whether neither context knows it: then it lacks that of w alone.
 
-        Trigrams come sorted by v and u, each of which is looked up once.
+        Each v has the next ``times`` pairs of u and w, which are places in ``words`` and sorted by u; so each v, context
+        and word is looked up once.
         """
-        if not self.tops.n or not len(v):
-            return np.zeros(len(v)), np.ones(len(v), bool)
-        new = np.concatenate([[True], v[1:] != v[:-1]])
-        top = self.tops.find(v[new])
+        if not self.tops.n or not len(u):
+            return np.zeros(len(u)), np.ones(len(u), bool)
+        top = self.tops.find(v)
         first, last = self._run(self.after_at, top)
-        run = np.cumsum(new) - 1
-        word = self._words(w)
+        run = np.repeat(np.arange(len(v)), times)
+        known_words = self.words.find(words.astype(np.uint64))
+        word = known_words[w]
         i = top[run]
         found = np.where((i >= 0) & (word >= 0), i * self.size + word, 0).astype(np.uint64)
         after = self.after.find(found, first[run], last[run])
         after[(i < 0) | (word < 0)] = -1
-        pair = new | np.concatenate([[True], u[1:] != u[:-1]])
-        top, word = i[pair], self._words(u[pair])
+        pair = np.concatenate([[True], (u[1:] != u[:-1]) | (run[1:] != run[:-1])])
+        top, word = i[pair], known_words[u[pair]]
+        begin = first
         first, last = self._run(self.before_at, top)
         before = self.before.find(np.where((top >= 0) & (word >= 0), top * self.size + word, 0).astype(np.uint64), first, last)
         before[(top < 0) | (word < 0)] = -1
         first, last = self._run(self.third_at, before)
         each = np.cumsum(pair) - 1
         j = before[each]
-        relative = after - self._run(self.after_at, np.maximum(i, 0))[0]
+        relative = after - begin[run]
         known = (j >= 0) & (after >= 0)
         third = self.third.find(np.where(known, j * self.reach + relative, 0).astype(np.uint64), first[each], last[each])
         third[~known] = -1
@@ -209,10 +211,6 @@ class Trie:
             value = np.where(third >= 0, self.third_log.get(np.maximum(third, 0)), value)
         return value, after < 0
 
-    def _words(self, codes: np.ndarray) -> np.ndarray:
-        distinct, at = np.unique(codes, return_inverse=True)
-        return self.words.find(distinct.astype(np.uint64))[at]
-
     @staticmethod
     def _run(pointers: EliasFano, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the children of the i-th begin and end; nowhere for -1."""

@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,27 +72,35 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def short(codes: np.ndarray) -> np.ndarray:
-    """The 32 bits that stand for a word in the first and last place."""
-    return (codes >> np.uint64(16)).astype(np.uint32)
+    """The first 32 bits of a word's hash, which stand for it in the first and last place; they sort as the hashes do."""
+    return (codes >> np.uint64(31)).astype(np.uint32)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(arrays), *map(len, arrays)], np.uint32).tobytes(), *[a.tobytes() for a in arrays]])
+    """Arrays of numbers, byte by byte of the numbers, compressed."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(arrays), *map(len, arrays)], np.uint32).tobytes(), *planes]))
 
 
 def unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
     """The arrays of pack(), of these kinds of numbers."""
-    view = memoryview(blob)
+    view = memoryview(zstandard.ZstdDecompressor().decompress(blob))
     n = int(np.frombuffer(view[:4], np.uint32)[0])
     sizes, at, out = np.frombuffer(view[4 : 4 + 4 * n], np.uint32), 4 + 4 * n, []
     for size, kind in zip(sizes.tolist(), kinds.split(), strict=True):
         kind = np.dtype(kind)
-        out.append(np.frombuffer(view[at : at + size * kind.itemsize], kind))
+        planes = np.frombuffer(view[at : at + size * kind.itemsize], np.uint8).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(size))
         at += size * kind.itemsize
     return out
 
 
-#: What is asked of a shard: words v and how many trigrams each has; rare words and their texts; codes of all u and w; of
+def steps(sorted_numbers: np.ndarray) -> np.ndarray:
+    """Differences of numbers in order, from 0; their running sum gives the numbers again."""
+    return np.diff(sorted_numbers, prepend=sorted_numbers.dtype.type(0))
+
+
+#: What is asked of a shard (codes as steps()): words v and how many trigrams each has; rare words and their texts; codes of all u and w; of
 #: each trigram how often it was learned and asked, its u and w as numbers of codes (low and high halves), and the texts
 #: that ask; split words and how many bigrams each has, with counts and w.
 ASKED = "u8 u4 u8 u4 u2 u4 u4 u4 u2 u2 u2 u2 u2 u8 u4 u4 u4"
@@ -173,10 +182,10 @@ class Asking:
             p = pair_of[own_pairs]
             start = np.flatnonzero(np.diff(pair_v[p], prepend=-1))
             yield s, pack(
-                *(words[v[own][new]], np.diff(new, append=len(own)).astype(np.uint32)),
-                *(words[rare_word[own_rare][first]], np.diff(first, append=len(own_rare)).astype(np.uint32), rare_text[own_rare]),
-                *(short(words[codebook]), learned[own], k.astype(np.uint32), *halves, lists),
-                *(words[pair_v[p][start]], np.diff(start, append=len(p)).astype(np.uint32), pair_n[p], short(words[pair[p] % m])),
+                *(steps(words[v[own][new]]), np.diff(new, append=len(own)).astype(np.uint32)),
+                *(steps(words[rare_word[own_rare][first]]), np.diff(first, append=len(own_rare)).astype(np.uint32), rare_text[own_rare]),
+                *(steps(short(words[codebook])), learned[own], k.astype(np.uint32), *halves, lists),
+                *(steps(words[pair_v[p][start]]), np.diff(start, append=len(p)).astype(np.uint32), pair_n[p], short(words[pair[p] % m])),
             )
 
 
@@ -215,28 +224,32 @@ class Base:
 def answers(blobs: list[bytes], base: Base, discount: float) -> Iterator[bytes]:
     """One blob for each that asks this shard, from the trie of what all of them learned."""
     asked = [unpack(b, ASKED) for b in blobs]
-
-    def gathered(columns) -> list[np.ndarray]:
-        parts = [columns(a) for a in asked]
-        return [np.concatenate(x) for x in zip(*parts, strict=True)]
-
-    def trigrams(a) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        number = lambda low, high: low.astype(np.intp) | high.astype(np.intp) << 16
-        return np.repeat(a[0], a[1]), a[5][number(a[8], a[9])], a[5][number(a[10], a[11])]
-
-    def learned(a) -> tuple:
-        had = a[6] > 0
-        return *(x[had] for x in trigrams(a)), a[6][had].astype(np.int64)
-
-    v, u, w, n = gathered(learned)
-    whole = gathered(lambda a: (np.repeat(a[13], a[14]), a[16], a[15].astype(np.int64)))
-    trie = mapped(Trie.of(v, u, w, n, merged_bigrams(*whole), discount))
-    del v, u, w, n, whole
     for a in asked:
-        value, open_ = trie.score(*trigrams(a))
+        for k in (0, 2, 5, 13):
+            a[k] = np.cumsum(a[k], dtype=a[k].dtype)
+        for k in (1, 3, 14):
+            a[k] = a[k].astype(np.int64)
+    number = lambda low, high: low.astype(np.int64) | high.astype(np.int64) << 16
+    pairs = lambda a: (number(a[8], a[9]), number(a[10], a[11]))
+    words = np.unique(np.concatenate([*(a[5] for a in asked), *(a[16] for a in asked)]))
+    tops = np.unique(np.concatenate([x for a in asked for x in (np.repeat(a[0], a[1])[a[6] > 0], a[13])]))
+
+    def learned(a) -> tuple[np.ndarray, ...]:
+        had, place = a[6] > 0, np.searchsorted(words, a[5])
+        u, w = pairs(a)
+        return np.repeat(np.searchsorted(tops, a[0]), a[1])[had], place[u[had]], place[w[had]], a[6][had].astype(np.int64)
+
+    def split(a) -> tuple[np.ndarray, ...]:
+        return np.repeat(np.searchsorted(tops, a[13]), a[14]), np.searchsorted(words, a[16]), a[15].astype(np.int64)
+
+    gathered = lambda columns: tuple(np.concatenate(x) for x in zip(*map(columns, asked), strict=True))
+    trie = mapped(Trie.of(tops, words, gathered(learned), merged_bigrams(*gathered(split)), discount))
+    del words, tops
+    for a in asked:
+        u, w = pairs(a)
+        value, open_ = trie.score(a[0], a[1], a[5], u, w)
         texts, k = a[12].astype(np.intp), a[7]
-        w = trigrams(a)[2]
-        hit, logs = base.known_short(w)
+        hit, logs = (x[w] for x in base.known_short(a[5]))
         value = value + np.where(open_, logs * hit - base.norm, 0.0)
         sums = np.bincount(texts, np.repeat(value, k))
         there = np.unique(texts)
@@ -248,7 +261,7 @@ def answers(blobs: list[bytes], base: Base, discount: float) -> Iterator[bytes]:
         yield pack(
             *(there.astype(np.uint16), sums[there].astype(np.float32)),
             *(rare_there.astype(np.uint16), np.bincount(rare, np.log10(counts + 1.0))[rare_there], np.bincount(rare, counts > 0)[rare_there].astype(np.uint32)),
-            *(texts[lost].astype(np.uint16), np.repeat(w, k)[lost]),
+            *(texts[lost].astype(np.uint16), np.repeat(a[5][w], k)[lost]),
         )
 
 
@@ -366,7 +379,7 @@ def score(docs: DataFrame, train: Column, text_col: str = "text", discount: floa
     answered = asked.groupBy("shard").applyInArrow(answer, "run bigint, kind int, blob binary")
     gathered = materialised(answered.groupBy("run").applyInArrow(gather, fields).withColumn("row", F.monotonically_increasing_id()))
     # Rare words that neither context knows: their counts complete the score.
-    rare = counts.where(~often).groupBy(F.shiftright("code", 16).bitwiseAND(F.lit(0xFFFFFFFF)).alias("word")).agg(F.sum("n").alias("n"))
+    rare = counts.where(~often).groupBy(F.shiftright("code", 31).alias("word")).agg(F.sum("n").alias("n"))
     late = gathered.select("row", F.explode("open").alias("word")).join(rare, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("late"))
     back = [F.col(k).alias(c) for c, k in zip(own, kept, strict=True)]
     score_ = (F.col("value") + F.coalesce("late", F.lit(0.0))).alias("score")
