@@ -46,7 +46,7 @@ from wirespan.llm.near_dedup import BASE, mixed, powers
 DISCOUNT = 0.75
 BEGIN, END = np.uint64(1), np.uint64(2)
 SLICE = 3_000_000
-SHARD_TOKENS, SPLIT, FREQUENT = 1 << 21, 256, 1 << 20
+SHARD_TOKENS, SPLIT, FREQUENT = 1 << 20, 256, 1 << 20
 #: Tokens and texts whose n-grams leave a task together.
 GROUP_TOKENS, GROUP_TEXTS = 2_000_000, 60_000
 
@@ -223,12 +223,16 @@ class Base:
 
 def answers(blobs: list[bytes], base: Base, discount: float) -> Iterator[bytes]:
     """One blob for each that asks this shard, from the trie of what all of them learned."""
-    asked = [unpack(b, ASKED) for b in blobs]
-    for a in asked:
+
+    def opened(blob: bytes) -> list[np.ndarray]:
+        a = unpack(blob, ASKED)
         for k in (0, 2, 5, 13):
             a[k] = np.cumsum(a[k], dtype=a[k].dtype)
         for k in (1, 3, 14):
             a[k] = a[k].astype(np.int64)
+        return a
+
+    asked = [opened(b) for b in blobs]
     number = lambda low, high: low.astype(np.int64) | high.astype(np.int64) << 16
     pairs = lambda a: (number(a[8], a[9]), number(a[10], a[11]))
     words = np.unique(np.concatenate([*(a[5] for a in asked), *(a[16] for a in asked)]))
@@ -242,10 +246,11 @@ def answers(blobs: list[bytes], base: Base, discount: float) -> Iterator[bytes]:
     def split(a) -> tuple[np.ndarray, ...]:
         return np.repeat(np.searchsorted(tops, a[13]), a[14]), np.searchsorted(words, a[16]), a[15].astype(np.int64)
 
-    gathered = lambda columns: tuple(np.concatenate(x) for x in zip(*map(columns, asked), strict=True))
-    trie = mapped(Trie.of(tops, words, gathered(learned), merged_bigrams(*gathered(split)), discount))
-    del words, tops
-    for a in asked:
+    gathered = lambda parts: tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    bigrams = merged_bigrams(*gathered(split(a) for a in asked))
+    trie = mapped(Trie.of(tops, words, gathered(learned(a) for a in asked), bigrams, discount))
+    del words, tops, asked
+    for a in map(opened, blobs):
         u, w = pairs(a)
         value, open_ = trie.score(a[0], a[1], a[5], u, w)
         texts, k = a[12].astype(np.intp), a[7]
