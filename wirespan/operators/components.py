@@ -2,32 +2,77 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirespan.sources.tables import drop_tables, shared_table
+from wirespan.sources.tables import shared_table
 
+#: So many links are joined in one task.
+SMALL = 1 << 16
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", salts: int = 8) -> DataFrame:
+
+def _joined(batches):
+    """What a task's edges (root, v, own) join: each own v with its least vertex, and other vertices that differ from it.
+
+    Edges are taken as they come, in any number of batches; what is held are the task's vertices.
+    """
+    parent: dict = {}
+
+    def top(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    own: dict = {}
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for r, v, mine in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+            x, y = top(r), top(v)
+            parent.setdefault(r, r)
+            parent.setdefault(v, v)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+            if mine:
+                own[v] = True
+    rows = [(t, v, v in own) for v in parent if (t := top(v)) != v or v in own]
+    for a in range(0, len(rows), 1 << 16):
+        roots, vertices, mine = zip(*rows[a : a + (1 << 16)], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(roots, kind), pa.array(vertices, kind), pa.array(mine)], ["root", "v", "own"])
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(v, component) for every vertex of the edges; a component is named by its least vertex.
 
-    Each round takes the least label among a vertex and its neighbours, then the label's own label, so that long chains
-    shorten by halves. A vertex with very many edges is dealt over ``salts`` tasks. Null ends are ignored, self-loops keep
-    their vertex.
+    Tasks first join what their own edges join, however these lie; then each vertex meets all its partial roots in one
+    task, of which there are at most as many as tasks. What is left are links between roots, a graph that is smaller with
+    each level, until it has at most SMALL. Null ends are ignored, self-loops keep their vertex.
     """
-    edges = edges.select(F.col(a).alias("u"), F.col(b).alias("w")).where("u is not null and w is not null")
-    both = edges.union(edges.select("w", "u")).distinct()
-    salt, spread = F.pmod(F.hash("u"), F.lit(salts)), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    both = shared_table(both.withColumn("salt", salt))
-    labels = shared_table(both.groupBy("u").agg(F.least("u", F.min("w")).alias("label")).select(F.col("u").alias("v"), "label"))
-    while True:
-        near = both.join(labels.select(F.col("v").alias("w"), F.col("label").alias("near"), spread.alias("salt")), ["w", "salt"])
-        least = near.groupBy("u").agg(F.min("near").alias("near"))
-        stepped = labels.join(least, labels.v == least.u).select("v", F.least("label", "near").alias("to"), "label")
-        jump = labels.select(F.col("v").alias("to"), F.col("label").alias("further"))
-        new = shared_table(stepped.join(jump, "to").select("v", F.least("to", "further").alias("label"), (F.least("to", "further") != F.col("label")).alias("moved")))
-        drop_tables(labels)
-        labels = new.drop("moved")
-        if not new.where("moved").limit(1).count():
-            drop_tables(both)
-            return labels.select("v", F.col("label").alias("component"))
+    edges = edges.select(F.col(a).alias("root"), F.col(b).alias("v")).where("root is not null and v is not null")
+    kind = edges.schema["v"].dataType.simpleString()
+    fields = f"root {kind}, v {kind}, own boolean"
+    ends = edges.select("root", "v", F.lit(True).alias("own")).unionByName(edges.select(F.col("root").alias("v"), "root", F.lit(True).alias("own")))
+    partial = shared_table(ends.mapInArrow(_joined, fields))
+    if partial.count() <= SMALL:
+        return partial.repartition(1).mapInArrow(_joined, fields).where("own").select("v", F.col("root").alias("component"))
+    met = shared_table(partial.repartition("v").mapInArrow(_joined, fields))
+    labels = met.where("own").select("v", "root")
+    # A root that has a root of its own elsewhere, and roots that met at some vertex.
+    roots = labels.groupBy("root").agg(F.count("*").alias("n"))
+    moved = roots.select(F.col("root").alias("v")).join(labels.where("v != root"), "v").select("root", "v")
+    links = shared_table(moved.unionByName(met.where("not own").select("root", "v")).distinct())
+    if not links.limit(1).count():
+        return labels.select("v", F.col("root").alias("component"))
+    above = connected_components(links, "root", "v").select(F.col("v").alias("root"), "component")
+    # Few roots have links; of vertices under one there may be very many, so large groups are dealt over tasks.
+    counted = shared_table(roots.join(above, "root"))
+    salts = 16
+    salt = F.explode(F.when(F.col("n") > 1000, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    heavy = counted.where("n > 1000").select("root", F.lit(True).alias("heavy"))
+    if heavy.limit(1).count():
+        labels = labels.join(heavy, "root", "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.hash("v"), F.lit(salts))).otherwise(F.lit(0))).drop("heavy")
+        named = labels.join(counted.withColumn("salt", salt), ["root", "salt"], "left")
+    else:
+        named = labels.join(counted, "root", "left")
+    return named.select("v", F.coalesce("component", "root").alias("component"))

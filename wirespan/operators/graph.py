@@ -31,9 +31,10 @@ def endpoint_pairs(points: DataFrame, within: float) -> DataFrame:
 def clustered(lines: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """page_id, pi, x, y, jid: each end with the junction it belongs to; junctions are numbered by their first end."""
     points = endpoints(lines)
-    key = lambda c: F.struct("page_id", F.col(c).alias("pi"))
-    pairs = endpoint_pairs(points, p.merge_distance).select(key("a").alias("a"), key("b").alias("b"))
-    parts = connected_components(pairs).select(F.col("v.page_id").alias("page_id"), F.col("v.pi").alias("pi"), F.col("component.pi").alias("root"))
+    key = lambda c: F.concat_ws(":", "page_id", F.lpad(F.col(c).cast("string"), 10, "0")).alias(c)  # noqa: E731  sorts as the ends do
+    parts = connected_components(endpoint_pairs(points, p.merge_distance).select(key("a"), key("b")))
+    end = lambda c: F.substring_index(c, ":", -1).cast("int")
+    parts = parts.select(F.substring_index("v", ":", 1).cast("bigint").alias("page_id"), end("v").alias("pi"), end("component").alias("root"))
     rooted = points.join(parts, ["page_id", "pi"], "left").withColumn("root", F.coalesce("root", "pi"))
     order = Window.partitionBy("page_id").orderBy("root")
     return rooted.withColumn("jid", F.dense_rank().over(order) - 1).drop("root")
