@@ -61,3 +61,9 @@ class Bloom:
         byte = lambda at: F.ascii(F.substring(constant, F.expr("1") + (at / 7).cast("int"), F.lit(1)).cast("string"))
         bit = lambda at: F.call_function("shiftright", byte(at), (at % 7).cast("int")).bitwiseAND(F.lit(1)) == 1
         return F.forall(F.sequence(F.lit(0), F.lit(self.k - 1)), lambda i: bit(self._place(key, i.cast("long"))))
+
+
+def suspects(keys: DataFrame) -> Bloom:
+    """A filter of the texts, by their hashes in the column key, that a later step works on."""
+    keys = materialised(keys.distinct())
+    return Bloom(keys, keys.count(), 0.01)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wirespan.llm.bloom import Bloom
+from wirespan.llm.bloom import suspects
 from wirespan.llm.common import SPACE, by_group, materialised, read, text_of
 from wirespan.llm.near_dedup import BASE, mixed
 
@@ -162,12 +162,6 @@ def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "do
     return out.unionByName(untouched)
 
 
-def suspects(keys: DataFrame) -> Bloom:
-    """A filter of the texts (by their hash) that a later step works on."""
-    keys = materialised(keys.distinct())
-    return Bloom(keys, keys.count(), 0.01)
-
-
 def _batches(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
     """Record batches of at most BATCH variants."""
     if held:

@@ -38,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespan.llm.common import materialised, read, text_of
+from wirespan.llm.bloom import suspects
+from wirespan.llm.common import by_group, materialised, read, text_of
 from wirespan.llm.memo import slices
 from wirespan.operators.components import connected_components
 
@@ -287,17 +288,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     sets = ["c1", "c2"]
     vertices = signed.groupBy(*sets).agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.count("*").alias("copies"))
     vertices = materialised(vertices.select(*sets, F.monotonically_increasing_id().alias("v"), "first", "size", "keys", "copies"))
-    salt = F.pmod(F.hash("v"), F.lit(SALTS))
 
     def buckets(rows: DataFrame) -> DataFrame:
-        """Rows (key, band, v, size) of keys that several vertices have, with their number n."""
-        several = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        return materialised(rows.withColumn("salt", salt).join(salted(several), ["key", "salt"]).select("key", "band", "v", "size", "n"))
+        """Rows (key, v, size) of keys that several vertices have, with their number n."""
+        several = materialised(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        return materialised(by_group(rows, several, ["key"], "n", "v").select("key", "v", "size", "n"))
 
-    members = buckets(vertices.select(F.posexplode("keys").alias("band", "key"), "v", "size"))
-    wanted = members.select("v").distinct().join(vertices.select("v", "first"), "v").select("v", "first.doc_id", "first.text_key")
-    same_row = keyed.doc_id.eqNullSafe(wanted.doc_id) & (keyed.text_key == wanted.text_key)
-    bodies = materialised(keyed.join(wanted, same_row).groupBy("v").agg(F.any_value("text").alias("text")))
+    members = buckets(vertices.select(F.explode("keys").alias("key"), "v", "size"))
+    wanted = materialised(members.select("v").distinct().join(vertices.select("v", "first"), "v").select("v", "first.doc_id", "first.text_key"))
+    likely = suspects(wanted.select(F.col("text_key").alias("key"))).filtered(keyed, F.col("text_key"))
+    same_row = likely.doc_id.eqNullSafe(wanted.doc_id) & (likely.text_key == wanted.text_key)
+    bodies = materialised(likely.join(wanted, same_row).dropDuplicates(["v"]).select("v", "text"))
 
     def verified(batches):
         for batch in batches:
@@ -337,40 +338,39 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
 
     def still_open(rows: DataFrame) -> DataFrame:
         """Rows of buckets that span several components, with their component, the bucket's largest one, and how many are not in it."""
-        at = rows.join(parts, "v", "left").withColumn("component", F.coalesce("component", "v"))
+        at = materialised(rows.join(parts, "v", "left").withColumn("component", F.coalesce("component", "v")))
         each = at.groupBy("key", "component").agg(F.count("*").alias("n_component"))
         spans = each.groupBy("key").agg(F.max(F.struct("n_component", "component")).alias("main"), F.sum("n_component").alias("all"), F.count("*").alias("components"))
-        spans = spans.where("components > 1").select("key", F.col("main.component").alias("main"), (F.col("all") - F.col("main.n_component")).alias("outside"))
-        return materialised(at.withColumn("salt", salt).join(salted(spans), ["key", "salt"]).select("key", "band", "v", "size", "n", "component", "main", "outside"))
+        spans = spans.where("components > 1").select("key", F.col("main.component").alias("main"), (F.col("all") - F.col("main.n_component")).alias("outside"), "all")
+        return materialised(by_group(at, materialised(spans), ["key"], "all", "v").drop("all"))
 
     def hubs(rows: DataFrame) -> DataFrame:
         """For each bucket, one of its vertices by hash."""
-        return rows.groupBy("key").agg(F.array(F.min_by(F.struct("v", "size", "component"), F.xxhash64("key", "v"))).alias("hubs"))
+        return rows.groupBy("key").agg(F.array(F.min_by(F.struct("v", "size", "component"), F.xxhash64("key", "v"))).alias("hubs"), F.count("*").alias("all"))
 
     def against(rows: DataFrame, others: DataFrame) -> DataFrame:
         """Pairs of rows and the hubs of their buckets that differ in component and are of a similar size."""
-        met = rows.withColumn("salt", salt).join(salted(others), ["key", "salt"]).select("v", "size", "component", F.explode("hubs").alias("hub"))
+        met = by_group(rows, materialised(others), ["key"], "all", "v").select("v", "size", "component", F.explode("hubs").alias("hub"))
         met = met.where((F.col("hub.v") != F.col("v")) & (F.col("hub.component") != F.col("component")) & similar_size("size", "hub.size"))
         return met.select(F.least("hub.v", "v").alias("a"), F.greatest("hub.v", "v").alias("b"))
 
     def outsiders(rows: DataFrame) -> DataFrame:
         """Pairs of vertices outside a bucket's largest component, and of these with all of it."""
-        out = rows.where("component != main").select("key", F.col("v").alias("o"), F.col("size").alias("o_size"), F.col("component").alias("o_component"))
-        out = out.groupBy("key").agg(F.collect_list(F.struct(F.col("o").alias("v"), F.col("o_size").alias("size"), F.col("o_component").alias("component"))).alias("hubs"))  # fewer than PAIRS
-        return against(rows, out)
+        out = rows.where("component != main").select("key", "n", F.struct("v", "size", "component").alias("hub"))
+        return against(rows, out.groupBy("key").agg(F.collect_list("hub").alias("hubs"), F.max("n").alias("all")))  # fewer than PAIRS
 
     def units(rows: DataFrame) -> DataFrame:
         """Rows (unit, v, size, component, out): buckets, or all that hang together by buckets where that has fewer pairs."""
         rows = rows.withColumn("out", F.col("component") != F.col("main")).select("key", "v", "size", "component", "out")
-        least = rows.groupBy("key").agg(F.min("v").alias("hub"))
-        whole = connected_components(rows.withColumn("salt", salt).join(salted(least), ["key", "salt"]), "v", "hub").withColumnRenamed("component", "whole")
+        least = rows.groupBy("key").agg(F.min("v").alias("hub"), F.count("*").alias("all"))
+        whole = connected_components(by_group(rows, materialised(least), ["key"], "all", "v"), "v", "hub").withColumnRenamed("component", "whole")
         rows = materialised(rows.join(whole, "v"))
         counts = rows.groupBy("whole", "key").agg((F.count("*") * F.count_if("out")).alias("pairs")).groupBy("whole").agg(F.sum("pairs").alias("pairs"))
         once = rows.groupBy("whole", "v").agg(F.any_value("size").alias("size"), F.any_value("component").alias("component"), F.bool_or("out").alias("out"))
         better = once.groupBy("whole").agg((F.count("*") * F.count_if("out")).alias("of_whole")).join(counts, "whole").where("of_whole <= pairs").select("whole")
         better = materialised(better)
-        single = rows.withColumn("salt", salt).join(salted(better), ["whole", "salt"], "left_anti").select(F.col("key").alias("unit"), "v", "size", "component", "out")
-        return single.union(once.withColumn("salt", salt).join(salted(better), ["whole", "salt"]).select(F.xxhash64("whole", F.lit("whole")).alias("unit"), "v", "size", "component", "out"))
+        single = rows.join(better, "whole", "left_anti").select(F.col("key").alias("unit"), "v", "size", "component", "out")
+        return single.union(materialised(once).join(better, "whole").select(F.xxhash64("whole", F.lit("whole")).alias("unit"), "v", "size", "component", "out"))
 
     def compared(frame: pd.DataFrame) -> pd.DataFrame:
         """Links (a, b) of two blocks, as few as join what their links join."""
@@ -400,7 +400,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
         rows = materialised(units(rows))
         blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_WEIGHT))
         sizes = rows.groupBy("unit").agg(blocks(F.count_if("out"), F.coalesce(F.sum(F.when(F.col("out"), F.col("size"))), F.lit(0.0))).alias("n_left"), blocks(F.count("*"), F.sum("size")).alias("n_right"))
-        dealt = rows.withColumn("salt", salt).join(salted(sizes), ["unit", "salt"])
+        dealt = rows.join(materialised(sizes), "unit")  # written tables, whose skewed keys Spark splits
         number = lambda n: F.pmod(F.xxhash64("v", F.lit("block")), n)
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
         left = dealt.where("out").select("unit", number(F.col("n_left")).alias("i"), every(F.col("n_right")).alias("j"), F.lit(True).alias("left"), "v", "component")
@@ -413,15 +413,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     at = still_open(members)
     small = F.col("outside") * F.col("n") <= PAIRS
     test(outsiders(at.where(small)).distinct())
-    at = still_open(at.where(~small).drop("component", "main", "outside"))
+    at = still_open(at.where(~small).select("key", "v", "size", "n"))
     if at.limit(1).count():
         links = links.union(materialised(block_links(at)))
         parts = connected_components(links)
 
-    named = vertices.join(parts, "v", "left").select(*sets, F.coalesce("component", "v").alias("component"), "first", "copies")
-    classes = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("copies").alias("class_size"))
-    classes = named.withColumn("salt", F.pmod(F.hash(*sets), F.lit(SALTS))).join(salted(classes), ["component", "salt"]).select(*sets, "keep", "class_size")
-    out = signed.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted(classes), [*sets, "salt"])
+    named = materialised(vertices.join(parts, "v", "left").select(*sets, F.coalesce("component", "v").alias("component"), "first", "copies"))
+    classes = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("copies").alias("class_size"), F.count("*").alias("sets"))
+    classes = by_group(named.select(*sets, "component", "copies"), materialised(classes), ["component"], "sets", "c1").select(*sets, "keep", "class_size", "copies")
+    out = by_group(signed.select("doc_id", "text_key", *sets), materialised(classes), sets, "copies", "text_key")
     kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_key") == F.col("keep.text_key"))
     return out.select("doc_id", "text_key", F.col("keep.doc_id").alias("class_id"), "class_size", kept.alias("kept"))
 
