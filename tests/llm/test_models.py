@@ -31,6 +31,46 @@ def test_language_held_out_accuracy(spark, texts):
     assert np.mean([got[d.doc_id].lang_pred == d.lang for d in held]) > 0.95
 
 
+def test_code_lengths_against_a_naive_coder():
+    """Prediction by partial matching step by step: escapes down the orders, counts as they were after training."""
+    samples = {"en": [b" the cat sat on the mat ", b" a dog "], "fr": [b" le chat est la ", b" un chien et le chat "]}
+    contexts = {}
+    for language, texts in samples.items():
+        tree = contexts[language] = {}
+        for text in texts:
+            data = b"\0\0\0" + text
+            for i in range(3, len(data)):
+                for k in range(4):
+                    tree.setdefault(data[i - k : i], Counter())[data[i]] += 1
+
+    def bits(language, text):
+        total, data = 0.0, b"\0\0\0" + text
+        for i in range(3, len(data)):
+            for k in range(3, -1, -1):
+                seen = contexts[language].get(data[i - k : i])
+                if not seen:
+                    continue
+                if data[i] in seen:
+                    total -= math.log2(seen[data[i]] / (seen.total() + len(seen)))
+                    break
+                total -= math.log2(len(seen) / (seen.total() + len(seen)))
+            else:
+                total += 8.0
+        return total
+
+    texts = [b" the dog ", b" le chien ", b" zzz qqq ", b" a ", b" chat the la mat xat "]
+    got = language_id.Models(samples).bits(texts)
+    for text, row in zip(texts, got, strict=True):
+        assert np.allclose(row, [bits("en", text), bits("fr", text)])
+
+
+def test_language_of_repeated_and_tied_rows(spark):
+    rows = [(1, "the cat and the dog", "en"), (1, "the cat and the dog", "en"), (2, "the cat and the dog", "fr"), (2, "the cat and the dog", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language_id.identify(docs, language_id.train(docs)).collect()
+    assert len(got) == 4 and {(r.lang_pred, r.score) for r in got} == {("en", 0.5)}
+
+
 def test_language_odd_rows(spark):
     rows = [(1, "the cat sat on the mat and the dog", "en", 0.5), (2, "le chat est sur la table et le chien", "fr", 0.1), (3, None, "en", 0.0), (4, "12 34 !!", "fr", 0.0), (5, "the dog and the mat", None, 0.0), (6, "the dog " * 50_000, None, 0.0), (None, "le chien et la table", None, 0.0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score double")

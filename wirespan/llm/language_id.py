@@ -9,9 +9,8 @@ language is the one that codes it shortest; the score is that language's
 posterior, 2 to the minus code length, over all languages.
 
 Training takes a bounded sample of labelled texts: at most ``SAMPLE_TEXTS``
-texts per language (those with the least hash of their id), each by its first
-``SAMPLE_BYTES`` bytes; this bounds the model whatever the input's size. Each
-prediction reads the whole text. Texts that are null or have no letter are
+texts per language (those with the least hash of their id), each of them whole.
+Each prediction reads the whole text. Texts that are null or have no letter are
 ``und`` with score 0. Case is folded; runs of other than letters count as one
 space, so digits, marks and white space carry no vote.
 
@@ -25,14 +24,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wirespan.llm.common import crc_mod, read
 from wirespan.llm.memo import slices
 
 ORDER = 3
-SAMPLE_TEXTS, SAMPLE_BYTES = 400, 20_000
+SAMPLE_TEXTS = 400
 #: A text that no language codes in fewer bits a byte than this is in none of them.
 MAX_BITS = 8.0
 OTHER = regex.compile(r"[^\p{L}\p{M}]+")
@@ -122,9 +121,9 @@ class Models:
         return sums
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS, sample_bytes: int = SAMPLE_BYTES) -> Models:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS) -> Models:
     """Models of a bounded sample of the labelled texts: those of each language with the least hash of their id."""
-    order = F.struct(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(F.col(text_col), 1, sample_bytes).alias("text"))
+    order = F.struct(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text"))
     texts = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     # Ids first, so that only the sample's texts move: the hash below which about twice the wanted number lies.
     sizes = {r[0]: r[1] for r in texts.groupBy(lang_col).count().collect()}
@@ -133,8 +132,6 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         share = F.when(F.col(lang_col) == language, min(1.0, (2 * sample_texts + 50) / n)).otherwise(share)
     near = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < share * (1 << 20)
     picked = texts.where(near).select(F.col(lang_col).alias("lang"), order.alias("x"), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)).alias("p"))
-    from pyspark.sql import Window
-
     ranked = picked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("p", "x"))).where(F.col("k") <= sample_texts)
     samples: dict[str, list[bytes]] = {}
     for r in ranked.select("lang", F.col("x.text").alias("text")).orderBy("lang", "text").collect():
