@@ -281,3 +281,55 @@ def test_page_texts_that_begin_alike_or_lie_deep(spark):
     for i in range(6):
         assert got[i].endswith(f"{begin}and then number {i}") and got[10 + i].endswith(f"{begin}and then it")
     assert got[20] == "deep" and got[21] == "Before\ndeep\nAfter"
+
+
+def random_element(rng, depth=0):
+    e = html_text.Element(rng.choice(["div", "section", "p", "ul"]), frozenset(rng.sample(["red", "blue", "menu"], rng.randint(0, 1))))
+    for _ in range(rng.randint(0, 4) if depth < 3 else 0):
+        e.items.append(random_element(rng, depth + 1) if rng.random() < 0.6 else (rng.choice(["same", "some text", "other"]), rng.random() < 0.2))
+    return e
+
+
+def test_wrappers_merge_in_any_order():
+    """Against groups, counts and texts gathered from all pages by the path of labels that leads to them."""
+    import functools
+    import random
+
+    rng = random.Random(9)
+    pages = [random_element(rng) for _ in range(12)]
+    for p in pages:
+        p.label = "html"
+    wrappers = [html_text.wrapper_of(p) for p in pages]
+    whole = functools.reduce(html_text.merged, wrappers)
+    for _ in range(5):
+        rng.shuffle(wrappers)
+        cut = rng.randint(1, 11)
+        assert html_text.merged(functools.reduce(html_text.merged, wrappers[:cut]), functools.reduce(html_text.merged, wrappers[cut:])) == whole
+
+    def walk(nodes, w):
+        """nodes: for each page, its elements that lead here."""
+        children = [c for own in nodes for e in own for c in e.items if isinstance(c, html_text.Element)]
+        assert w["g"].keys() == {c.label for c in children}
+        texts = {html_text.text_hash(e) for own in nodes for e in own}
+        assert w["t"] == (texts.pop() if len(texts) == 1 else "") and w["n"] == sum(bool(own) for own in nodes)
+        for label, g in w["g"].items():
+            here = [[c for e in own for c in e.items if isinstance(c, html_text.Element) and c.label == label] for own in nodes]
+            again = any(sum(isinstance(c, html_text.Element) and c.label == label for c in e.items) > 1 for own in nodes for e in own)
+            assert g["q"] == "+" if again else True
+            walk(here, g)
+
+    walk([[p] for p in pages], whole)
+
+
+def test_page_texts_of_hosts_without_telling_names(spark):
+    """Neither article nor telling class names: what all pages of the host share is no content, which a page alone cannot tell."""
+    share = "<div class=qc><div>This paragraph is on every page of the site, word by word.</div></div>"
+    page = lambda i: f"<body><div class=qa>Start Products Contact Us Today</div><div class=qb><h1>Title {i}</h1><p>{'Body of page %d. ' % i * 20}</p><p>Shared by all articles.</p></div>{share}<div class=qd>Made by us since 1990</div></body>"
+    rows = [(i, f"http://plain.org/{i}", page(i)) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = [{r.page_id: r.text for r in html_text.extract(pages.repartition(n)).collect()} for n in (1, 16)]
+    assert got[0] == got[1]
+    for i in range(40):
+        assert got[0][i] == f"Title {i}\n{' '.join(['Body of page %d.' % i] * 20)}\nShared by all articles."
+    alone = html_text.parse(page(3))
+    assert html_text.main_text(alone, html_text.wrapper_of(alone)) != got[0][3]

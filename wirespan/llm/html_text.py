@@ -1,21 +1,24 @@
 """Main text of web pages by wrappers that are inferred for each host.
 
 A page is a token stream of tags and texts. Its wrapper is a union-free regular
-expression over elements: each element has text slots and, in order, groups
-that are required, optional (?) or repeated (+). A page's own elements are
-folded first: adjacent equal groups become one repeated group. Pages of a host
-are then aligned one after another: elements that match are merged, mismatches
-become optional groups, further equal ones repeated groups, and texts that
-differ become slots, while a text that all pages share stays template.
+expression over elements: each element has text slots and, by the labels of its
+children (name and words of class, id and role), groups that are required,
+optional (fewer pages have them than their parent) or repeated. Pages of a host
+are aligned label by label: what matches is merged, a mismatch becomes an
+optional group, a label that comes again in one element a repeated group, and
+texts that differ become slots, while a text that all pages share stays
+template. Merging wrappers is commutative and associative, so neither the order
+of pages nor their partitioning matters.
 
 Wrappers are folded within each task and then, host by host, over salted
 partial wrappers, so a host with very many pages meets in no single task. The
-host's wrapper decides once what is main: the article or main element, or else
-the element that holds most of the text that is in no link, without menus,
-headers, footers, sidebars, notices, adverts, forms, comments and template
-texts. Each page is then aligned with its host's wrapper. A page's text is
-template only if the whole of it is what all pages have there, and where such
-texts are most of the main part, the pages are copies of one article and keep them.
+host's wrapper decides once what is main: the deepest element that holds most
+of what the slots have in no link, an article or main element if one does.
+Menus, headers, footers, sidebars, notices, adverts, forms and comments, told
+by their names and words, hold nothing. Each page is then aligned with its
+host's wrapper. A page's text is template only if the whole of it is what all
+pages have there, and where such texts are most of the main part, the pages
+are copies of one article and keep them.
 
 Null or empty html gives an empty text, a null URL is a host of its own,
 unclosed and misnested tags and cut-off pages are read as far as they go, and
@@ -135,7 +138,7 @@ def parse(page: str) -> Element:
                 if key == "hidden" or (key == "aria-hidden" and value == "true"):
                     found.add("hidden")
                 else:
-                    found |= set(WORDS.findall(value)) & (ASIDE_WORDS | MAIN_WORDS)
+                    found |= set(WORDS.findall(value))
             new = Element(name, frozenset(found))
             if len(stack) < DEPTH:
                 stack[-1].items.append(new)
@@ -157,68 +160,22 @@ def text_hash(e: Element) -> str:
 
 
 def wrapper_of(e: Element) -> dict:
-    """The element's own wrapper: label l, pages n, characters c outside and k inside links, template text's hash t, groups g."""
+    """The element's own wrapper: label l, pages n, repeated or not q, characters c outside and k inside links, template text's hash t, groups g by label."""
     own = [i for i in e.items if isinstance(i, tuple)]
-    w = {"l": e.label, "n": 1, "q": "", "c": sum(len(t.strip()) for t, link in own if not link), "k": sum(len(t.strip()) for t, link in own if link), "t": text_hash(e), "g": []}
+    w = {"l": e.label, "n": 1, "q": "", "c": sum(len(t.strip()) for t, link in own if not link), "k": sum(len(t.strip()) for t, link in own if link), "t": text_hash(e), "g": {}}
     for child in e.items:
         if isinstance(child, Element):
-            add_group(w["g"], wrapper_of(child))
+            own_group = wrapper_of(child)
+            w["g"][child.label] = merged(w["g"][child.label], own_group, max) | {"q": "+"} if child.label in w["g"] else own_group
     return w
 
 
-def add_group(groups: list[dict], new: dict) -> None:
-    """Append a group, or fold it: the last one or two groups again make a repeated group."""
-    if groups and groups[-1]["l"] == new["l"]:
-        groups[-1] = merged(groups[-1], new) | {"q": "+", "n": 1}
-        return
-    groups.append(new)
-    if len(groups) >= 4 and groups[-1]["l"] == groups[-3]["l"] and groups[-2]["l"] == groups[-4]["l"]:
-        b, a = groups.pop(), groups.pop()
-        groups[-2:] = [merged(groups[-2], a) | {"q": "+", "n": 1}, merged(groups[-1], b) | {"q": "+", "n": 1}]
-
-
-def matches(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
-    """The longest common subsequence of labels, as index pairs."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i]["l"] == b[j]["l"] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[i]["l"] == b[j]["l"]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
-
-
-def merged(a: dict, b: dict) -> dict:
-    """The wrapper of what either fits: mismatched groups become optional, repeated neighbours one repeated group."""
-    groups: list[dict] = []
-    i = j = 0
-    optional = lambda g: g | {"q": "+" if g["q"] == "+" else "?"}
-    for x, y in [*matches(a["g"], b["g"]), (len(a["g"]), len(b["g"]))]:
-        for g in [*a["g"][i:x], *b["g"][j:y]]:
-            same = next((k for k, h in enumerate(groups) if h["l"] == g["l"]), None) if len(groups) >= 12 else None
-            if same is not None:  # long irregular content: the group counts as a repetition of an equal earlier one
-                groups[same] = merged(groups[same], g) | {"q": "+"}
-            elif groups and groups[-1]["l"] == g["l"]:
-                groups[-1] = merged(groups[-1], g) | {"q": "+"}
-            else:
-                groups.append(optional(g))
-        if x < len(a["g"]):
-            g = merged(a["g"][x], b["g"][y])
-            if groups and groups[-1]["l"] == g["l"]:
-                groups[-1] = merged(groups[-1], g) | {"q": "+"}
-            else:
-                groups.append(g)
-        i, j = x + 1, y + 1
-    mark = "+" if "+" in (a["q"], b["q"]) else "?" if "?" in (a["q"], b["q"]) else ""
-    return {"l": a["l"], "n": a["n"] + b["n"], "q": mark, "c": a["c"] + b["c"], "k": a["k"] + b["k"], "t": a["t"] if a["t"] == b["t"] else "", "g": groups}
+def merged(a: dict, b: dict, pages=sum) -> dict:
+    """The wrapper of what either fits; ``pages`` is max for two groups of one page. Groups that only one has are optional."""
+    groups = dict(a["g"])
+    for label, g in b["g"].items():
+        groups[label] = merged(groups[label], g, pages) if label in groups else g
+    return {"l": a["l"], "n": pages((a["n"], b["n"])), "q": max(a["q"], b["q"]), "c": a["c"] + b["c"], "k": a["k"] + b["k"], "t": a["t"] if a["t"] == b["t"] else "", "g": groups}
 
 
 def is_aside(label: str) -> bool:
@@ -229,26 +186,33 @@ def is_aside(label: str) -> bool:
 
 
 def main_label(wrapper: dict) -> str:
-    """The label of the wrapper's main part: an article, a main element, one named so, or the one with most free text."""
-    sums: dict[str, int] = {}
-    inside: list[tuple[str, int, int]] = []
-
-    def visit(w: dict, depth: int) -> int:
-        if is_aside(w["l"]):
-            return 0
-        held = w["c"] + sum(visit(g, depth + 1) for g in w["g"])
-        if w["l"] != "flow":
-            sums[w["l"]] = sums.get(w["l"], 0) + held
-            inside.append((w["l"], depth, held))
-        return held
-
-    total = visit(wrapper, 0)
-    named = lambda test: max((x for x in sums.items() if test(x[0]) and x[1] * 10 >= total), key=lambda x: x[1], default=("", 0))[0]
-    first = named(lambda x: x.split(" ")[0] == "article") or named(lambda x: x.split(" ")[0] == "main") or named(lambda x: bool(set(x.split(" ")[1:]) & MAIN_WORDS))
-    if first:
-        return first
-    deep = [x for x in inside if x[2] * 10 >= total * 8 and total]
-    return max(deep, key=lambda x: x[1])[0] if deep else wrapper["l"]
+    """The label of the wrapper's main part: what holds most of the slots' free text; named as an article or else the deepest."""
+
+    def choose(free) -> str:
+        sums: dict[str, int] = {}
+        depths: dict[str, int] = {}
+
+        def visit(w: dict, depth: int) -> int:
+            if is_aside(w["l"]):
+                return 0
+            held = free(w) + sum(visit(w["g"][label], depth + 1) for label in sorted(w["g"]))
+            if w["l"] != "flow":
+                sums[w["l"]] = sums.get(w["l"], 0) + held
+                depths[w["l"]] = max(depth, depths.get(w["l"], 0))
+            return held
+
+        total = visit(wrapper, 0)
+        if not total:
+            return ""
+        named = [lambda x: x.split(" ")[0] == "article", lambda x: x.split(" ")[0] == "main", lambda x: bool(set(x.split(" ")[1:]) & MAIN_WORDS)]
+        holding = lambda tenths: [x for x in sums if sums[x] * 10 >= tenths * total]
+        for tenths in (8, 1):
+            for test in named:
+                if found := [x for x in holding(tenths) if test(x)]:
+                    return max(found, key=lambda x: (sums[x], x))
+        return max(holding(8), key=lambda x: (depths[x], sums[x], x), default=wrapper["l"])
+
+    return choose(lambda w: 0 if is_template(w) else w["c"]) or choose(lambda w: w["c"]) or wrapper["l"]
 
 
 def is_template(w: dict) -> bool:
@@ -268,7 +232,7 @@ def copies(wrapper: dict, label: str) -> bool:
             same += w["c"]
         elif within:
             other += w["c"]
-        for g in w["g"]:
+        for g in w["g"].values():
             visit(g, within)
 
     visit(wrapper, False)
@@ -291,24 +255,16 @@ def main_text(page: Element, wrapper: dict) -> str:
             current.clear()
 
         def take(e: Element, w: dict | None, within: bool) -> None:
-            if is_aside(e.label) and not (within and e.name == "header" and not e.words):
+            if is_aside(e.label) and not (within and e.name == "header" and not e.words & ASIDE_WORDS):
                 return
             within = within or e.label == root
-            pairs: dict[int, dict] = {}
             children = [i for i in e.items if isinstance(i, Element)]
-            if w and children:
-                at = 0
-                for c in children:  # the wrapper's groups in order; a repeated one may take several
-                    k = next((k for k in range(at, len(w["g"])) if w["g"][k]["l"] == c.label), None)
-                    k = next((k for k in range(len(w["g"])) if w["g"][k]["l"] == c.label), None) if k is None else k
-                    if k is not None:
-                        pairs[id(c)], at = w["g"][k], k
             fixed = not whole and bool(w) and not children and is_template(w) and text_hash(e) == w["t"]
             for item in e.items:
                 if isinstance(item, Element):
                     if within:
                         close()
-                    take(item, pairs.get(id(item)), within)
+                    take(item, w["g"].get(item.label) if w else None, within)
                     if within:
                         close()
                 elif within and item is None:
@@ -330,7 +286,7 @@ def infer(pages: DataFrame) -> DataFrame:
 
     def fold(batches):
         held: dict[str, dict] = {}
-        emit = lambda: pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([json.dumps(w) for w in held.values()])], ["host", "wrapper"])
+        emit = lambda: pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([json.dumps(w, sort_keys=True) for w in held.values()])], ["host", "wrapper"])
         for batch in batches:
             for part, texts in slices(batch.column(1)):
                 for host, text in zip(batch.column(0).slice(part.start, len(texts)).to_pylist(), texts, strict=True):
@@ -344,10 +300,10 @@ def infer(pages: DataFrame) -> DataFrame:
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         out = None
-        for text in sorted(frame.wrapper):
+        for text in frame.wrapper:
             w = json.loads(text)
             out = w if out is None else merged(out, w)
-        return pd.DataFrame({"host": [frame.host.iloc[0]], "wrapper": [json.dumps(out)]})
+        return pd.DataFrame({"host": [frame.host.iloc[0]], "wrapper": [json.dumps(out, sort_keys=True)]})
 
     partial = pages.select("host", "html").mapInArrow(fold, "host string, wrapper string")
     salt = F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))
