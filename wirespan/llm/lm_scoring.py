@@ -48,7 +48,7 @@ BEGIN, END = np.uint64(1), np.uint64(2)
 SLICE = 3_000_000
 SHARD_TOKENS, SPLIT, FREQUENT = 1 << 20, 256, 1 << 20
 #: Tokens and texts whose n-grams leave a task together.
-GROUP_TOKENS, GROUP_TEXTS = 2_000_000, 60_000
+GROUP_TOKENS, GROUP_TEXTS = 1_200_000, 60_000
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +110,7 @@ ANSWERED = "u2 f4 u2 f8 u4 u2 u4"
 
 def distinct_trigrams(v: np.ndarray, u: np.ndarray, w: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct trigrams of numbers below m, in order, and which of them each is."""
+    v = v.astype(np.int64)
     if m < 1 << 21:
         grams, of = np.unique((v * m + u) * m + w, return_inverse=True)
         return grams // (m * m), grams // m % m, grams % m, of
@@ -137,6 +138,7 @@ class Asking:
     def blobs(self, codes: np.ndarray, owner: np.ndarray, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """(shard, blob) of texts' tokens; ``owner`` numbers the texts, ``train`` tells which are learned from."""
         words, place = np.unique(codes, return_inverse=True)
+        place = place.astype(np.int32)
         at = np.flatnonzero(codes != BEGIN)
         w, v, u = place[at], place[at - 1], place[np.where(codes[at - 1] == BEGIN, at - 1, at - 2)]
         texts, m = owner[at], len(words)
