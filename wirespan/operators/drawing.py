@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def csv_field(column: str):
@@ -19,8 +19,15 @@ def csv_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, columns: dict[str, str], path: str) -> None:
-    """A folder of CSV files for each page_id, with a header of ``columns``' values."""
-    rows.select("page_id", *[F.col(c).alias(h) for c, h in columns.items()]).write.partitionBy("page_id").csv(path, header=True)
+    """A folder for each page_id with one CSV file that begins with a byte order mark and a header of ``columns``' values."""
+    header = rows.select("page_id").distinct().withColumn("line", F.lit(BOM + ",".join(columns.values()))).withColumn("body", F.lit(False))
+    both = header.unionByName(csv_rows(rows, list(columns)).withColumn("body", F.lit(True)))
+    both.repartition("page_id").sortWithinPartitions("page_id", "body").select("page_id", "line").write.partitionBy("page_id").text(path)
+
+
+def preview(rows: DataFrame, order: list[str], n: int = 20) -> DataFrame:
+    """The first ``n`` rows of each page, as a report shows them."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(*order))).where(F.col("place") <= n)
 
 
 def write_json(rows: DataFrame, columns: list[str], path: str) -> None:

@@ -51,21 +51,36 @@ def line_conflicts(lines: DataFrame, within: float) -> DataFrame:
 
 
 def dedup_lines(lines: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Lines that no kept line of a better score (ties: earlier) nearly equals.
+    """Lines that no kept line of a better score (ties: earlier) nearly equals."""
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "line_idx"))
+    return survivors(lines.withColumn("r", rank), line_conflicts(lines, p.duplicate_lines))
+
+
+def suppress_overlaps(detections: DataFrame, max_iou: float = 0.1) -> DataFrame:
+    """Detections that no kept one of the page's same class and a better confidence (ties: earlier) covers by more than max_iou."""
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("confidence"), "det_idx"))
+    ranked = detections.withColumn("r", rank)
+    corners = ("x_min", "y_min", "x_max", "y_max")
+    side = lambda end: ranked.select("page_id", "class_id", F.col("r").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in corners])
+    box = lambda end: tuple(f"{end}_{c}" for c in corners)
+    pairs = side("hi").join(side("lo"), ["page_id", "class_id"]).where(f"hi < lo and {g.iou(box('hi'), box('lo'))} > {max_iou}")
+    return survivors(ranked, pairs.select("page_id", "hi", "lo"))
 
-    In rounds: a line whose better rivals are all dropped is kept, and its other rivals are dropped, until all are decided.
-    Only lines that have a rival take part, and every round decides at least the best open one of each page.
+
+def survivors(ranked: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Rows (page_id, rank r) that no kept row of a better rank is in conflict with, by pairs (page_id, hi, lo) of ranks.
+
+    In rounds: a row whose better rivals are all dropped is kept, and its other rivals are dropped, until all are decided.
+    Only rows that have a rival take part, and every round decides at least the best open one of each page.
     """
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "line_idx"))
-    ranked = lines.withColumn("r", rank)
-    pairs = shared_table(line_conflicts(lines, p.duplicate_lines))
+    pairs = shared_table(conflicts)
     open_pairs, dropped = pairs, None
     while open_pairs.limit(1).count():
         better = open_pairs.select("page_id", F.col("hi").alias("r")).distinct()
         firm = better.join(open_pairs.select("page_id", F.col("lo").alias("r")).distinct(), ["page_id", "r"], "left_anti")
         gone = shared_table(open_pairs.join(firm.withColumnRenamed("r", "hi"), ["page_id", "hi"], "left_semi").select("page_id", F.col("lo").alias("r")).distinct())
         dropped = gone if dropped is None else dropped.union(gone)
-        # A dropped line bars nobody and needs no decision; a firm line's pairs are spent.
+        # A dropped row bars nobody and needs no decision; a firm row's pairs are spent.
         open_pairs = open_pairs.join(gone.withColumnRenamed("r", "lo"), ["page_id", "lo"], "left_anti").join(gone.withColumnRenamed("r", "hi"), ["page_id", "hi"], "left_anti")
         open_pairs = shared_table(open_pairs)
     out = ranked if dropped is None else ranked.join(dropped, ["page_id", "r"], "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Model = Callable[[pd.DataFrame], pd.DataFrame]
@@ -26,6 +26,11 @@ def infer(rows: DataFrame, load: Callable[[], Model], schema: str) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
+def infer_objects(pictures: DataFrame, load: Callable[[], Model]) -> DataFrame:
+    """Detections of pictures; a model that fails fails the job, as there is no rule for it."""
+    return infer(pictures, load, DETECTIONS)
+
+
 def infer_lines(tiles: DataFrame, load: Callable[[], Model]) -> DataFrame:
     """Lines of tiles; a tile on which the model fails has none."""
 
@@ -75,4 +80,5 @@ def infer_texts(regions: DataFrame, load: Callable[[], Model], batch: int = 6) -
 
 def zip_texts(regions: DataFrame, texts: DataFrame) -> DataFrame:
     """Regions with the text of the same place in the page's order; what one side has more is left out."""
-    return regions.join(texts.select("page_id", "det_idx", F.col("text")), ["page_id", "det_idx"])
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("det_idx"))
+    return regions.withColumn("place", place).join(texts.select("page_id", place.alias("place"), "text"), ["page_id", "place"]).drop("place")

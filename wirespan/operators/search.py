@@ -38,12 +38,22 @@ def paths(entries: DataFrame, graph: DataFrame, boxes: DataFrame, p: Params = DE
           from walk w join step_{name} s on s.page_id = w.page_id and s.u = w.at
           where w.dst is null and size(w.path) < {p.max_nodes} and not array_contains(w.path, s.v) and (s.v_gid is null or s.v_gid > w.src))
         select page_id, src as from_gid, dst as to_gid, path from walk where dst is not null""")
+    for view in ("owner", "step"):  # the plan has what they stand for
+        spark.catalog.dropTempView(f"{view}_{name}")
     corners = lambda end: gids.selectExpr("page_id", f"gid as {end}_gid", *[f"{c} as {end}_{c}" for c in g.box()])
     apart = f"{g.iou(g.box('from_'), g.box('to_'))} <= {p.max_iou}"
     kept = found.join(corners("from"), ["page_id", "from_gid"]).join(corners("to"), ["page_id", "to_gid"]).where(apart)
     return kept.select("page_id", "from_gid", "to_gid", "path")
 
 
+def pair_counts(boxes: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """page_id, pairs, skipped: pairs of a page's boxes, and how many are left out as they mostly cover each other."""
+    gids = numbered_boxes(boxes)
+    side = lambda end: gids.selectExpr("page_id", f"gid as {end}_gid", *[f"{c} as {end}_{c}" for c in g.box()])
+    both = side("from").join(side("to"), "page_id").where("from_gid < to_gid")
+    return both.groupBy("page_id").agg(F.count("*").alias("pairs"), F.count_if(F.expr(f"{g.iou(g.box('from_'), g.box('to_'))} > {p.max_iou}")).alias("skipped"))
+
+
 def path_signals(found: DataFrame, nodes: DataFrame, signals: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """page_id, path, signal: the text that a path runs through, else the nearest one above it within reach, else empty."""
     steps = found.select("page_id", "path").distinct().select("page_id", "path", F.posexplode("path").alias("pos", "jid"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wirespan.functions import geometry as g
 from wirespan.functions.params import DEFAULT as P
 from wirespan.operators import boxes as bx
-from wirespan.operators import drawing, fuse, graph, models, objects
+from wirespan.operators import drawing, fuse, graph, models, objects, search
 from wirespan.plans import oracle
 from wirespan.plans.flows import GraphFlow, fuse_flow
 from wirespan.sources import images, scene
@@ -81,6 +81,24 @@ def edge_touch_pairs(lines, boxes, signals, spark, d):
     return _box_signal(boxes, signals).where(g.edges_touch(g.box(), g.box("s"), 9 * P.touch)).select("page_id", "box_idx", "sig_idx")
 
 
+@query
+def edge_touch_near(lines, boxes, signals, spark, d):
+    """Texts at line ends that touch at the reference distance, each pair both ways."""
+    pins = scene.scene_pins(lines).withColumn("box_idx", F.col("sig_idx"))
+    return _box_signal(pins.drop("sig_idx"), pins).where(g.edges_touch(g.box(), g.box("s"), P.touch)).select("page_id", "box_idx", "sig_idx")
+
+
+@query
+def box_pair_counts(lines, boxes, signals, spark, d):
+    return search.pair_counts(boxes)
+
+
+@query
+def pin_preview(lines, boxes, signals, spark, d):
+    """The first 20 lines of each page by score, as the report of links shows rows."""
+    return drawing.preview(lines, ["score", "line_idx"]).select("page_id", "place", "line_idx")
+
+
 @query
 def segment_box_hits(lines, boxes, signals, spark, d):
     """Lines that run through boxes, by the strict crossing test."""

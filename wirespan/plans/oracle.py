@@ -34,7 +34,7 @@ split as (
 
 PINS = """
 signals as (
-  with e as (select page_id, line_idx * 2 as sig_idx, x1 as x, y1 as y from lines where line_idx < 8 union all select page_id, line_idx * 2 + 1, x2, y2 from lines where line_idx < 8)
+  with e as (select page_id, line_idx * 2 as sig_idx, x1 as x, y1 as y from lines union all select page_id, line_idx * 2 + 1, x2, y2 from lines)
   select page_id, sig_idx::int as sig_idx, 'P' || ((page_id * 7 + sig_idx * 3) % 6) as raw_text, x - 12 as x1, y - 6 as y1, x + 14 as x2, y + 8 as y2 from e)"""
 
 IMAGES = "pics as (select c_custkey::bigint as page_id, (60 + c_custkey * 37 % 4000)::int as width, (60 + c_custkey * 53 % 3000)::int as height from customer)"
@@ -280,6 +280,10 @@ union all select c.page_id, 5, 'text', {px('n.x', 'n.y', 'n.x', 'n.y')}, 'red',
         "box_geometry": sql("select page_id, box_idx, kind, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy, x2 - x1 as width, (x2 - x1) * (y2 - y1) as area, greatest(0, x1 - 25) as ex1, greatest(0, y1 - 25) as ey1, x2 + 25 as ex2, y2 + 25 as ey2 from boxes"),
         "iou_pairs": sql(f"select b.page_id, box_idx, sig_idx, round({iou_w} * {iou_h} / ((b.x2 - b.x1) * (b.y2 - b.y1) + (s.x2 - s.x1) * (s.y2 - s.y1) - {iou_w} * {iou_h}), 6) as iou, abs((b.x2 - b.x1) - (s.x2 - s.x1)) / greatest(b.x2 - b.x1, s.x2 - s.x1) <= 0.3 as similar from boxes b join signals s on s.page_id = b.page_id where {iou_w} > 0 and {iou_h} > 0"),
         "edge_touch_pairs": sql("select b.page_id, box_idx, sig_idx from boxes b join signals s on s.page_id = b.page_id where not (s.x1 >= b.x1 and s.x2 <= b.x2 and s.y1 >= b.y1 and s.y2 <= b.y2) and not (b.x1 >= s.x1 and b.x2 <= s.x2 and b.y1 >= s.y1 and b.y2 <= s.y2) and not (b.x2 < s.x1 - 45 or b.x1 > s.x2 + 45) and not (b.y2 < s.y1 - 45 or b.y1 > s.y2 + 45)"),
+        "edge_touch_near": sql("select b.page_id, b.sig_idx as box_idx, s.sig_idx from signals b join signals s on s.page_id = b.page_id where not (s.x1 >= b.x1 and s.x2 <= b.x2 and s.y1 >= b.y1 and s.y2 <= b.y2) and not (b.x1 >= s.x1 and b.x2 <= s.x2 and b.y1 >= s.y1 and b.y2 <= s.y2) and not (b.x2 < s.x1 - 5 or b.x1 > s.x2 + 5) and not (b.y2 < s.y1 - 5 or b.y1 > s.y2 + 5)", PINS),
+        "box_pair_counts": sql("select a.page_id, count(*) as pairs, count(*) filter ((least(a.x2, b.x2) - greatest(a.x1, b.x1)) > 0 and (least(a.y2, b.y2) - greatest(a.y1, b.y1)) > 0 and (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) > 0.6) as skipped from boxes a join boxes b on a.page_id = b.page_id and a.box_idx < b.box_idx group by a.page_id"),
+        "pin_preview": sql("select * from (select page_id, row_number() over (partition by page_id order by score, line_idx) as place, line_idx from lines) where place <= 20"),
+        "model_lines": sql("select page_id, row, col, 0 as line_idx, x1::double as x1, y1::double as y1, x2::double as x2, y2::double as y2, 0.5::double as score from tile", IMAGES, tiles(128)),
         "segment_box_hits": sql(f"select l.page_id, line_idx, kind, box_idx from lines l join boxes b on b.page_id = l.page_id where {hits('l.x1', 'l.y1', 'l.x2', 'l.y2', 'b')}"),
         "segment_distances": sql(f"select * from (select l.page_id, line_idx, sig_idx, round({to_segment('(s.x1 + s.x2) / 2', '(s.y1 + s.y2) / 2', 'l.x1', 'l.y1', 'l.x2', 'l.y2')}, 6) as d, case when abs(l.x2 - l.x1) > abs(l.y2 - l.y1) * 2 then 'H' when abs(l.y2 - l.y1) > abs(l.x2 - l.x1) * 2 then 'V' end as way from lines l join signals s on s.page_id = l.page_id) where d < 50"),
         "score_cut": sql("select page_id, flow, count(*) as n_lines from lines, (values ('graph', 0.05::double), ('fuse', 0.25::double), ('cli', 0.3::double)) as c(flow, least) where score >= least group by page_id, flow"),

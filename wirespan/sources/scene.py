@@ -55,8 +55,8 @@ def scene_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scene_pins(lines: DataFrame) -> DataFrame:
-    """Texts (page_id, sig_idx, raw_text, corners) around both ends of a page's first 8 lines; texts repeat."""
-    ends = lines.where("line_idx < 8").selectExpr("page_id", "inline(array(struct(line_idx * 2 as sig_idx, x1 as x, y1 as y), struct(line_idx * 2 + 1 as sig_idx, x2 as x, y2 as y)))")
+    """Texts (page_id, sig_idx, raw_text, corners) around both ends of each of a page's lines; texts repeat."""
+    ends = lines.selectExpr("page_id", "inline(array(struct(line_idx * 2 as sig_idx, x1 as x, y1 as y), struct(line_idx * 2 + 1 as sig_idx, x2 as x, y2 as y)))")
     return ends.selectExpr("page_id", "sig_idx", "concat('P', (page_id * 7 + sig_idx * 3) % 6) as raw_text", "x - 12 as x1", "y - 6 as y1", "x + 14 as x2", "y + 8 as y2")
 
 
