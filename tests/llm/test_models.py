@@ -208,6 +208,59 @@ def test_fingerprints_table(spark, texts):
         assert math.isclose(r.near_edited, np.mean(own == other)) and math.isclose(r.near_next, np.mean(own == following))
         likes.append((r.near_edited, r.near_next, whole[i] == whole[after]))
     assert np.mean([a for a, _, _ in likes]) > 0.5 > 0.2 > np.mean([b for _, b, same in likes if not same])
+    label = least_of_class(fingerprint.fingerprints([whole[i] for i in ids]))
+    assert [got[i].class_id for i in ids] == [ids[k] for k in label]
+
+
+def least_of_class(prints):
+    """The place of the first fingerprint of each one's class, by all pairs."""
+    alike = (prints[:, None] == prints[None]).mean(2) >= fingerprint.LIKE
+    label = np.arange(len(prints))
+    while (new := np.array([label[a].min() for a in alike])).tolist() != label.tolist():
+        label = new
+    return label
+
+
+def naive_fingerprint(text):
+    """The walk a step at a time, with all hashes of all steps."""
+    mixed, base, more, mask = fingerprint.mixed, int(fingerprint.BASE), int(fingerprint.MIX2), 2**64 - 1
+    h = lambda x: int(mixed(np.array([x & mask], np.uint64))[0])
+    path, i, t = [], 0, 0
+    while i < len(text):
+        path.append(text[i])
+        kind = h(ord(text[i]) * base) & (fingerprint.KINDS - 1)
+        i += h((t % fingerprint.STEPS * fingerprint.KINDS + kind + 1) * base) >> 63
+        t += 1
+    if not path:
+        return [0] * fingerprint.SLOTS
+    steps = np.arange(1, len(path) + 1, dtype=np.uint64) * np.uint64(base)
+    at = [int(np.argmin(mixed(steps + np.uint64(s * more & mask)))) for s in range(fingerprint.SLOTS)]
+    return [max(1, h(h(ord(path[k]) * base) + k * more) & 0xFFFF) for k in at]
+
+
+def test_fingerprints_against_a_naive_walk():
+    rng = np.random.default_rng(8)
+    some = ["", "a", "ab", "\0", "日本語の文", "a" * 5000, *("".join(rng.choice(list("abc de\n"), n)) for n in [*range(3, 40), 700, 3000])]
+    assert fingerprint.fingerprints(some).tolist() == [naive_fingerprint(t) for t in some]
+
+
+def test_edited_texts_of_odd_rows(spark):
+    kind = "doc_id bigint, text string, next string, blob string, v int"
+    long = "a long text " * 250_000
+    rows = [(4, "four four"), (None, "none"), (4, "four four"), (2, None), (7, long), (7, ""), (9, "four four"), (11, "日本語の文章です")]
+    docs = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], kind)
+    table = fingerprint.materialised(fingerprint.compare_edited(docs))
+    got = fingerprint.with_class(table).collect()
+    order = sorted(((-1 if i is None else i), t or "") for i, t in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_chars) for r in got) == sorted((i, len(t)) for i, t in order)
+    last = hashlib.sha256(("日本語の文章" + "no").encode()).digest()
+    assert [r.edited_hash for r in got if r.doc_id == 11] == [last]
+    assert {(r.doc_id, r.class_id) for r in got if r.n_chars == 9} == {(4, 4), (9, 4)}
+    assert {r.class_id for r in got if r.n_chars == 0} == {2} and {r.class_id for r in got if r.doc_id is None} == {None}
+    one = fingerprint.compare_edited(docs.where("doc_id = 11")).collect()
+    assert [(r.n_chars, r.near_next) for r in one] == [(8, 1.0)]
+    empty = fingerprint.materialised(fingerprint.compare_edited(docs.limit(0)))
+    assert empty.count() == 0 and fingerprint.with_class(empty).count() == 0
 
 
 def test_similar_fingerprints(spark):
@@ -260,11 +313,7 @@ def test_similar_fingerprints_of_a_shared_beginning(spark):
     for i in range(150):
         text = f"{start} {draw(100)}"
         rows += [(2 * i, text), (2 * i + 1, text[:-40] + draw(6))]
-    prints = fingerprint.fingerprints([t for _, t in rows])
-    alike = (prints[:, None] == prints[None]).mean(2) >= fingerprint.LIKE
-    label = np.arange(len(rows))
-    while (new := np.array([label[a].min() for a in alike])).tolist() != label.tolist():
-        label = new
+    label = least_of_class(fingerprint.fingerprints([t for _, t in rows]))
     assert 20 < len(set(label.tolist())) < len(rows) - 20
     got = {r.doc_id: r.class_id for r in fingerprint.similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert [got[i] for i in range(len(rows))] == label.tolist()

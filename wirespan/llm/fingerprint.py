@@ -14,23 +14,26 @@ slots. Alike are fingerprints that differ in at most d slots; as these cannot li
 in all of d + 1 disjoint bands of slots, alike ones share one of these bands.
 
 A null text counts as empty; the empty text's slots are all zero. Equal texts
-have equal fingerprints. Rows stay one to one, repeated ids too; null ids come
-first where ids are put in order. Further columns are ignored.
+have equal fingerprints. Rows stay one to one, repeated ids too. Ids that are
+put in order are numbers; null ones come first. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespan.llm.common import materialised, read, text_of
+from wirespan.llm.bloom import suspects
+from wirespan.llm.common import by_group, materialised, read, text_of
 from wirespan.llm.memo import slices
-from wirespan.llm.near_dedup import BASE, MIX2, SALTS, mixed, salted
+from wirespan.llm.near_dedup import BASE, MIX2, mixed
 from wirespan.operators.components import connected_components
 
 SLOTS, LIKE = 64, 0.8
@@ -40,6 +43,8 @@ BLOCK = 1024
 STEPS, KINDS = 4096, 256
 #: Texts that walk side by side as one array; what is longer than all but so many texts walks alone.
 ABREAST = 32
+#: Characters of neighbouring texts that are worked on together.
+RUN_CHARS = 2_000_000
 
 
 @cache
@@ -116,10 +121,20 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     return out
 
 
+def as_bytes(prints: np.ndarray) -> pa.Array:
+    """Each row's codes, two bytes each."""
+    return pa.array([row.tobytes() for row in prints.astype(">u2")], pa.binary())
+
+
 def as_text(prints: np.ndarray) -> list[str]:
     return [row.tobytes().hex() for row in prints.astype(">u2")]
 
 
+def shown(prints: str) -> Column:
+    """The hexadecimal digits of a column of bytes."""
+    return F.lower(F.hex(prints))
+
+
 def fingerprint(docs: DataFrame, text_col: str = "text", into: str = "fingerprint") -> DataFrame:
     """docs with their fingerprints, as SLOTS x 4 hexadecimal digits, in a column."""
 
@@ -134,58 +149,70 @@ def fingerprint(docs: DataFrame, text_col: str = "text", into: str = "fingerprin
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal slots."""
+    """Share of equal slots of two fingerprints in bytes."""
     slots = F.sequence(F.lit(0), F.lit(SLOTS - 1))
-    return F.size(F.filter(slots, lambda i: F.substring(a, 4 * i + 1, F.lit(4)) == F.substring(b, 4 * i + 1, F.lit(4)))) / F.lit(float(SLOTS))
+    return F.size(F.filter(slots, lambda i: F.substring(a, 2 * i + 1, F.lit(2)) == F.substring(b, 2 * i + 1, F.lit(2)))) / F.lit(float(SLOTS))
 
 
 def similar(docs: DataFrame, like: float = LIKE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, fingerprint and class_id, the least id of its class.
+    """One row per input row: doc_id, fingerprint and class_id, the least id of its class."""
+    prints = fingerprint(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))).drop("text")
+    named = with_class(materialised(prints.select("doc_id", F.unhex("fingerprint").alias("print"))), like)
+    return named.select("doc_id", shown("print").alias("fingerprint"), "class_id")
 
-    Equal fingerprints are one class from the start; in each bucket of a band all are held against its least fingerprint.
-    In a bucket that then spans several components, all outside the largest one are held against all of it, in blocks.
+
+def with_class(rows: DataFrame, like: float = LIKE) -> DataFrame:
+    """rows (a written table with doc_id and print, a fingerprint in bytes) with class_id, the least id of the row's class.
+
+    Classes are what links of fingerprints that are alike join; a class without any id has a null class_id. Equal
+    fingerprints are one vertex, a number. In each bucket of a band all are held against its least one. In a bucket that
+    then spans several components, all outside the largest one are held against all of it, in blocks.
     """
-    prints = materialised(fingerprint(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))).drop("text"))
-    own = prints.select("fingerprint").distinct()
+    own = materialised(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).withColumn("v", F.monotonically_increasing_id()))
     need = next(k for k in range(1, SLOTS + 1) if k / SLOTS >= like)
     bands = [x.tolist() for x in np.array_split(np.random.default_rng(8).permutation(SLOTS), SLOTS - need + 1)]
-    band = lambda i, slots: F.xxhash64(F.lit(i), *[F.substring("fingerprint", 4 * s + 1, 4) for s in slots])
-    salt = F.pmod(F.hash("fingerprint"), F.lit(SALTS))
-    keyed = materialised(own.select("fingerprint", F.explode(F.array(*[band(i, s) for i, s in enumerate(bands)])).alias("band")))
-    least = keyed.groupBy("band").agg(F.min("fingerprint").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    met = materialised(keyed.withColumn("salt", salt).join(salted(least), ["band", "salt"]).select("band", "hub", "fingerprint"))
-    pairs = met.where(F.col("hub") != F.col("fingerprint")).select("hub", "fingerprint").distinct()
-    links = materialised(pairs.where(likeness(F.col("hub"), F.col("fingerprint")) >= like))
-    parts = connected_components(links, "hub", "fingerprint")
-
-    at = met.join(parts, met.fingerprint == parts.v, "left").select("band", "fingerprint", F.coalesce("component", "fingerprint").alias("component"))
+    band = lambda i, slots: F.xxhash64(F.lit(i), *[F.substring("print", 2 * s + 1, 2) for s in slots])
+    keys = F.array(*[band(i, s) for i, s in enumerate(bands)])
+    shared = own.select("v", F.explode(keys).alias("band")).groupBy("band").agg(F.min("v").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    # A vertex is the hub of as many buckets as there are bands, at most.
+    hubs = own.select(F.col("v").alias("hub"), F.col("print").alias("hub_print"))
+    buckets = materialised(shared.join(hubs, "hub"))
+    # Only what may share a bucket moves.
+    likely = suspects(buckets.select(F.col("band").alias("key"))).filtered(own.select("v", "print", F.explode(keys).alias("band")), F.col("band"))
+    alike = likeness(F.col("hub_print"), F.col("print")) >= like
+    met = materialised(by_group(likely, buckets, ["band"], "n", "v").select("band", "hub", "v", alike.alias("alike")))
+    links = materialised(met.where("alike and hub != v").select("hub", "v").distinct())
+    parts = connected_components(links, "hub", "v")
+
+    at = met.join(parts, "v", "left").select("band", "v", F.coalesce("component", "v").alias("component"))
     each = at.groupBy("band", "component").agg(F.count("*").alias("k"))
     spans = each.groupBy("band").agg(F.max(F.struct("k", "component")).alias("main"), F.sum("k").alias("n"), F.count("*").alias("components")).where("components > 1")
     blocks = lambda n: F.ceil(n / BLOCK)
-    spans = spans.select("band", F.col("main.component").alias("main"), blocks(F.col("n") - F.col("main.k")).alias("n_left"), blocks(F.col("n")).alias("n_right"))
-    rows = materialised(at.withColumn("salt", salt).join(salted(spans), ["band", "salt"]))
-    number = lambda n: F.pmod(F.xxhash64("fingerprint", F.lit("block")), n)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
-    outside = rows.where("component != main").select("band", number(F.col("n_left")).alias("i"), every(F.col("n_right")).alias("j"), F.lit(True).alias("left"), "fingerprint", "component")
-    inside = rows.select("band", every(F.col("n_left")).alias("i"), number(F.col("n_right")).alias("j"), F.lit(False).alias("left"), "fingerprint", "component")
-
-    def compared(frame: pd.DataFrame) -> pd.DataFrame:
-        """Links of two blocks, one at most from an outsider to each component."""
-        left, right = frame[frame.left], frame[~frame.left]
-        slots = lambda x: np.frombuffer(bytes.fromhex("".join(x.fingerprint)), ">u2").reshape(len(x), SLOTS)
-        second, components = slots(right), right.component.to_numpy()
-        found = []
-        for own, name, component in zip(slots(left), left.fingerprint, left.component, strict=True):
-            hits = np.flatnonzero(((second == own).sum(1) >= need) & (components != component))
-            found += [(name, right.fingerprint.iat[hits[k]]) for k in np.unique(components[hits], return_index=True)[1]]
-        return pd.DataFrame(found, columns=["hub", "fingerprint"], dtype=object)
-
-    if rows.limit(1).count():
-        more = outside.union(inside).groupBy("band", "i", "j").applyInPandas(compared, "hub string, fingerprint string")
-        parts = connected_components(links.union(materialised(more)), "hub", "fingerprint")
-    named = own.join(parts, own.fingerprint == parts.v, "left").select("fingerprint", F.coalesce("component", "fingerprint").alias("component"))
-    named = prints.join(named, "fingerprint")
-    return named.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted(named.groupBy("component").agg(F.min("doc_id").alias("class_id"))), ["component", "salt"]).select("doc_id", "fingerprint", "class_id")
+    spans = materialised(spans.select("band", "n", F.col("main.component").alias("main"), blocks(F.col("n") - F.col("main.k")).alias("n_left"), blocks(F.col("n")).alias("n_right")))
+    if spans.limit(1).count():
+        open_ = by_group(at, spans, ["band"], "n", "v").join(own.select("v", "print"), "v")
+        number = lambda n: F.pmod(F.xxhash64("v", F.lit("block")), n)
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+        outside = open_.where("component != main").select("band", number(F.col("n_left")).alias("i"), every(F.col("n_right")).alias("j"), F.lit(True).alias("left"), "v", "component", "print")
+        inside = open_.select("band", every(F.col("n_left")).alias("i"), number(F.col("n_right")).alias("j"), F.lit(False).alias("left"), "v", "component", "print")
+
+        def compared(frame: pd.DataFrame) -> pd.DataFrame:
+            """Links of two blocks, one at most from an outsider to each component."""
+            left, right = frame[frame.left], frame[~frame.left]
+            slots = lambda x: np.frombuffer(b"".join(x.print), ">u2").reshape(len(x), SLOTS)
+            second, components, names = slots(right), right.component.to_numpy(), right.v.to_numpy()
+            found = []
+            for mine, v, component in zip(slots(left), left.v, left.component, strict=True):
+                hits = np.flatnonzero(((second == mine).sum(1) >= need) & (components != component))
+                found += [(v, names[hits[k]]) for k in np.unique(components[hits], return_index=True)[1]]
+            return pd.DataFrame(found, columns=["hub", "v"], dtype=np.int64)
+
+        more = outside.union(inside).groupBy("band", "i", "j").applyInPandas(compared, "hub bigint, v bigint")
+        parts = connected_components(links.union(materialised(more)), "hub", "v")
+    named = own.join(parts, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    classes = materialised(named.groupBy("component").agg(F.min("least").alias("class_id"), F.count("*").alias("n")))
+    named = materialised(by_group(named, classes, ["component"], "n", "v").select("print", "class_id", "rows"))
+    return by_group(rows, named, ["print"], "rows", "doc_id").drop("rows")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -213,41 +240,58 @@ def with_next(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text against itself with its last quarter replaced by the next document's start, and against the next one."""
+    """Each text against itself with its last quarter replaced by the next document's start, and against the next one.
+
+    Texts move to their neighbours compressed. Fingerprints are bytes: print and edited_print.
+    """
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
-    n = F.length("text")
-    tail = (n / 4).cast("int")
-    order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "key")
-    rows = with_next(texts).withColumn("next", F.lead("text").over(order))
-    edited = F.when(F.col("ghost"), "").otherwise(F.concat(F.substring("text", F.lit(1), n - tail), F.substring(F.coalesce("next", F.lit("")), F.lit(1), tail)))
-    rows = rows.select("doc_id", "text", edited.alias("edited"), n.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), "bucket", "ghost")
+    id_type = texts.schema["doc_id"].dataType.simpleString()
 
-    def run(batches):
-        held = None  # the last row, until its next one is known
+    def compressed(batches):
+        zip_ = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for part, texts in slices(batch.column(1), 2_000_000):
-                size = len(texts)
-                edited = batch.column(2).slice(part.start, size).to_pylist()
-                prints = fingerprints([*texts, *edited])
-                own, other = prints[:size], prints[size:]
-                rest = batch.slice(part.start, size)
-                kept = pa.RecordBatch.from_arrays([rest.column(i) for i in (0, 3, 4, 5, 6)], ["doc_id", "n_chars", "edited_sha256", "bucket", "ghost"])
-                if held:
-                    before, first, second = held
-                    kept = pa.Table.from_batches([before, kept]).combine_chunks().to_batches()[0]
-                    own, other = np.concatenate([first, own]), np.concatenate([second, other])
-                real = ~np.array(kept.column(4).to_pylist()[:-1], bool)
-                near_next = (own[:-1] == own[1:]).mean(1)[real]
-                near_edited = (own[:-1] == other[:-1]).mean(1)[real]
-                shown = kept.slice(0, len(kept) - 1).filter(pa.array(real))
-                columns = [shown.column(i) for i in range(3)]
-                columns += [pa.array(as_text(own[:-1][real]), pa.string()), pa.array(as_text(other[:-1][real]), pa.string()), pa.array(near_edited, pa.float64()), pa.array(near_next, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-                held = kept.slice(len(kept) - 1), own[-1:], other[-1:]
+            blobs = pa.array([zip_.compress(x) for x in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), blobs, *batch.columns[2:]], ["doc_id", "blob", "key", "bucket", "ghost"])
+
+    rows = with_next(texts).select("doc_id", "text", "key", "bucket", "ghost")
+    rows = rows.mapInArrow(compressed, f"doc_id {id_type}, blob binary, key bigint, bucket int, ghost boolean")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").asc_nulls_first(), "key").select("doc_id", "blob", "ghost")
+
+    def judged(held: list[tuple], first: np.ndarray | None, kind: pa.DataType) -> tuple[pa.RecordBatch, np.ndarray]:
+        """Rows (id, text, ghost) of a run but its last one, which the one before it needs; the last one's fingerprint."""
+        whole = [text for _, text, _ in held]
+        real = [i for i in range(len(held) - 1) if not held[i][2]]
+        edited = [whole[i][: len(whole[i]) - len(whole[i]) // 4] + whole[i + 1][: len(whole[i]) // 4] for i in real]
+        new = whole if first is None else whole[1:]
+        prints = fingerprints([*new, *edited])
+        own, other = prints[: len(new)], prints[len(new) :]
+        own = own if first is None else np.concatenate([first, own])
+        mine, following = own[real], own[[i + 1 for i in real]]
+        columns = [pa.array([held[i][0] for i in real], kind), pa.array([len(whole[i]) for i in real], pa.int64())]
+        columns += [pa.array([hashlib.sha256(x.encode()).digest() for x in edited], pa.binary()), as_bytes(mine), as_bytes(other)]
+        columns += [pa.array((mine == x).mean(1), pa.float64()) for x in (other, following)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_hash", "print", "edited_print", "near_edited", "near_next"]), own[-1:]
 
-    id_type = texts.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    def run(batches):
+        unzip, held, size, first, kind = zstandard.ZstdDecompressor(), [], 0, None, None
+        for batch in batches:
+            kind = batch.column(0).type
+            for id_, blob, ghost in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = unzip.decompress(blob).decode()
+                if len(held) > 1 and size + len(text) > RUN_CHARS:
+                    out, first = judged(held, first, kind)
+                    yield out
+                    held = held[-1:]
+                    size = len(held[0][1])
+                held.append((id_, text, ghost))
+                size += len(text)
+        if len(held) > 1:
+            yield judged(held, first, kind)[0]
+
+    return rows.mapInArrow(run, f"doc_id {id_type}, n_chars bigint, edited_hash binary, print binary, edited_print binary, near_edited double, near_next double")
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_edited(read(spark, sf_dir, "documents"))
+    rows = with_class(materialised(compare_edited(read(spark, sf_dir, "documents"))))
+    prints = [shown("edited_hash").alias("edited_sha256"), shown("print").alias("fingerprint"), shown("edited_print").alias("edited_fingerprint")]
+    return rows.select("doc_id", "n_chars", *prints, "near_edited", "near_next", "class_id")
