@@ -244,6 +244,23 @@ def test_fingerprints_against_a_naive_walk():
     assert fingerprint.fingerprints(some).tolist() == [naive_fingerprint(t) for t in some]
 
 
+def test_alike_pairs_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(fingerprint, "TOGETHER", 50)
+    rng, need = np.random.default_rng(5), 52
+    origins = rng.integers(0, 12, (40, 64)).astype(np.uint16)
+    origins[:, :20] = 1  # slots that all share
+    rows = origins[rng.integers(0, 40, 300)]
+    for row in rows:
+        row[rng.choice(64, rng.integers(0, 18), replace=False)] += 100
+    parts = rng.integers(0, 30, 300)
+    first, second, a, b = rows[:100], rows, parts[:100], parts
+    equal = (first[:, None] == second[None]).sum(2)
+    want = {(i, b[j]) for i, j in zip(*np.nonzero(equal >= need), strict=True) if a[i] != b[j]}
+    i, j = fingerprint.alike_pairs(first, second, a, b, need)
+    assert len(want) > 100 and (equal[i, j] >= need).all() and sorted(want) == sorted(zip(i, b[j], strict=True))
+    assert [len(x) for x in fingerprint.alike_pairs(first[:0], second, a[:0], b, need)] == [0, 0]
+
+
 def test_edited_texts_of_odd_rows(spark):
     kind = "doc_id bigint, text string, next string, blob string, v int"
     long = "a long text " * 250_000

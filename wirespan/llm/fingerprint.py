@@ -37,8 +37,10 @@ from wirespan.llm.near_dedup import BASE, MIX2, mixed
 from wirespan.operators.components import connected_components
 
 SLOTS, LIKE = 64, 0.8
-#: Fingerprints that meet in one task, at most about twice.
-BLOCK = 1024
+#: Fingerprints that meet in one task, at most about twice, and pairs of them that are compared together.
+BLOCK, TOGETHER = 16384, 200_000
+#: Rows of small blocks that a task takes at once, and pairs of two blocks up to which all are compared.
+GROUP, SMALL = 20_000, 10_000
 #: Coins repeat after so many steps, and so many kinds of characters have coins of their own.
 STEPS, KINDS = 4096, 256
 #: Texts that walk side by side as one array; what is longer than all but so many texts walks alone.
@@ -196,18 +198,26 @@ def with_class(rows: DataFrame, like: float = LIKE) -> DataFrame:
         outside = open_.where("component != main").select("band", number(F.col("n_left")).alias("i"), every(F.col("n_right")).alias("j"), F.lit(True).alias("left"), "v", "component", "print")
         inside = open_.select("band", every(F.col("n_left")).alias("i"), number(F.col("n_right")).alias("j"), F.lit(False).alias("left"), "v", "component", "print")
 
+        # Small buckets are many, so a task's group holds the blocks of about GROUP rows.
+        to_meet = spans.agg(F.sum(F.col("n") * (F.col("n_left") + F.col("n_right")))).first()[0]
+        groups = int(1 + to_meet // GROUP)
+
         def compared(frame: pd.DataFrame) -> pd.DataFrame:
-            """Links of two blocks, one at most from an outsider to each component."""
-            left, right = frame[frame.left], frame[~frame.left]
-            slots = lambda x: np.frombuffer(b"".join(x.print), ">u2").reshape(len(x), SLOTS)
-            second, components, names = slots(right), right.component.to_numpy(), right.v.to_numpy()
+            """Links of two blocks each, one at most from an outsider to each component."""
             found = []
-            for mine, v, component in zip(slots(left), left.v, left.component, strict=True):
-                hits = np.flatnonzero(((second == mine).sum(1) >= need) & (components != component))
-                found += [(v, names[hits[k]]) for k in np.unique(components[hits], return_index=True)[1]]
-            return pd.DataFrame(found, columns=["hub", "v"], dtype=np.int64)
-
-        more = outside.union(inside).groupBy("band", "i", "j").applyInPandas(compared, "hub bigint, v bigint")
+            slots = np.frombuffer(b"".join(frame.print), ">u2").astype(np.uint16).reshape(len(frame), SLOTS)
+            v, component, is_left = frame.v.to_numpy(), frame.component.to_numpy(), frame.left.to_numpy()
+            for rows_ in frame.groupby(["band", "i", "j"]).indices.values():
+                a, b = rows_[is_left[rows_]], rows_[~is_left[rows_]]
+                if len(a) * len(b) <= SMALL:
+                    hit = (slots[a][:, None] == slots[b][None]).sum(2) >= need
+                    i, j = np.nonzero(hit & (component[a][:, None] != component[b][None]))
+                else:
+                    i, j = alike_pairs(slots[a], slots[b], component[a], component[b], need)
+                found.append((v[a[i]], v[b[j]]))
+            return pd.DataFrame({"hub": np.concatenate([x for x, _ in found]), "v": np.concatenate([x for _, x in found])})
+
+        more = outside.union(inside).withColumn("g", F.pmod(F.xxhash64("band", "i", "j"), F.lit(groups))).groupBy("g").applyInPandas(compared, "hub bigint, v bigint")
         parts = connected_components(links.union(materialised(more)), "hub", "v")
     named = own.join(parts, "v", "left").withColumn("component", F.coalesce("component", "v"))
     classes = materialised(named.groupBy("component").agg(F.min("least").alias("class_id"), F.count("*").alias("n")))
@@ -215,6 +225,39 @@ def with_class(rows: DataFrame, like: float = LIKE) -> DataFrame:
     return by_group(rows, named, ["print"], "rows", "doc_id").drop("rows")
 
 
+def alike_pairs(first: np.ndarray, second: np.ndarray, of_first: np.ndarray, of_second: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two blocks with at least ``need`` equal slots and other components: one for each row of the first and component.
+
+    The blocks share a band, so slots are dealt into bands anew, those that tell most rows apart first: alike rows share
+    one of these whole, whatever the blocks hold, and only rows that do are compared.
+    """
+    few = np.zeros((0, 3), np.int64)
+    if not len(first) or not len(second):
+        return few[:, 0], few[:, 1]
+    agree = [float((np.unique(column, return_counts=True)[1] ** 2.0).sum()) for column in second.T]
+    order = np.argsort(agree, kind="stable")
+    n_bands, found = SLOTS - need + 1, [few]
+    factors = mixed(np.arange(1, SLOTS + 1, dtype=np.uint64) * BASE) | np.uint64(1)
+    for k in range(n_bands):
+        band = order[k::n_bands]
+        keys = [(x[:, band].astype(np.uint64) * factors[band]).sum(1, dtype=np.uint64) for x in (first, second)]
+        by_key = np.argsort(keys[1], kind="stable")
+        at, stop = (np.searchsorted(keys[1][by_key], keys[0], side=side) for side in ("left", "right"))
+        ends = np.cumsum(stop - at)
+        cuts = np.searchsorted(ends, np.arange(0, ends[-1], TOGETHER), side="left").tolist() if ends[-1] else []
+        for a, b in zip(cuts, [*cuts[1:], len(first)], strict=True):
+            count = (stop - at)[a:b]
+            i = np.repeat(np.arange(a, b), count)
+            j = by_key[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at[a:b], count)]
+            other = of_first[i] != of_second[j]
+            i, j = i[other], j[other]
+            hit = (first[i] == second[j]).sum(1) >= need
+            found.append(np.stack([i[hit], j[hit], of_second[j[hit]]], 1))
+    every = np.concatenate(found)
+    _, one = np.unique(every[:, [0, 2]], axis=0, return_index=True)
+    return every[one, 0], every[one, 1]
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs (with columns text and key) as ordered runs: ``bucket`` ranges of ids, each with a ``ghost`` row at its end.
 
