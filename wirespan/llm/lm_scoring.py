@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +46,11 @@ from wirespan.llm.near_dedup import BASE, mixed, powers
 
 DISCOUNT = 0.75
 BEGIN, END = np.uint64(1), np.uint64(2)
-SLICE = 3_000_000
+#: Characters whose words are found together.
+SLICE = 750_000
 SHARD_TOKENS, SPLIT, FREQUENT = 1 << 20, 256, 1 << 20
 #: Tokens and texts whose n-grams leave a task together.
-GROUP_TOKENS, GROUP_TEXTS = 1_200_000, 60_000
+GROUP_TOKENS, GROUP_TEXTS = 1_000_000, 60_000
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +66,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     word = mixed((sums[ends] - sums[starts]) * down[starts]) >> np.uint64(1) | np.uint64(4)  # below 2 ** 63, and neither mark
     text = np.searchsorted(np.cumsum(sizes + 1), starts, side="right")
     count = np.bincount(text, minlength=len(texts))
-    out, owner = np.empty(len(word) + 2 * len(texts), np.uint64), np.repeat(np.arange(len(texts)), count + 2)
+    out, owner = np.empty(len(word) + 2 * len(texts), np.uint64), np.repeat(np.arange(len(texts), dtype=np.int32), count + 2)
     before = np.cumsum(count + 2) - count - 2
     out[before], out[before + count + 1] = BEGIN, END
     out[np.arange(len(word)) + 2 * text + 1] = word
@@ -288,10 +290,21 @@ def score(docs: DataFrame, train: Column, text_col: str = "text", discount: floa
     source = docs.select(text_of(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
 
     def unigrams(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def leave():
+            if held:
+                codes, of = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+                n = np.bincount(of, np.concatenate([h[1] for h in held])).astype(np.int64)
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n)], ["code", "n"])
+
         for batch in batches:
             for _, texts in slices(batch.column(0), SLICE):
-                codes, n = np.unique(tokens(texts)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n)], ["code", "n"])
+                held.append(np.unique(tokens(texts)[0], return_counts=True))
+                if sum(len(h[0]) for h in held) > GROUP_TOKENS:
+                    yield from leave()
+        yield from leave()
 
     counted = source.where("train").select("text").mapInArrow(unigrams, "code bigint, n bigint")
     counts = materialised(counted.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("code") != int(BEGIN)))
@@ -321,7 +334,8 @@ def score(docs: DataFrame, train: Column, text_col: str = "text", discount: floa
             if held:
                 rows = pa.Table.from_batches([h[0] for h in held]).combine_chunks()
                 codes, train = np.concatenate([h[1] for h in held]), np.concatenate([h[3] for h in held])
-                owner = np.concatenate([h[2] + b for h, b in zip(held, np.cumsum([0, *[len(h[0]) for h in held[:-1]]]), strict=True)])
+                owner = np.concatenate([h[2] + b for h, b in zip(held, np.cumsum([0, *[len(h[0]) for h in held[:-1]]]).tolist(), strict=True)])
+                held = []
                 real = codes != BEGIN
                 hit, logs = model.known(codes[real])
                 per_text = lambda x: pa.array(np.bincount(owner[real], x, rows.num_rows))
@@ -332,9 +346,9 @@ def score(docs: DataFrame, train: Column, text_col: str = "text", discount: floa
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, rows.schema) as writer:
                     writer.write_table(rows)
-                out = [(run % asking.shards, 0, sink.getvalue().to_pybytes()), *((s, 1, b) for s, b in asking.blobs(codes, owner, train))]
-                for a in range(0, len(out), 64):
-                    part = out[a : a + 64]
+                own_row = (run % asking.shards, 0, sink.getvalue().to_pybytes())
+                out = chain([own_row], ((s, 1, b) for s, b in asking.blobs(codes, owner, train)))
+                while part := list(islice(out, 16)):
                     yield pa.RecordBatch.from_arrays([pa.array([run] * len(part), pa.int64()), pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.int32()), pa.array([x[2] for x in part], pa.binary())], ["run", "shard", "kind", "blob"])
                 run += 1
             held, size, texts_held = [], 0, 0
@@ -346,8 +360,9 @@ def score(docs: DataFrame, train: Column, text_col: str = "text", discount: floa
                     codes, owner = tokens(some)
                     if size + len(codes) > GROUP_TOKENS or texts_held + len(some) > GROUP_TEXTS:
                         yield from leave()
-                    rows = batch.slice(part.start + a, len(some))
-                    held.append((pa.RecordBatch.from_arrays([*rows.columns[2:], pa.nulls(len(some))], [*kept, "_"]), codes, owner, np.array(rows.column(1).to_pylist(), bool)))
+                    # Copies, as parts of a batch would keep the whole of it.
+                    rows = batch.select(range(1, batch.num_columns)).take(pa.array(np.arange(part.start + a, part.start + a + len(some))))
+                    held.append((pa.RecordBatch.from_arrays([*rows.columns[1:], pa.nulls(len(some))], [*kept, "_"]), codes, owner, np.array(rows.column(0).to_pylist(), bool)))
                     size, texts_held = size + len(codes), texts_held + len(some)
         yield from leave()
 

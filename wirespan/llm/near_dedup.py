@@ -63,9 +63,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Fewer powers than 2 to this are never made on their own.
+POWER_BITS = 20
+
+
 @cache
 def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE to 0, 1, ... below 2 ** bits, and the same of its inverse modulo 2 ** 64."""
+    if bits < POWER_BITS:  # a part of one table, not a table for each size
+        return tuple(x[: 1 << bits] for x in powers(POWER_BITS))
     inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
     up = [np.concatenate([np.ones(1, np.uint64), np.full((1 << bits) - 1, b)]) for b in (BASE, inverse)]
     return tuple(np.multiply.accumulate(x) for x in up)
