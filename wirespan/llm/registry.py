@@ -16,6 +16,7 @@ MODULES = {
     "op8_fingerprint": "fingerprint",
     "op9_language_id": "language_id",
     "op10_bpe": "bpe",
+    "op11_whitening": "whitening",
 }
 
 
