@@ -17,6 +17,7 @@ MODULES = {
     "op9_language_id": "language_id",
     "op10_bpe": "bpe",
     "op11_whitening": "whitening",
+    "op12_vector_dedup": "vector_dedup",
     "op13_spelling": "spelling",
 }
 
