@@ -106,7 +106,7 @@ def test_whole_table(spark):
 
 def test_pruning_keeps_the_nearest_and_drops_what_it_covers():
     vec = vd.unit(np.array([[1.0, 0.0], [1.0, 0.1], [1.0, 0.12], [1.0, -0.5], [0.0, 1.0]]))
-    assert vd.pruned(vec, np.array([0]), np.array([[1, 2, 3, 4, -1, 1]]), 4).tolist() == [[1, 3, -1, -1]]
+    assert vd.pruned(vec, np.array([0]), np.array([[1, 2, 3, 4, -1, 1]]), 4).tolist() == [[1, 3, 4, -1]]
 
 
 def test_graph_leads_from_the_medoid_to_every_vertex():
