@@ -33,6 +33,12 @@ def grown(b: tuple, by: float) -> tuple:
     return (f"({b[0]} - {by})", f"({b[1]} - {by})", f"({b[2]} + {by})", f"({b[3]} + {by})")
 
 
+def extent(s: tuple, by: float = 0) -> tuple:
+    """The box that a segment spans, widened by ``by``."""
+    x1, y1, x2, y2 = s
+    return (f"(least({x1}, {x2}) - {by})", f"(least({y1}, {y2}) - {by})", f"(greatest({x1}, {x2}) + {by})", f"(greatest({y1}, {y2}) + {by})")
+
+
 def iou(a: tuple, b: tuple) -> str:
     """Intersection over union; 0 without a common area."""
     w, h = f"(least({a[2]}, {b[2]}) - greatest({a[0]}, {b[0]}))", f"(least({a[3]}, {b[3]}) - greatest({a[1]}, {b[1]}))"

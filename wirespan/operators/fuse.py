@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wirespan.functions import geometry as g
 from wirespan.functions.params import DEFAULT, Params
+from wirespan.operators.cover import overlapping
 from wirespan.operators.graph import endpoints
 from wirespan.sources.tables import shared_table
 
@@ -16,7 +17,8 @@ def match_endpoints(lines: DataFrame, signals: DataFrame, p: Params = DEFAULT) -
     texts = signals.selectExpr("page_id", "sig_idx", "x1 as sx1", "y1 as sy1", "x2 as sx2", "y2 as sy2")
     held = g.inside("x", "y", g.box("s"), p.endpoint_padding)
     away = g.distance("x", "y", "(sx1 + sx2) / 2", "(sy1 + sy2) / 2")
-    both = endpoints(lines).join(texts, "page_id").where(f"{held} or {away} < {p.near_box}")
+    reach = max(p.endpoint_padding, p.near_box)  # a center within reach is in the box widened by as much
+    both = overlapping(endpoints(lines), texts, ("x", "y", "x", "y"), g.grown(g.box("s"), reach)).where(f"{held} or {away} < {p.near_box}")
     key = F.expr(f"case when {held} then struct(0 as rank, 0D as d, sig_idx) else struct(1 as rank, {away} as d, sig_idx) end")
     best = both.groupBy("page_id", "pi").agg(F.min(key).alias("b"))
     return best.selectExpr("page_id", "pi", "b.sig_idx as sig_idx", "case b.rank when 0 then 'in_box' else 'near_box' end as method")
@@ -57,13 +59,14 @@ def dedup_lines(lines: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def suppress_overlaps(detections: DataFrame, max_iou: float = 0.1) -> DataFrame:
-    """Detections that no kept one of the page's same class and a better confidence (ties: earlier) covers by more than max_iou."""
+    """Detections that no kept one of the page's same class and a better confidence (ties: earlier) covers by more than max_iou (0 at least)."""
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("confidence"), "det_idx"))
     ranked = detections.withColumn("r", rank)
     corners = ("x_min", "y_min", "x_max", "y_max")
     side = lambda end: ranked.select("page_id", "class_id", F.col("r").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in corners])
     box = lambda end: tuple(f"{end}_{c}" for c in corners)
-    pairs = side("hi").join(side("lo"), ["page_id", "class_id"]).where(f"hi < lo and {g.iou(box('hi'), box('lo'))} > {max_iou}")
+    met = overlapping(side("hi"), side("lo"), box("hi"), box("lo"), ("page_id", "class_id"))
+    pairs = met.where(f"hi < lo and {g.iou(box('hi'), box('lo'))} > {max_iou}")
     return survivors(ranked, pairs.select("page_id", "hi", "lo"))
 
 

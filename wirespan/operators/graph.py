@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirespan.functions import geometry as g
 from wirespan.functions.params import DEFAULT, Params
+from wirespan.operators.clusters import clusters_by_page
 from wirespan.operators.components import connected_components
+from wirespan.operators.cover import overlapping
 from wirespan.sources.tables import shared_table
 
 KINDS = "case kind when 'device' then 0 when 'ground' then 1 else 2 end"
@@ -28,9 +29,30 @@ def endpoint_pairs(points: DataFrame, within: float) -> DataFrame:
     return left.join(right, ["page_id", "gx", "gy"]).where(near).select("page_id", "a", "b")
 
 
-def clustered(lines: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """page_id, pi, x, y, jid: each end with the junction it belongs to; junctions are numbered by their first end."""
+#: Pages with more line ends than this are clustered by links over many tasks, others each in one task's memory.
+PAGE_POINTS = 1 << 20
+
+
+def clustered(lines: DataFrame, p: Params = DEFAULT, page_points: int = PAGE_POINTS) -> DataFrame:
+    """page_id, pi, x, y, jid: each end with the junction it belongs to; junctions are numbered by their first end.
+
+    Ends are dealt by page once, and a task clusters many pages at a time. Pages of more than ``page_points`` ends are
+    dealt by cells instead.
+    """
     points = endpoints(lines)
+    large = points.groupBy("page_id").agg(F.count("*").alias("n")).where(F.col("n") > page_points).select("page_id")
+    small = points
+    if large.limit(1).count():
+        large = shared_table(large)
+        small = points.join(large, "page_id", "left_anti")
+    kind = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    dealt = small.where("page_id is not null").repartition("page_id").sortWithinPartitions("page_id", "pi")
+    out = dealt.mapInArrow(clusters_by_page(p.merge_distance), f"page_id {kind['page_id']}, pi {kind['pi']}, x double, y double, jid int")
+    return out if small is points else out.unionByName(_clustered_by_links(points.join(large, "page_id"), p))
+
+
+def _clustered_by_links(points: DataFrame, p: Params) -> DataFrame:
+    """The same for pages of any size, by pairs of near ends and their connected components."""
     key = lambda c: F.concat_ws(":", "page_id", F.lpad(F.col(c).cast("string"), 10, "0")).alias(c)  # noqa: E731  sorts as the ends do
     parts = connected_components(endpoint_pairs(points, p.merge_distance).select(key("a"), key("b")))
     end = lambda c: F.substring_index(c, ":", -1).cast("int")
@@ -58,8 +80,7 @@ def entry_points(ends_junctions: DataFrame, boxes: DataFrame, lines: DataFrame,
     """
     e = p.box_expand
     wide = boxes.selectExpr("page_id", "kind", "box_idx", f"greatest(0D, x1 - {e}) as bx1", f"greatest(0D, y1 - {e}) as by1", f"x2 + {e} as bx2", f"y2 + {e} as by2")
-    near = F.expr("least(x1, x2) <= bx2 and greatest(x1, x2) >= bx1 and least(y1, y2) <= by2 and greatest(y1, y2) >= by1")
-    both = lines.select("page_id", "line_idx", "x1", "y1", "x2", "y2").join(wide, "page_id").where(near)
+    both = overlapping(lines.select("page_id", "line_idx", "x1", "y1", "x2", "y2"), wide, g.extent(g.box()), g.box("b"))
     met = ", ".join(g.meeting(g.box(), s) for s in g.sides(g.box("b")))
     found = both.selectExpr("page_id", "kind", "box_idx", "line_idx", f"posexplode(array({met})) as (edge_idx, at)").where("at is not null")
     first = ends_junctions.groupBy("page_id").agg(F.count("*").alias("n"))
@@ -109,7 +130,7 @@ def splice(base: DataFrame, entries: DataFrame, nodes: DataFrame, lines: DataFra
 def device_counts(signals: DataFrame, boxes: DataFrame, by: float) -> DataFrame:
     """page_id, sig_idx, n: devices that a signal's box overlaps when widened by ``by``."""
     devices = boxes.where("kind = 'device'").selectExpr("page_id", "x1 as dx1", "y1 as dy1", "x2 as dx2", "y2 as dy2")
-    hit = signals.join(devices, "page_id").where(g.overlaps(g.grown(g.box(), by), g.box("d")))
+    hit = overlapping(signals.select("page_id", "sig_idx", *g.box()), devices, g.grown(g.box(), by), g.box("d"))
     return hit.groupBy("page_id", "sig_idx").agg(F.count("*").alias("n"))
 
 
@@ -138,7 +159,7 @@ def mergeable(nodes: DataFrame, lines: DataFrame, signals: DataFrame, boxes: Dat
     """page_id, sig_idx, jid, x, y, way (H or V): nodes in eligible signals' boxes all of whose lines run one way."""
     skipped = device_counts(signals, boxes, p.contract_expand).where("n = 2")
     eligible = signals.join(skipped, ["page_id", "sig_idx"], "left_anti").selectExpr("page_id", "sig_idx", "x1 as sx1", "y1 as sy1", "x2 as sx2", "y2 as sy2")
-    inside = nodes.join(eligible, "page_id").where(g.inside("x", "y", g.box("s"))).select("page_id", "sig_idx", "jid", "x", "y")
+    inside = overlapping(nodes.select("page_id", "jid", "x", "y"), eligible, ("x", "y", "x", "y"), g.box("s")).select("page_id", "sig_idx", "jid", "x", "y")
     reach = p.contract_distance
     flat, steep = "abs(x2 - x1) > abs(y2 - y1) * 2", "abs(y2 - y1) > abs(x2 - x1) * 2"
     way = lines.selectExpr("page_id", "line_idx", f"case when {flat} then 'H' when {steep} then 'V' end as way")
@@ -150,7 +171,7 @@ def mergeable(nodes: DataFrame, lines: DataFrame, signals: DataFrame, boxes: Dat
 
 
 def chains(found: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """page_id, jid, new_jid offset ``seq`` (from 1) and its mean place for nodes that merge: runs of at least two.
+    """page_id, sig_idx, way, run, jid, nx, ny: nodes that merge, in runs of at least two, and each run's mean place.
 
     Along a box's other axis (y for H, x for V) neighbours nearer than twice the contraction distance go together.
     """
@@ -160,40 +181,47 @@ def chains(found: DataFrame, p: Params = DEFAULT) -> DataFrame:
     runs = cut.withColumn("run", F.sum("cut").over(lane))
     group = Window.partitionBy("page_id", "sig_idx", "way", "run")
     runs = runs.withColumn("n", F.count("*").over(group)).where("n > 1").withColumn("nx", F.avg("x").over(group)).withColumn("ny", F.avg("y").over(group))
-    return runs.withColumn("seq", F.dense_rank().over(Window.partitionBy("page_id").orderBy("sig_idx", "way", "run"))).select("page_id", "jid", "seq", "nx", "ny")
+    return runs.select("page_id", "sig_idx", "way", "run", "jid", "nx", "ny")
+
+
+def chains_in_turn(found: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """chains of all signals, where they act in order and a node that merged is gone for later ones.
+
+    Signals depend on each other only where a node lies in the boxes of both. In each round those act that no earlier
+    signal which is still open shares a node with; of their nodes, what has merged before is left out. So there are as many
+    rounds as the longest row of signals that each share a node with the next, and one where boxes share none.
+    """
+    found = shared_table(found)
+    several = found.withColumn("n", F.count("*").over(Window.partitionBy("page_id", "jid"))).where("n > 1")
+    before = several.withColumn("earlier", F.lag("sig_idx").over(Window.partitionBy("page_id", "jid").orderBy("sig_idx")))
+    waits = shared_table(before.where("earlier is not null").select("page_id", "sig_idx", "earlier").distinct())
+    if not waits.limit(1).count():
+        return chains(found, p)
+    here = ["page_id", "sig_idx"]
+    merged, gone, rest = None, None, found
+    while True:
+        later = waits.select(*here).distinct()
+        acting = rest.join(later, here, "left_anti")
+        if gone is not None:
+            acting = acting.join(gone, ["page_id", "jid"], "left_anti")
+        new = shared_table(chains(acting, p))
+        merged = new if merged is None else merged.union(new)
+        gone = merged.select("page_id", "jid")
+        if not waits.limit(1).count():
+            return merged
+        rest = shared_table(rest.join(later, here, "left_semi"))
+        # Signals that acted bar nobody any more; those still open are in ``later``.
+        waits = shared_table(waits.join(later.withColumnRenamed("sig_idx", "earlier"), ["page_id", "earlier"], "left_semi").select("page_id", "sig_idx", "earlier"))
 
 
 def contract(nodes: DataFrame, graph: DataFrame, lines: DataFrame, signals: DataFrame, boxes: DataFrame, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) after the nodes in a signal's box that lie on one track became one new node each.
 
-    Signals act in order, and a node that merged is gone for later ones. Where no node lies in two signals' boxes that is
-    a relabelling of both ends of edges; pages where one does are worked off signal by signal in one task each.
+    Signals act in order, and a node that merged is gone for later ones; with that known it is a relabelling of both ends
+    of edges. New nodes are numbered after the page's others by signal, way and run.
     """
-    found = shared_table(mergeable(nodes, lines, signals, boxes, p))  # read four times below
-    twice = found.groupBy("page_id", "jid").agg(F.count("*").alias("n")).where("n > 1").select("page_id").distinct()
-    plain = chains(found.join(twice, "page_id", "left_anti"), p)
-
-    def in_turn(page: pd.DataFrame) -> pd.DataFrame:
-        gone, out, seq, gap = set(), [], 0, 2 * p.contract_distance
-        for _, part in page.groupby("sig_idx", sort=True):
-            for way, axis in (("H", "y"), ("V", "x")):
-                run: list = []
-                rows = part[(part.way == way) & ~part.jid.isin(gone)].sort_values([axis, "jid"])
-                for row in [*rows.itertuples(), None]:
-                    if row is not None and (not run or getattr(row, axis) - getattr(run[-1], axis) < gap):
-                        run.append(row)
-                        continue
-                    if len(run) > 1:
-                        seq += 1
-                        x, y = sum(r.x for r in run) / len(run), sum(r.y for r in run) / len(run)
-                        out += [(row_.page_id, row_.jid, seq, x, y) for row_ in run]
-                        gone |= {r.jid for r in run}
-                    run = [row]
-        return pd.DataFrame(out, columns=["page_id", "jid", "seq", "nx", "ny"])
-
-    # A node is taken at most once by the first signal that merges it; runs never span H and V, so gone holds between them too.
-    special = found.join(twice, "page_id", "left_semi").groupBy("page_id").applyInPandas(in_turn, "page_id bigint, jid int, seq int, nx double, ny double")
-    merged = plain.unionByName(special)
+    merged = chains_in_turn(mergeable(nodes, lines, signals, boxes, p), p)
+    merged = merged.withColumn("seq", F.dense_rank().over(Window.partitionBy("page_id").orderBy("sig_idx", "way", "run")))
     top = nodes.groupBy("page_id").agg(F.max("jid").alias("top"))
     named = merged.join(top, "page_id").selectExpr("page_id", "jid", "cast(top + seq as int) as new_jid", "nx", "ny")
     relabel = named.select("page_id", "jid", "new_jid")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirespan.functions import geometry as g
 from wirespan.functions.params import DEFAULT, Params
+from wirespan.operators.components import connected_components
+from wirespan.operators.cover import overlapping
 from wirespan.operators.graph import KINDS
+from wirespan.sources.tables import shared_table
 
 
 def numbered_boxes(boxes: DataFrame) -> DataFrame:
@@ -17,29 +18,64 @@ def numbered_boxes(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("gid", F.row_number().over(Window.partitionBy("page_id").orderBy(F.expr(KINDS), "box_idx")) - 1)
 
 
+def half_paths(owner: DataFrame, step: DataFrame, most: int) -> DataFrame:
+    """page_id, gid, at, path: simple ways of at most ``most`` nodes from each entry (page_id, jid, gid) over nodes that are none.
+
+    Each round adds a node to the ways of the last one, over a written table, and ends with the longest way there is.
+    """
+    found = [shared_table(owner.select("page_id", "gid", F.col("jid").alias("at"), F.array("jid").alias("path")))]
+    inner = step.where("v_gid is null").select("page_id", F.col("u").alias("at"), "v")
+    for _ in range(most - 1):
+        longer = found[-1].join(inner, ["page_id", "at"]).where("not array_contains(path, v)")
+        longer = shared_table(longer.select("page_id", "gid", F.col("v").alias("at"), F.array_append("path", F.col("v")).alias("path")))
+        if not longer.limit(1).count():
+            break
+        found.append(longer)
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
+def leading_on(owner: DataFrame, both: DataFrame) -> DataFrame:
+    """Edges (page_id, u, v; both ways) of the parts of a page from which entries of at least two boxes can be reached.
+
+    Parts are what hangs together by nodes that are no entries; an entry ends every way, so no path leaves a part.
+    """
+    entry = owner.select("page_id", F.col("jid").alias("u"), F.lit(True).alias("u_entry"))
+    marked = both.join(entry, ["page_id", "u"], "left").join(entry.withColumnsRenamed({"u": "v", "u_entry": "v_entry"}), ["page_id", "v"], "left")
+    marked = shared_table(marked.fillna(False, ["u_entry", "v_entry"]))
+    key = lambda c: F.concat_ws(":", "page_id", c)
+    parts = connected_components(marked.where("not u_entry and not v_entry and u <= v").select(key("u").alias("a"), key("v").alias("b")))
+    parts = parts.select(F.substring_index("v", ":", 1).cast("bigint").alias("page_id"), F.substring_index("v", ":", -1).cast("int").alias("u"), "component")
+    inner = marked.where("not u_entry").join(parts, ["page_id", "u"], "left").withColumn("component", F.coalesce("component", key("u")))
+    touching = inner.where("v_entry").join(owner.select("page_id", F.col("jid").alias("v"), "gid"), ["page_id", "v"])
+    good = touching.groupBy("component").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo != hi").select("component")
+    ways = inner.join(good, "component", "left_semi").select("page_id", "u", "v")
+    return ways.union(ways.join(owner.select("page_id", F.col("jid").alias("v")), ["page_id", "v"], "left_semi").select("page_id", "v", "u")).union(marked.where("u_entry and v_entry").select("page_id", "u", "v")).distinct()
+
+
 def paths(entries: DataFrame, graph: DataFrame, boxes: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """page_id, from_gid, to_gid, path: simple paths of at most ``max_nodes`` nodes from one box's entries to a later box's.
 
-    A path ends at the first entry it meets, so one search from each entry serves all targets; pairs of boxes that mostly
-    cover each other are left out.
+    A path ends at the first entry it meets, so its other nodes are none. Parts of the graph that touch one box only are
+    left out at first. Ways of half the length then lead from all entries at once, and two ways from different boxes make
+    a path where an edge joins their ends and they share no node; of a path's nodes the earlier box has as many as the
+    later one, or one more. Pairs of boxes that mostly cover each other are left out.
     """
-    spark, name = graph.sparkSession, uuid.uuid4().hex
     gids = numbered_boxes(boxes)
-    owner = entries.select("page_id", "kind", "box_idx", "jid").join(gids.select("page_id", "kind", "box_idx", "gid"), ["page_id", "kind", "box_idx"]).select("page_id", "jid", "gid")
-    both = graph.select("page_id", F.col("a").alias("u"), F.col("b").alias("v")).union(graph.select("page_id", "b", "a")).distinct().where("u != v")
-    owner.createOrReplaceTempView(f"owner_{name}")
-    both.join(owner.select("page_id", F.col("jid").alias("v"), F.col("gid").alias("v_gid")), ["page_id", "v"], "left").createOrReplaceTempView(f"step_{name}")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # paths grow with the pages; each is bounded by max_nodes
-    found = spark.sql(f"""
-        with recursive walk(page_id, src, at, path, dst) as (
-          select page_id, gid, jid, array(jid), cast(null as int) from owner_{name}
-          union all
-          select w.page_id, w.src, s.v, array_append(w.path, s.v), s.v_gid
-          from walk w join step_{name} s on s.page_id = w.page_id and s.u = w.at
-          where w.dst is null and size(w.path) < {p.max_nodes} and not array_contains(w.path, s.v) and (s.v_gid is null or s.v_gid > w.src))
-        select page_id, src as from_gid, dst as to_gid, path from walk where dst is not null""")
-    for view in ("owner", "step"):  # the plan has what they stand for
-        spark.catalog.dropTempView(f"{view}_{name}")
+    owner = shared_table(entries.select("page_id", "kind", "box_idx", "jid").join(gids.select("page_id", "kind", "box_idx", "gid"), ["page_id", "kind", "box_idx"]).select("page_id", "jid", "gid"))
+    both = graph.select("page_id", F.col("a").alias("u"), F.col("b").alias("v")).union(graph.select("page_id", "b", "a")).where("u != v").distinct()
+    step = leading_on(owner, both)
+    step = shared_table(step.join(owner.select("page_id", F.col("jid").alias("v"), F.col("gid").alias("v_gid")), ["page_id", "v"], "left").select("page_id", "u", "v", "v_gid"))
+    half = half_paths(owner, step, (p.max_nodes + 1) // 2)
+    first = half.select("page_id", F.col("gid").alias("from_gid"), F.col("at").alias("u"), F.col("path").alias("first"))
+    second = half.select("page_id", F.col("gid").alias("to_gid"), F.col("at").alias("v"), F.col("path").alias("second"))
+    # The one size that a half has to have is a part of the key.
+    lengths = F.explode(F.array(F.size("second"), F.size("second") + 1))
+    joined = first.withColumn("n", F.size("first")).join(step.select("page_id", "u", "v"), ["page_id", "u"]).join(second.withColumn("n", lengths), ["page_id", "v", "n"])
+    fits = f"from_gid < to_gid and size(first) + size(second) <= {p.max_nodes} and not arrays_overlap(first, second)"
+    found = joined.where(fits).select("page_id", "from_gid", "to_gid", F.concat("first", F.reverse("second")).alias("path"))
     corners = lambda end: gids.selectExpr("page_id", f"gid as {end}_gid", *[f"{c} as {end}_{c}" for c in g.box()])
     apart = f"{g.iou(g.box('from_'), g.box('to_'))} <= {p.max_iou}"
     kept = found.join(corners("from"), ["page_id", "from_gid"]).join(corners("to"), ["page_id", "to_gid"]).where(apart)
@@ -62,8 +98,11 @@ def path_signals(found: DataFrame, nodes: DataFrame, signals: DataFrame, p: Para
     segments = placed.select("page_id", "path", "x", "y", F.lead("x").over(order).alias("ex"), F.lead("y").over(order).alias("ey")).where("ex is not null")
     texts = signals.selectExpr("page_id", "sig_idx", "raw_text", "x1 as sx1", "y1 as sy1", "x2 as sx2", "y2 as sy2", "(x1 + x2) / 2 as scx", "(y1 + y2) / 2 as scy")
     segment, box = ("x", "y", "ex", "ey"), g.box("s")
-    seen = segments.join(texts, "page_id").groupBy("page_id", "path", "sig_idx", "raw_text").agg(
-        F.expr(f"bool_or({g.hits_box(segment, box)})").alias("hit"), F.expr(f"min({g.to_segment('scx', 'scy', segment)})").alias("d"), F.expr("bool_or(scy < (y + ey) / 2 - 5)").alias("above")
+    # A text is above a path if it is above any of its segments, also of those that are out of reach.
+    segments = segments.withColumn("lowest", F.max(F.expr("(y + ey) / 2 - 5")).over(Window.partitionBy("page_id", "path")))
+    near = overlapping(segments, texts, g.extent(segment, p.text_distance), box)
+    seen = near.groupBy("page_id", "path", "sig_idx", "raw_text").agg(
+        F.expr(f"bool_or({g.hits_box(segment, box)})").alias("hit"), F.expr(f"min({g.to_segment('scx', 'scy', segment)})").alias("d"), F.expr("bool_or(scy < lowest)").alias("above")
     )
     score = F.expr(f"case when hit then 0D when above and d < {p.text_distance} then d end")
     scored = seen.withColumn("score", score).where("score is not null")
