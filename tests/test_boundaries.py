@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wirespan.functions.params import Params
 from wirespan.operators import drawing, fuse, graph, models
 from wirespan.sources import images
+from wirespan.sources.tables import counted_table
 
 
 def test_read_pictures(spark, tmp_path):
@@ -97,3 +98,76 @@ def test_clusters_with_other_parameters(spark):
     assert places(Params()) == [(12.0, 0.0), (200.0, 0.0)]
     assert places(Params(merge_distance=12.0)) == [(0.0, 0.0), (12.0, 0.0), (24.0, 0.0), (200.0, 0.0)]
     assert graph.clustered(lines.where(F.lit(False))).collect() == []
+
+
+def files(folder) -> dict:
+    return {str(f.parent.name): f.read_bytes() for f in folder.glob("*/part-*") if not f.name.startswith(".")}
+
+
+def test_sinks_replace_the_pages_they_write(spark, tmp_path):
+    rows = lambda r: spark.createDataFrame(r, "page_id bigint, from_device string, signal string")
+    for write, columns in ((drawing.write_csv, {"from_device": "From", "signal": "Signal"}), (drawing.write_json, ["from_device", "signal"])):
+        path = tmp_path / write.__name__
+        write(rows(ROWS[:1] + ROWS[2:]), columns, str(path))
+        first = files(path)
+        write(rows(ROWS[:1] + ROWS[2:]), columns, str(path))
+        assert files(path) == first and len(first) == 2
+        write(rows([(2, "other", None)]), columns, str(path))
+        assert files(path)["page_id=1"] == first["page_id=1"] and b"other" in files(path)["page_id=2"]
+
+
+def test_a_sink_whose_job_fails_changes_nothing(spark, tmp_path):
+    path = tmp_path / "out"
+    drawing.write_csv(spark.createDataFrame(ROWS, "page_id bigint, from_device string, signal string"), {"signal": "Signal"}, str(path))
+    first = files(path)
+    failing = spark.range(100).selectExpr("id % 3 as page_id", "case when id = 77 then raise_error('lost') else 'x' end as signal")
+    try:
+        drawing.write_csv(failing, {"signal": "Signal"}, str(path))
+        raise AssertionError("it must fail")
+    except Exception as error:  # noqa: BLE001
+        assert "lost" in str(error)
+    assert files(path) == first
+
+
+def test_table_function_asks_by_page(spark):
+    def load():
+        def model(rows):
+            if any(r.det_idx % 7 == 3 for r in rows):
+                raise ValueError("unreadable")
+            return [f"{len(rows)}:{r.det_idx}" for r in rows]
+
+        return model
+
+    regions = spark.createDataFrame([(p, i) for p in range(3) for i in range(p, 14 * p, 2)], "page_id bigint, det_idx int").repartition(4)
+    got = {(r.page_id, r.place): r.text for r in models.texts_by_page(regions, load).collect()}
+    ids = {p: list(range(p, 14 * p, 2)) for p in range(3)}
+    assert got == {(1, k + 1): "" if i % 7 == 3 else f"1:{i}" for k, i in enumerate(ids[1])} | {(2, k + 1): "" if i % 7 == 3 else f"1:{i}" for k, i in enumerate(ids[2])}
+    even = spark.createDataFrame([(5, i) for i in range(0, 28, 4) if i % 7 != 3], "page_id bigint, det_idx int")
+    texts = [r.text for r in models.texts_by_page(even, load).orderBy("place").collect()]
+    assert texts == [f"{6 if k < 6 else len(texts) - 6}:{r.det_idx}" for k, r in enumerate(even.orderBy("det_idx").collect())]
+
+
+def test_records_of_other_pages_answer_nothing(spark):
+    pictures = spark.createDataFrame([(1,), (2,)], "page_id bigint")
+    recorded = spark.createDataFrame([(1, 0, 1, 0.9, 0.0, 0.0, 1.0, 1.0), (1, 1, 1, 0.01, 0.0, 0.0, 1.0, 1.0), (1, 2, 1, None, 0.0, 0.0, 1.0, 1.0), (3, 0, 1, 0.9, 0.0, 0.0, 1.0, 1.0)], models.DETECTIONS)
+    assert [(r.page_id, r.det_idx) for r in models.recorded_objects(pictures, recorded).collect()] == [(1, 0)]
+
+
+def test_layered_settings(spark, tmp_path):
+    (tmp_path / "base.json").write_text(json.dumps({"model": {"size": 512, "head": {"lines": 5000}}, "device": "cpu"}))
+    (tmp_path / "own.json").write_text(json.dumps({"model": {"head": {"lines": 1000}}, "score": 0.05}))
+    settings = models.layered_settings(spark, str(tmp_path / "base.json"), str(tmp_path / "own.json"))
+
+    def load():
+        own = settings()
+        return lambda rows: [(rows[0].page_id, json.dumps(own, sort_keys=True))]
+
+    rows = spark.range(20).selectExpr("id as page_id")
+    got = {r.text for r in models.by_partition(rows, ["page_id"], ["page_id"], load, "page_id bigint, text string").collect()}
+    assert [json.loads(t) for t in got] == [{"model": {"size": 512, "head": {"lines": 1000}}, "device": "cpu", "score": 0.05}]
+
+
+def test_counts_are_those_of_the_tables(spark):
+    table, counts = counted_table(spark.range(1000), rows=F.count(F.lit(1)), odd=F.count_if(F.col("id") % 2 == 1))
+    assert counts == {"rows": 1000, "odd": 500} and table.count() == 1000
+    assert counted_table(spark.range(0), total=F.sum("id"))[1] == {"total": 0}

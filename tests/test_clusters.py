@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from wirespan.operators import clusters
-from wirespan.operators.cover import overlapping
+from wirespan.operators.cover import levels_of, overlapping
 
 
 def naive(page, x, y, within):
@@ -81,6 +81,19 @@ def test_overlapping_boxes(spark):
     assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 1000
 
 
+def test_points_in_boxes(spark):
+    left, right = [(*r[:4], *r[2:4]) for r in random_boxes(3, 400)], random_boxes(4, 150)
+    a = spark.createDataFrame(left, "page_id bigint, a int, x double, y double, u double, v double").drop("u", "v")
+    b = spark.createDataFrame(right, "page_id bigint, b int, b1 double, b2 double, b3 double, b4 double")
+    box = ("b1", "b2", "b3", "b4")
+    got = [(r.page_id, r.a, r.b) for r in overlapping(a, b, ("x", "y", "x", "y"), box).collect()]
+    assert sorted(got) == sorted((r.page_id, r.a, r.b) for r in overlapping(a, b, ("x", "y", "x", "y"), box, levels=levels_of(b, box)).collect())
+    assert levels_of(b, box) == [0, 1, 2] and levels_of(b.where("b3 - b1 < 5 and b4 - b2 < 5"), box) == [0]
+    inside = lambda p, q: p[0] is not None and p[0] == q[0] and None not in p and None not in q and q[2] <= p[2] <= q[4] and q[3] <= p[3] <= q[5]
+    wanted = {(p[0], p[1], q[1]) for p in left for q in right if inside(p, q)}
+    assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 300
+
+
 def test_a_page_of_many_lines(spark):
     """50,000 lines and 20,000 boxes of one page: the join makes few more rows than pairs."""
     lines = spark.range(50_000).selectExpr("1 as page_id", "id as line", "cast(id % 250 * 200 as double) as x", "cast(id div 250 * 200 as double) as y")

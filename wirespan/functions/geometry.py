@@ -89,11 +89,15 @@ def meeting(s: tuple, e: tuple) -> str:
     return f"case when abs({den}) >= 1e-10 and {t} between 0 and 1 and {u} between 0 and 1 then struct({s[0]} + {t} * ({s[2]} - {s[0]}) as x, {s[1]} + {t} * ({s[3]} - {s[1]}) as y) end"
 
 
-def cell(value: str, size: float) -> Column:
-    return F.expr(f"cast(floor(({value}) / {float(size)}) as bigint)")
+#: Side of a grid cell, in distances that the grid is to find; so a point's surroundings touch few cells, and cells hold few points.
+GRID = 4
 
 
-def neighbours(x: str, y: str, size: float) -> Column:
-    """The 3 x 3 grid cells around a point, to be exploded on one side of a range join."""
-    cells = [F.struct((cell(x, size) + i).alias("gx"), (cell(y, size) + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    return F.array(*cells)
+def cell(value: str, within: float) -> Column:
+    return F.expr(f"cast(floor(({value}) / {float(GRID * within)}) as bigint)")
+
+
+def neighbours(x: str, y: str, within: float) -> Column:
+    """The grid cells, four at most, in which points nearer than ``within`` may lie; to be exploded on one side of a range join."""
+    gx, gy = ([cell(f"{c} {sign} {float(within)}", within) for sign in "-+"] for c in (x, y))
+    return F.array_distinct(F.array(*[F.struct(i.alias("gx"), j.alias("gy")) for i in gx for j in gy]))

@@ -91,3 +91,15 @@ def named_boxes(boxes: DataFrame, signals: DataFrame, p: Params = DEFAULT) -> Da
     constant = F.when(F.col("kind") == "power", p.power_name).otherwise(p.ground_name)
     others = boxes.where("kind != 'device'").withColumn("raw_text", constant).select(*devices.columns)
     return devices.unionByName(others)
+
+
+def merged_texts(merged: DataFrame, texts: DataFrame, unknown: str = "Unknown") -> DataFrame:
+    """page_id, box_idx, raw_text of boxes that merge_split merged: of the boxes in them (page_id, box_idx, raw_text), in order.
+
+    The first text that is neither empty nor ``unknown`` counts, or else the first box's, where null is ``unknown``.
+    """
+    parts = merged.where("merged_from is not null").select("page_id", F.col("box_idx").alias("new"), F.posexplode("merged_from").alias("pos", "box_idx"))
+    found = parts.join(texts.select("page_id", "box_idx", "raw_text"), ["page_id", "box_idx"], "left")
+    told = F.when(F.col("raw_text").isNotNull() & ~F.col("raw_text").isin("", unknown), F.col("pos"))
+    text = F.coalesce(F.min_by("raw_text", told), F.min_by(F.coalesce("raw_text", F.lit(unknown)), "pos"))
+    return found.groupBy("page_id", F.col("new").alias("box_idx")).agg(text.alias("raw_text"))

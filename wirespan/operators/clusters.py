@@ -96,22 +96,66 @@ def _clustered(table: pa.Table, within: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(jid.astype(np.int32))], ["page_id", "pi", "x", "y", "jid"])
 
 
+def whole_pages(batches, run):
+    """run over tables that hold whole pages, of batches that are sorted by page_id."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        if not len(table):
+            continue
+        page = table.column("page_id").to_numpy()
+        cut = int(np.searchsorted(page, page[-1]))  # the last page may go on
+        if cut:
+            yield run(table.slice(0, cut))
+        rest = table.slice(cut)
+    if rest is not None and len(rest):
+        yield run(rest)
+
+
 def clusters_by_page(within: float):
     """For mapInArrow: rows (page_id, pi, x, y) sorted by page and point get jid, the number of their cluster on the page."""
+    return lambda batches: whole_pages(batches, lambda table: _clustered(table, within))
 
-    def run(batches):
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            if not len(table):
-                continue
-            page = table.column("page_id").to_numpy()
-            cut = int(np.searchsorted(page, page[-1]))  # the last page may go on
-            if cut:
-                yield _clustered(table.slice(0, cut), within)
-            rest = table.slice(cut)
-        if rest is not None and len(rest):
-            yield _clustered(rest, within)
-
-    return run
+
+def leading_on(a: np.ndarray, b: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """Which links a-b of nodes can be on a path between two boxes; box has each node's box if it is an entry, else -1.
+
+    Paths end at entries. Other nodes with one link are peeled off, round by round; then parts of the rest that touch one
+    box only go, and links between entries of one box.
+    """
+    n = len(box)
+    alive = a != b
+    while True:
+        degree = np.bincount(a[alive], minlength=n) + np.bincount(b[alive], minlength=n)
+        ends = (degree == 1) & (box < 0)
+        peeled = alive & (ends[a] | ends[b])
+        if not peeled.any():
+            break
+        alive &= ~peeled
+    inner_a, inner_b = box[a] < 0, box[b] < 0
+    inside = alive & inner_a & inner_b
+    root, _ = forest(a[inside], b[inside], n)
+    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+    for one, two, touch in ((a, b, alive & inner_a & ~inner_b), (b, a, alive & inner_b & ~inner_a)):
+        np.minimum.at(low, root[one[touch]], box[two[touch]])
+        np.maximum.at(high, root[one[touch]], box[two[touch]])
+    part = root[np.where(inner_a, a, b)]
+    return alive & np.where(inner_a | inner_b, low[part] < high[part], box[a] != box[b])
+
+
+def _stepped(table: pa.Table) -> pa.RecordBatch:
+    page, a, b, a_box, b_box = (table.column(c).to_numpy() for c in ("page_id", "a", "b", "a_box", "b_box"))
+    number = np.cumsum(np.diff(page, prepend=page[0]) != 0)
+    wide = max(a.max(), b.max()) + 1
+    names, code = np.unique(np.concatenate([number * wide + a, number * wide + b]), return_inverse=True)
+    box = np.full(len(names), -1, np.int64)
+    box[code] = np.concatenate([a_box, b_box])
+    keep = leading_on(code[: len(a)], code[len(a) :], box)
+    both = [np.concatenate([x[keep], y[keep]]) for x, y in ((page, page), (a, b), (b, a), (b_box, a_box))]
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), *(pa.array(c.astype(np.int32)) for c in both[1:])], ["page_id", "u", "v", "v_box"])
+
+
+def steps_by_page(batches):
+    """For mapInArrow: links (page_id, a, b, a_box, b_box; boxes -1 where a node is no entry) sorted by page to steps u, v both ways that lead on."""
+    return whole_pages(batches, _stepped)

@@ -19,10 +19,13 @@ def csv_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, columns: dict[str, str], path: str) -> None:
-    """A folder for each page_id with one CSV file that begins with a byte order mark and a header of ``columns``' values."""
+    """A folder for each page_id with one CSV file that begins with a byte order mark and a header of ``columns``' values.
+
+    Pages that rows have replace their folders when the job is done; a job that fails changes nothing, and other pages stay.
+    """
     header = rows.select("page_id").distinct().withColumn("line", F.lit(BOM + ",".join(columns.values()))).withColumn("body", F.lit(False))
     both = header.unionByName(csv_rows(rows, list(columns)).withColumn("body", F.lit(True)))
-    both.repartition("page_id").sortWithinPartitions("page_id", "body").select("page_id", "line").write.partitionBy("page_id").text(path)
+    both.repartition("page_id").sortWithinPartitions("page_id", "body").select("page_id", "line").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("page_id").text(path)
 
 
 def preview(rows: DataFrame, order: list[str], n: int = 20) -> DataFrame:
@@ -31,8 +34,8 @@ def preview(rows: DataFrame, order: list[str], n: int = 20) -> DataFrame:
 
 
 def write_json(rows: DataFrame, columns: list[str], path: str) -> None:
-    """JSON lines for each page_id; nulls are written."""
-    rows.select("page_id", *columns).write.option("ignoreNullFields", "false").partitionBy("page_id").json(path)
+    """JSON lines for each page_id, nulls written; pages are replaced as by write_csv."""
+    rows.select("page_id", *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").partitionBy("page_id").json(path)
 
 
 def draw_commands(lines: DataFrame, boxes: DataFrame, signals: DataFrame, connections: DataFrame, nodes: DataFrame, entries: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wirespan.functions import geometry as g
 from wirespan.functions.params import DEFAULT, Params
-from wirespan.operators.cover import overlapping
+from wirespan.operators.cover import levels_of, overlapping
 from wirespan.operators.graph import endpoints
 from wirespan.sources.tables import shared_table
 
@@ -18,7 +18,8 @@ def match_endpoints(lines: DataFrame, signals: DataFrame, p: Params = DEFAULT) -
     held = g.inside("x", "y", g.box("s"), p.endpoint_padding)
     away = g.distance("x", "y", "(sx1 + sx2) / 2", "(sy1 + sy2) / 2")
     reach = max(p.endpoint_padding, p.near_box)  # a center within reach is in the box widened by as much
-    both = overlapping(endpoints(lines), texts, ("x", "y", "x", "y"), g.grown(g.box("s"), reach)).where(f"{held} or {away} < {p.near_box}")
+    wide = g.grown(g.box("s"), reach)
+    both = overlapping(endpoints(lines), texts, ("x", "y", "x", "y"), wide, levels=levels_of(texts, wide)).where(f"{held} or {away} < {p.near_box}")
     key = F.expr(f"case when {held} then struct(0 as rank, 0D as d, sig_idx) else struct(1 as rank, {away} as d, sig_idx) end")
     best = both.groupBy("page_id", "pi").agg(F.min(key).alias("b"))
     return best.selectExpr("page_id", "pi", "b.sig_idx as sig_idx", "case b.rank when 0 then 'in_box' else 'near_box' end as method")

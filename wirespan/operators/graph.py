@@ -9,7 +9,7 @@ from wirespan.functions import geometry as g
 from wirespan.functions.params import DEFAULT, Params
 from wirespan.operators.clusters import clusters_by_page
 from wirespan.operators.components import connected_components
-from wirespan.operators.cover import overlapping
+from wirespan.operators.cover import levels_of, overlapping
 from wirespan.sources.tables import shared_table
 
 KINDS = "case kind when 'device' then 0 when 'ground' then 1 else 2 end"
@@ -159,7 +159,7 @@ def mergeable(nodes: DataFrame, lines: DataFrame, signals: DataFrame, boxes: Dat
     """page_id, sig_idx, jid, x, y, way (H or V): nodes in eligible signals' boxes all of whose lines run one way."""
     skipped = device_counts(signals, boxes, p.contract_expand).where("n = 2")
     eligible = signals.join(skipped, ["page_id", "sig_idx"], "left_anti").selectExpr("page_id", "sig_idx", "x1 as sx1", "y1 as sy1", "x2 as sx2", "y2 as sy2")
-    inside = overlapping(nodes.select("page_id", "jid", "x", "y"), eligible, ("x", "y", "x", "y"), g.box("s")).select("page_id", "sig_idx", "jid", "x", "y")
+    inside = overlapping(nodes.select("page_id", "jid", "x", "y"), eligible, ("x", "y", "x", "y"), g.box("s"), levels=levels_of(signals, g.box())).select("page_id", "sig_idx", "jid", "x", "y")
     reach = p.contract_distance
     flat, steep = "abs(x2 - x1) > abs(y2 - y1) * 2", "abs(y2 - y1) > abs(x2 - x1) * 2"
     way = lines.selectExpr("page_id", "line_idx", f"case when {flat} then 'H' when {steep} then 'V' end as way")
@@ -198,10 +198,10 @@ def chains_in_turn(found: DataFrame, p: Params = DEFAULT) -> DataFrame:
     if not waits.limit(1).count():
         return chains(found, p)
     here = ["page_id", "sig_idx"]
-    merged, gone, rest = None, None, found
+    merged, gone, done = None, None, None
     while True:
-        later = waits.select(*here).distinct()
-        acting = rest.join(later, here, "left_anti")
+        later = waits.select(*here).distinct()  # those that wait; the others act now, if they have not yet
+        acting = found.join(later, here, "left_anti") if done is None else found.join(later, here, "left_anti").join(done, here, "left_anti")
         if gone is not None:
             acting = acting.join(gone, ["page_id", "jid"], "left_anti")
         new = shared_table(chains(acting, p))
@@ -209,7 +209,8 @@ def chains_in_turn(found: DataFrame, p: Params = DEFAULT) -> DataFrame:
         gone = merged.select("page_id", "jid")
         if not waits.limit(1).count():
             return merged
-        rest = shared_table(rest.join(later, here, "left_semi"))
+        acted = found.select(*here).distinct().join(later, here, "left_anti")
+        done = acted
         # Signals that acted bar nobody any more; those still open are in ``later``.
         waits = shared_table(waits.join(later.withColumnRenamed("sig_idx", "earlier"), ["page_id", "earlier"], "left_semi").select("page_id", "sig_idx", "earlier"))
 

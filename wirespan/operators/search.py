@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wirespan.functions import geometry as g
 from wirespan.functions.params import DEFAULT, Params
-from wirespan.operators.components import connected_components
+from wirespan.operators.clusters import steps_by_page
 from wirespan.operators.cover import overlapping
 from wirespan.operators.graph import KINDS
 from wirespan.sources.tables import shared_table
@@ -24,7 +24,7 @@ def half_paths(owner: DataFrame, step: DataFrame, most: int) -> DataFrame:
     Each round adds a node to the ways of the last one, over a written table, and ends with the longest way there is.
     """
     found = [shared_table(owner.select("page_id", "gid", F.col("jid").alias("at"), F.array("jid").alias("path")))]
-    inner = step.where("v_gid is null").select("page_id", F.col("u").alias("at"), "v")
+    inner = step.where("v_box < 0").select("page_id", F.col("u").alias("at"), "v")
     for _ in range(most - 1):
         longer = found[-1].join(inner, ["page_id", "at"]).where("not array_contains(path, v)")
         longer = shared_table(longer.select("page_id", "gid", F.col("v").alias("at"), F.array_append("path", F.col("v")).alias("path")))
@@ -37,37 +37,20 @@ def half_paths(owner: DataFrame, step: DataFrame, most: int) -> DataFrame:
     return out
 
 
-def leading_on(owner: DataFrame, both: DataFrame) -> DataFrame:
-    """Edges (page_id, u, v; both ways) of the parts of a page from which entries of at least two boxes can be reached.
-
-    Parts are what hangs together by nodes that are no entries; an entry ends every way, so no path leaves a part.
-    """
-    entry = owner.select("page_id", F.col("jid").alias("u"), F.lit(True).alias("u_entry"))
-    marked = both.join(entry, ["page_id", "u"], "left").join(entry.withColumnsRenamed({"u": "v", "u_entry": "v_entry"}), ["page_id", "v"], "left")
-    marked = shared_table(marked.fillna(False, ["u_entry", "v_entry"]))
-    key = lambda c: F.concat_ws(":", "page_id", c)
-    parts = connected_components(marked.where("not u_entry and not v_entry and u <= v").select(key("u").alias("a"), key("v").alias("b")))
-    parts = parts.select(F.substring_index("v", ":", 1).cast("bigint").alias("page_id"), F.substring_index("v", ":", -1).cast("int").alias("u"), "component")
-    inner = marked.where("not u_entry").join(parts, ["page_id", "u"], "left").withColumn("component", F.coalesce("component", key("u")))
-    touching = inner.where("v_entry").join(owner.select("page_id", F.col("jid").alias("v"), "gid"), ["page_id", "v"])
-    good = touching.groupBy("component").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo != hi").select("component")
-    ways = inner.join(good, "component", "left_semi").select("page_id", "u", "v")
-    return ways.union(ways.join(owner.select("page_id", F.col("jid").alias("v")), ["page_id", "v"], "left_semi").select("page_id", "v", "u")).union(marked.where("u_entry and v_entry").select("page_id", "u", "v")).distinct()
-
-
 def paths(entries: DataFrame, graph: DataFrame, boxes: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """page_id, from_gid, to_gid, path: simple paths of at most ``max_nodes`` nodes from one box's entries to a later box's.
 
-    A path ends at the first entry it meets, so its other nodes are none. Parts of the graph that touch one box only are
-    left out at first. Ways of half the length then lead from all entries at once, and two ways from different boxes make
+    A path ends at the first entry it meets, so its other nodes are none. Dead ends are peeled off at first, and parts of
+    the graph that touch one box only. Ways of half the length then lead from all entries at once, and two ways from different boxes make
     a path where an edge joins their ends and they share no node; of a path's nodes the earlier box has as many as the
     later one, or one more. Pairs of boxes that mostly cover each other are left out.
     """
     gids = numbered_boxes(boxes)
     owner = shared_table(entries.select("page_id", "kind", "box_idx", "jid").join(gids.select("page_id", "kind", "box_idx", "gid"), ["page_id", "kind", "box_idx"]).select("page_id", "jid", "gid"))
-    both = graph.select("page_id", F.col("a").alias("u"), F.col("b").alias("v")).union(graph.select("page_id", "b", "a")).where("u != v").distinct()
-    step = leading_on(owner, both)
-    step = shared_table(step.join(owner.select("page_id", F.col("jid").alias("v"), F.col("gid").alias("v_gid")), ["page_id", "v"], "left").select("page_id", "u", "v", "v_gid"))
+    at = lambda c: owner.select("page_id", F.col("jid").alias(c), F.col("gid").alias(f"{c}_box"))
+    links = graph.where("a != b").select("page_id", "a", "b").join(at("a"), ["page_id", "a"], "left").join(at("b"), ["page_id", "b"], "left").fillna(-1, ["a_box", "b_box"])
+    dealt = links.select("page_id", "a", "b", "a_box", "b_box").repartition("page_id").sortWithinPartitions("page_id")
+    step = shared_table(dealt.mapInArrow(steps_by_page, "page_id bigint, u int, v int, v_box int"))
     half = half_paths(owner, step, (p.max_nodes + 1) // 2)
     first = half.select("page_id", F.col("gid").alias("from_gid"), F.col("at").alias("u"), F.col("path").alias("first"))
     second = half.select("page_id", F.col("gid").alias("to_gid"), F.col("at").alias("v"), F.col("path").alias("second"))

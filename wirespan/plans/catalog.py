@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from wirespan.functions import geometry as g
 from wirespan.functions.params import DEFAULT as P
 from wirespan.operators import boxes as bx
 from wirespan.operators import drawing, fuse, graph, models, objects, search
+from wirespan.operators.cover import overlapping
 from wirespan.plans import oracle
 from wirespan.plans.flows import GraphFlow, fuse_flow
 from wirespan.sources import images, scene
@@ -300,15 +300,53 @@ def pin_links(lines, boxes, signals, spark, d):
     return out.withColumns(flat).drop("from_xy", "to_xy").withColumn("score", F.bround("score", 3))
 
 
+@query
+def suppressed_detections(lines, boxes, signals, spark, d):
+    """Detections of a fair confidence that no better one of their class covers."""
+    fair = scene.crowded_detections(spark, d).where("confidence >= 0.05")
+    return fuse.suppress_overlaps(fair, 0.1).select("page_id", "det_idx", "class_id", "confidence")
+
+
+@query
+def model_objects(lines, boxes, signals, spark, d):
+    """Detections of pictures by a table function, from recorded answers."""
+    found = models.recorded_objects(scene.scene_images(spark, d), scene.scene_detections(spark, d))
+    return objects.name_classes(found, CLASSES)
+
+
 @query
 def model_lines(lines, boxes, signals, spark, d):
-    """A stub model that sees one diagonal in each tile."""
+    """Lines of tiles by a table function, from the scene's lines that begin in a tile as recorded answers, moved to the picture."""
     tiles = images.tile_grid(scene.scene_images(spark, d), P.tile_size, P.scan_overlap)
+    at = tiles.selectExpr("page_id", "row", "col", "x1 as tx1", "y1 as ty1", "x2 as tx2", "y2 as ty2")
+    begun = overlapping(lines, at, ("x1", "y1", "x1", "y1"), g.box("t")).where("x1 < tx2 and y1 < ty2")
+    local = [f"({c} - t{c[0]}1) * {P.infer_size}D / (t{c[0]}2 - t{c[0]}1) as {c}" for c in g.box()]
+    recorded = begun.selectExpr("page_id", "row", "col", "line_idx", *local, "case when cast(round(score * 1000) as int) % 97 != 0 then score end as score")
+    found = models.recorded_lines(tiles, recorded).where(F.col("score") >= P.line_score)
+    return rounded(images.to_picture(found, tiles, P.infer_size), *g.box())
 
-    def load():
-        return lambda rows: pd.DataFrame({"page_id": rows.page_id, "row": rows.row, "col": rows.col, "line_idx": 0, "x1": 0.0, "y1": 0.0, "x2": 512.0, "y2": 512.0, "score": 0.5})
 
-    return images.to_picture(models.infer_lines(tiles, load), tiles, P.infer_size)
+@query
+def model_texts(lines, boxes, signals, spark, d):
+    """From regions to objects: a page's regions of texts to a table function, its answers by place, objects in order."""
+    kept = _regions(spark, d)
+    asked = kept.where("class_name = 'signalName'").withColumn("ocr_text", F.expr("case when (page_id + det_idx) % 5 != 3 then ocr_text end"))
+    texts = models.at_places(asked.select("page_id", "det_idx"), models.recorded_texts(asked.select("page_id", "det_idx", "ocr_text")))
+    return objects.objects(kept, texts).select("page_id", "obj_idx", "label", "text")
+
+
+@query
+def merged_texts(lines, boxes, signals, spark, d):
+    """The texts of boxes that were merged."""
+    return bx.merged_texts(bx.merge_split(scene.split_boxes(spark, d)), scene.split_texts(spark, d))
+
+
+@query
+def flow_counts(lines, boxes, signals, spark, d):
+    """What each step of the graph flow has made, as the jobs that made it observed."""
+    f = flow(lines, boxes, signals)
+    f.paths  # noqa: B018  the last step; it asks for all others
+    return spark.createDataFrame(sorted(f.counts.items()), "step string, n bigint")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -253,6 +253,32 @@ es as (select e.page_id, pi, sig_idx, raw_text, case when e.x between s.x1 - 8 a
 em as (select page_id, pi, sig_idx, raw_text, method from es where method is not null qualify row_number() over (partition by page_id, pi order by method, case when method = 'near_box' then d end, sig_idx) = 1)"""
 
 
+RECORDED = """
+recorded as (
+  with h as (select p_partkey::bigint k, (p_partkey::bigint * 49979687 + p_size::bigint * 8191 + 99) % 1000003 h from part)
+  select k, h, k // 10 as page_id, (k % 10)::int as det_idx, (h % 6)::int as class_id, cast(h % 1000 as double) / 1000 as confidence,
+    (h % 900 - 50 + 0.75)::double as x_min, ((h // 7) % 700 - 40 + 0.5)::double as y_min, (h % 900 - 50 + (h // 11) % 90 + 0.25)::double as x_max, ((h // 7) % 700 - 40 + (h // 13) % 60 + 0.9)::double as y_max from h)"""
+
+#: Greedy suppression, one rank after another: what a kept better one of the class covers by more than a tenth goes.
+SUPPRESSED = """
+crowd as (select k // 200 as page_id, (k % 200)::int as det_idx, class_id, confidence, x_min, y_min, x_max, y_max from recorded where confidence >= 0.05),
+cranked as (select *, (row_number() over (partition by page_id order by confidence desc, det_idx))::int as r from crowd),
+cmet as (select a.page_id, a.r, b.r as better, least(a.x_max, b.x_max) - greatest(a.x_min, b.x_min) as w, least(a.y_max, b.y_max) - greatest(a.y_min, b.y_min) as h,
+  (a.x_max - a.x_min) * (a.y_max - a.y_min) + (b.x_max - b.x_min) * (b.y_max - b.y_min) as areas from cranked a join cranked b on a.page_id = b.page_id and a.class_id = b.class_id and b.r < a.r),
+cbetter as (select page_id, r, list(better) as better from cmet where w > 0 and h > 0 and w * h / (areas - w * h) > 0.1 group by page_id, r),
+ctodo as (select c.page_id, c.r, coalesce(b.better, []) as better from cranked c left join cbetter b on b.page_id = c.page_id and b.r = c.r),
+ckeep as (select page_id, r, [r] as kept from ctodo where r = 1 union all
+  select t.page_id, t.r, case when list_has_any(k.kept, t.better) then k.kept else list_append(k.kept, t.r) end from ckeep k join ctodo t on t.page_id = k.page_id and t.r = k.r + 1),
+cfinal as (select page_id, max_by(kept, r) as kept from ckeep group by page_id)"""
+
+#: Lines that begin in a tile; a tile one of whose lines fails has none.
+TILE_LINES = """
+begun as (select t.page_id, t.row, t.col, l.line_idx, l.x1, l.y1, l.x2, l.y2, l.score, round(l.score * 1000)::int % 97 = 0 as fails from tile t join lines l on l.page_id = t.page_id and l.x1 >= t.x1 and l.x1 < t.x2 and l.y1 >= t.y1 and l.y1 < t.y2),
+sound as (select * from begun b where not exists (select 1 from begun f where f.fails and f.page_id = b.page_id and f.row = b.row and f.col = b.col))"""
+
+SPLIT_TEXTS = "stext as (select c_custkey::bigint // 6 as page_id, (c_custkey % 6)::int as box_idx, case c_custkey % 4 when 0 then '' when 1 then 'Unknown' when 2 then c_name end as raw_text from customer)"
+
+
 @cache
 def all_sql() -> dict[str, str]:
     scene = lambda ctes: SCENE[: SCENE.index("signals as (")].rstrip().rstrip(",") if PINS in ctes else SCENE
@@ -283,7 +309,6 @@ union all select c.page_id, 5, 'text', {px('n.x', 'n.y', 'n.x', 'n.y')}, 'red',
         "edge_touch_near": sql("select b.page_id, b.sig_idx as box_idx, s.sig_idx from signals b join signals s on s.page_id = b.page_id where not (s.x1 >= b.x1 and s.x2 <= b.x2 and s.y1 >= b.y1 and s.y2 <= b.y2) and not (b.x1 >= s.x1 and b.x2 <= s.x2 and b.y1 >= s.y1 and b.y2 <= s.y2) and not (b.x2 < s.x1 - 5 or b.x1 > s.x2 + 5) and not (b.y2 < s.y1 - 5 or b.y1 > s.y2 + 5)", PINS),
         "box_pair_counts": sql("select a.page_id, count(*) as pairs, count(*) filter ((least(a.x2, b.x2) - greatest(a.x1, b.x1)) > 0 and (least(a.y2, b.y2) - greatest(a.y1, b.y1)) > 0 and (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) > 0.6) as skipped from boxes a join boxes b on a.page_id = b.page_id and a.box_idx < b.box_idx group by a.page_id"),
         "pin_preview": sql("select * from (select page_id, row_number() over (partition by page_id order by score, line_idx) as place, line_idx from lines) where place <= 20"),
-        "model_lines": sql("select page_id, row, col, 0 as line_idx, x1::double as x1, y1::double as y1, x2::double as x2, y2::double as y2, 0.5::double as score from tile", IMAGES, tiles(128)),
         "segment_box_hits": sql(f"select l.page_id, line_idx, kind, box_idx from lines l join boxes b on b.page_id = l.page_id where {hits('l.x1', 'l.y1', 'l.x2', 'l.y2', 'b')}"),
         "segment_distances": sql(f"select * from (select l.page_id, line_idx, sig_idx, round({to_segment('(s.x1 + s.x2) / 2', '(s.y1 + s.y2) / 2', 'l.x1', 'l.y1', 'l.x2', 'l.y2')}, 6) as d, case when abs(l.x2 - l.x1) > abs(l.y2 - l.y1) * 2 then 'H' when abs(l.y2 - l.y1) > abs(l.x2 - l.x1) * 2 then 'V' end as way from lines l join signals s on s.page_id = l.page_id) where d < 50"),
         "score_cut": sql("select page_id, flow, count(*) as n_lines from lines, (values ('graph', 0.05::double), ('fuse', 0.25::double), ('cli', 0.3::double)) as c(flow, least) where score >= least group by page_id, flow"),
@@ -315,5 +340,11 @@ union all select c.page_id, 5, 'text', {px('n.x', 'n.y', 'n.x', 'n.y')}, 'red',
         "endpoint_match": sql("select page_id, pi, sig_idx, method from em", "pts as (select page_id, line_idx * 2 as pi, x1 as x, y1 as y from lines union all select page_id, line_idx * 2 + 1, x2, y2 from lines)", ENDPOINT.format(pts="pts")),
         "line_dedup": sql("select page_id, line_idx, score from kept", CONFLICT.format(lines="lines")),
         "pin_links": sql(best_pin, PINS, "fair as (select * from lines where score >= 0.25)", CONFLICT.format(lines="fair"), "pts as (select page_id, line_idx * 2 as pi, x1 as x, y1 as y from lines union all select page_id, line_idx * 2 + 1, x2, y2 from lines)", ENDPOINT.format(pts="pts"), pins),
+        "suppressed_detections": sql("select c.page_id, det_idx, class_id, confidence from cranked c join cfinal f on f.page_id = c.page_id and list_contains(f.kept, c.r)", RECORDED, SUPPRESSED),
+        "model_objects": sql("select r.page_id, det_idx, class_id, confidence, x_min, y_min, x_max, y_max, case class_id when 0 then 'signalName' when 1 then 'device' when 2 then 'power' when 3 then 'ground' when 4 then 'deviceName' end as class_name from recorded r join pics p on p.page_id = r.page_id where confidence >= 0.05", IMAGES, RECORDED),
+        "model_lines": sql("select page_id, row, col, line_idx, round(x1, 6) as x1, round(y1, 6) as y1, round(x2, 6) as x2, round(y2, 6) as y2, score from sound where score >= 0.05", IMAGES, tiles(128), TILE_LINES),
+        "model_texts": sql("select page_id, obj_idx, label, case when label = 'signalName' and (page_id + det_idx) % 5 = 3 then '' else text end as text from objs", IMAGES, DETECTED.replace("select page_id, (row_number()", "select page_id, det_idx, (row_number()")),
+        "merged_texts": sql("select p.page_id, p.new as box_idx, coalesce(arg_min(raw_text, pos) filter (raw_text not in ('', 'Unknown')), arg_min(coalesce(raw_text, 'Unknown'), pos)) as raw_text from (select page_id, box_idx as new, unnest(string_split(merged_from, '-'))::int as box_idx, unnest(range(len(string_split(merged_from, '-')))) as pos from merged where merged_from is not null) p left join stext t on t.page_id = p.page_id and t.box_idx = p.box_idx group by p.page_id, p.new", SPLIT, merge_steps("split", ""), SPLIT_TEXTS),
+        "flow_counts": sql("select * from (select 'boxes' as step, count(*) as n from fb union all select 'lines', count(*) from fl union all select 'auxiliary_lines', count(*) from fl where is_auxiliary union all select 'line_ends', count(*) * 2 from fl union all select 'entries', count(*) from f_ent union all select 'rebuilt_edges', count(*) from rebuilt union all select 'nodes', count(*) from allnodes union all select 'contracted_edges', count(*) from graph union all select 'paths', count(*) from wpaths)", *f),
         "page_payload": sql("select page_id, to_json({'page_number': 1, 'objects': list({'label': label, 'points': " + points + ", 'text': text} order by obj_idx)})::varchar as payload from objs group by page_id", IMAGES, DETECTED),
     }

@@ -99,3 +99,15 @@ def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.base64(F.concat_ws("-", "c_name", "c_custkey").cast("binary"))
     url = F.when(F.col("c_custkey") % 2 == 1, F.concat(F.lit("data:image/png;base64,"), raw)).otherwise(raw)
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("page_id"), url.alias("image_data"), F.lit(1).alias("page_number"))
+
+
+def crowded_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scene_detections, 200 to a page, so that many of a class overlap."""
+    k = "page_id * 10 + det_idx"
+    return scene_detections(spark, sf_dir).selectExpr(f"({k}) div 200 as page_id", f"cast(({k}) % 200 as int) as det_idx", "class_id", "confidence", "x_min", "y_min", "x_max", "y_max")
+
+
+def split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, box_idx, raw_text of split_boxes: a name, nothing, an unknown one, or none at all."""
+    text = "case c_custkey % 4 when 0 then '' when 1 then 'Unknown' when 2 then c_name end as raw_text"
+    return table(spark, sf_dir, "customer").selectExpr("cast(c_custkey as bigint) div 6 as page_id", "cast(c_custkey % 6 as int) as box_idx", text)

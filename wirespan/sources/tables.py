@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _folders: dict[str, str] = {}
 
@@ -36,6 +36,13 @@ def shared_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted_table(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """shared_table(df) and aggregates over its rows, which the job that writes them observes as they pass."""
+    seen = Observation()
+    table = shared_table(df.observe(seen, *[c.alias(name) for name, c in counts.items()]))
+    return table, {name: value or 0 for name, value in seen.get.items()}
+
+
 def drop_tables(df: DataFrame) -> None:
     """Delete the shared tables that df reads and nothing else will."""
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
