@@ -15,10 +15,12 @@ partial wrappers, so a host with very many pages meets in no single task. The
 host's wrapper decides once what is main: the deepest element that holds most
 of what the slots have in no link, an article or main element if one does.
 Menus, headers, footers, sidebars, notices, adverts, forms and comments, told
-by their names and words, hold nothing. Each page is then aligned with its
-host's wrapper. A page's text is template only if the whole of it is what all
-pages have there, and where such texts are most of the main part, the pages
-are copies of one article and keep them.
+by their names and words, hold nothing, unless they hold the main part itself:
+an article or main element with half of the slots' text, or nearly all of it.
+Each page is then aligned with its host's wrapper. In a main part that is named
+as such nothing but asides goes. Elsewhere a page's text is template if the
+whole of it is what all pages have there, and where such texts are most of the
+main part, the pages are copies of one article and keep them.
 
 Null or empty html gives an empty text, a null URL is a host of its own,
 unclosed and misnested tags and cut-off pages are read as far as they go, and
@@ -63,6 +65,8 @@ ASIDE_WORDS = set(
     "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login comment comments commentlist respond replies disqus share sharing social related "
     "recommended recommendations widget pagination pager toolbar search searchform complementary contentinfo".split()
 )
+#: Words that turn a class around or tell of something beside the element, as in no-sidebar, has-comments, ad-free.
+TURNING_WORDS = set("no not non without has with free".split())
 MAIN_WORDS = set("article articlebody main content post entry story".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -138,7 +142,9 @@ def parse(page: str) -> Element:
                 if key == "hidden" or (key == "aria-hidden" and value == "true"):
                     found.add("hidden")
                 else:
-                    found |= set(WORDS.findall(value))
+                    for token in value.split():
+                        words = set(WORDS.findall(token))
+                        found |= words - ASIDE_WORDS if words & TURNING_WORDS else words
             new = Element(name, frozenset(found))
             if len(stack) < DEPTH:
                 stack[-1].items.append(new)
@@ -185,7 +191,37 @@ def is_aside(label: str) -> bool:
     return name in ASIDE or name in NO_TEXT or name == "header" or bool(set(words) & ASIDE_WORDS) or "hidden" in words
 
 
-def main_label(wrapper: dict) -> str:
+def is_soft(label: str) -> bool:
+    """Asides that are told by their words alone, or by a name that may also stand around a page's main part."""
+    name, *words = label.split(" ")
+    return is_aside(label) and name not in NO_TEXT and name not in ASIDE - {"form"} and "hidden" not in words
+
+
+def holders(wrapper: dict) -> frozenset:
+    """Labels of asides that hold the host's main part, so that they are none: an article or main element and half of the
+    text, or nearly all text."""
+    soft: list[tuple] = []
+
+    def visit(w: dict) -> tuple[int, bool]:
+        if is_aside(w["l"]) and not is_soft(w["l"]):
+            return 0, False
+        inside = [visit(g) for g in w["g"].values()]
+        chars = w["c"] + sum(c for c, _ in inside)
+        main = any(m for _, m in inside)
+        if is_soft(w["l"]):
+            soft.append((w["l"], chars, main))
+        return chars, main or (w["l"].split(" ")[0] in ("article", "main") and not is_aside(w["l"]))
+
+    total, _ = visit(wrapper)
+    return frozenset(label for label, chars, main in soft if total and (chars * 2 >= total and main or chars * 10 >= 9 * total))
+
+
+def is_named(label: str) -> bool:
+    name, *words = label.split(" ")
+    return name in ("article", "main") or bool(set(words) & MAIN_WORDS)
+
+
+def main_label(wrapper: dict, holding: frozenset = frozenset()) -> str:
     """The label of the wrapper's main part: what holds most of the slots' free text; named as an article or else the deepest."""
 
     def choose(free) -> str:
@@ -193,7 +229,7 @@ def main_label(wrapper: dict) -> str:
         depths: dict[str, int] = {}
 
         def visit(w: dict, depth: int) -> int:
-            if is_aside(w["l"]):
+            if is_aside(w["l"]) and w["l"] not in holding:
                 return 0
             held = free(w) + sum(visit(w["g"][label], depth + 1) for label in sorted(w["g"]))
             if w["l"] != "flow":
@@ -205,12 +241,12 @@ def main_label(wrapper: dict) -> str:
         if not total:
             return ""
         named = [lambda x: x.split(" ")[0] == "article", lambda x: x.split(" ")[0] == "main", lambda x: bool(set(x.split(" ")[1:]) & MAIN_WORDS)]
-        holding = lambda tenths: [x for x in sums if sums[x] * 10 >= tenths * total]
+        with_share = lambda tenths: [x for x in sums if sums[x] * 10 >= tenths * total]
         for tenths in (8, 1):
             for test in named:
-                if found := [x for x in holding(tenths) if test(x)]:
+                if found := [x for x in with_share(tenths) if test(x)]:
                     return max(found, key=lambda x: (sums[x], x))
-        return max(holding(8), key=lambda x: (depths[x], sums[x], x), default=wrapper["l"])
+        return max(with_share(8), key=lambda x: (depths[x], sums[x], x), default=wrapper["l"])
 
     return choose(lambda w: 0 if is_template(w) else w["c"]) or choose(lambda w: w["c"]) or wrapper["l"]
 
@@ -219,13 +255,13 @@ def is_template(w: dict) -> bool:
     return w["q"] != "+" and bool(w["t"]) and w["n"] >= TEMPLATE_PAGES and not w["g"]
 
 
-def copies(wrapper: dict, label: str) -> bool:
+def copies(wrapper: dict, label: str, holding: frozenset = frozenset()) -> bool:
     """Whether texts that all pages have are most of the main part's: then they are its article."""
     same = other = 0
 
     def visit(w: dict, within: bool) -> None:
         nonlocal same, other
-        if is_aside(w["l"]):
+        if is_aside(w["l"]) and w["l"] not in holding:
             return
         within = within or w["l"] == label
         if within and is_template(w):
@@ -241,8 +277,11 @@ def copies(wrapper: dict, label: str) -> bool:
 
 def main_text(page: Element, wrapper: dict) -> str:
     """The page's main text by its host's wrapper."""
-    label = main_label(wrapper)
-    whole = copies(wrapper, label)
+    if "main" not in wrapper:  # decided once for a wrapper
+        holding = holders(wrapper)
+        label = main_label(wrapper, holding)
+        wrapper["main"] = holding, label, copies(wrapper, label, holding)
+    holding, label, whole = wrapper["main"]
     for root in (label, page.label):
         blocks: list[tuple[str, bool]] = []
         current: list[str] = []
@@ -255,8 +294,8 @@ def main_text(page: Element, wrapper: dict) -> str:
             current.clear()
 
         def take(e: Element, w: dict | None, within: bool) -> None:
-            if is_aside(e.label) and not (within and e.name == "header" and not e.words & ASIDE_WORDS):
-                return
+            if is_aside(e.label) and e.label not in holding and not (within and e.name == "header" and not e.words & ASIDE_WORDS - {"header"}):
+                return  # a header within the main part has its title
             within = within or e.label == root
             children = [i for i in e.items if isinstance(i, Element)]
             fixed = not whole and bool(w) and not children and is_template(w) and text_hash(e) == w["t"]
@@ -277,7 +316,8 @@ def main_text(page: Element, wrapper: dict) -> str:
         close()
         if blocks:
             break
-    free = [t for t, fixed in blocks if not fixed]
+    # What is named as the main part is whole; only what is taken for it without a name may have menus or imprints in it.
+    free = [t for t, fixed in blocks if not fixed or (root == label and is_named(label))]
     return "\n".join(free or [t for t, _ in blocks])
 
 
