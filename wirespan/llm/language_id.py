@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wirespan.llm.common import crc_mod, read
-from wirespan.llm.memo import slices
+from wirespan.llm.memo import slices, trimmed
 
 ORDER = 3
 SAMPLE_TEXTS = 400
+#: Bytes whose code lengths are looked up at a time.
+STEP = 1 << 17
 #: A text that no language codes in fewer bits a byte than this is in none of them.
 MAX_BITS = 8.0
 OTHER = regex.compile(r"[^\p{L}\p{M}]+")
@@ -112,8 +114,8 @@ class Models:
         inside = data != 0
         gram = gram[inside]
         owner = np.repeat(np.arange(len(texts)), sizes)
-        for a in range(0, len(gram), 1 << 19):
-            b = slice(a, a + (1 << 19))
+        for a in range(0, len(gram), STEP):
+            b = slice(a, a + STEP)
             lengths, who = self._lengths(gram[b], self.order), owner[b]
             first = np.flatnonzero(np.diff(who, prepend=-1))
             sums[who[first]] += np.add.reduceat(lengths, first)
@@ -167,7 +169,7 @@ def identify(docs: DataFrame, models: Models, text_col: str = "text") -> DataFra
     schema = source.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte")).schema
     for field in schema.fields[-3:]:
         field.nullable = True
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def reject_unknown(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:

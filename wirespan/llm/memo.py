@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,3 +44,19 @@ def slices(column: pa.Array | list[str], most: int = SLICE_CHARS) -> Iterator[tu
         chars += n
     if begin < len(column):
         yield part(begin, len(column))
+
+
+def trimmed(run: Callable) -> Callable:
+    """run (for mapInArrow), after which the worker gives the memory that it has freed back to the machine.
+
+    Workers are kept for later tasks, and beside those of an earlier stage the JVM may need the memory.
+    """
+
+    @functools.wraps(run)
+    def each(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return each

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from wirespan.llm.bloom import suspects
 from wirespan.llm.common import by_group, materialised, read, text_of
-from wirespan.llm.memo import slices
+from wirespan.llm.memo import slices, trimmed
 from wirespan.operators.components import connected_components
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
 
     source = keyed.select("doc_id", "text_key", "text")
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key bigint, c1 bigint, c2 bigint, size double, keys array<bigint>"
-    signed = materialised(source.mapInArrow(signatures, schema))
+    signed = materialised(source.mapInArrow(trimmed(signatures), schema))
 
     # Equal weighted sets are one vertex, of which the least row lends its text.
     sets = ["c1", "c2"]
