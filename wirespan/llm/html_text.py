@@ -1,14 +1,17 @@
 """Main text of web pages by wrappers that are inferred for each host.
 
 A page is a token stream of tags and texts. Its wrapper is a union-free regular
-expression over elements: each element has text slots and, by the labels of its
-children (name and words of class, id and role), groups that are required,
-optional (fewer pages have them than their parent) or repeated. Pages of a host
-are aligned label by label: what matches is merged, a mismatch becomes an
-optional group, a label that comes again in one element a repeated group, and
-texts that differ become slots, while a text that all pages share stays
-template. Merging wrappers is commutative and associative, so neither the order
-of pages nor their partitioning matters.
+expression over elements in page order. One page of each host, that of the
+least hash, is the pattern: its elements are the slots of the first wrapper.
+The host's pages are aligned with it one after the other. Where the labels of
+an element's children (name and words of class, id and role) are those of the
+slots, they match one to one; at a mismatch, children whose whole text is that
+of a slot anchor the streams, and between anchors labels match in order. A slot
+that some pages lack is optional; what has no slot becomes an optional group of
+its gap, and a repeated one if it comes again there. Texts that differ make a
+text slot, a text that all pages share stays template. All pages are aligned
+with the same pattern, so what they add up to is commutative and associative:
+neither the order of pages nor their partitioning matters.
 
 Wrappers are folded within each task and then, host by host, over salted
 partial wrappers, so a host with very many pages meets in no single task. The
@@ -19,8 +22,9 @@ by their names and words, hold nothing, unless they hold the main part itself:
 an article or main element with half of the slots' text, or nearly all of it.
 Each page is then aligned with its host's wrapper. In a main part that is named
 as such nothing but asides goes. Elsewhere a page's text is template if the
-whole of it is what all pages have there, and where such texts are most of the
-main part, the pages are copies of one article and keep them.
+whole of it is what the host's pages have there, four fifths of them and two at
+least, and where such texts are most of the main part, the pages are copies of
+one article and keep them.
 
 Null or empty html gives an empty text, a null URL is a host of its own,
 unclosed and misnested tags and cut-off pages are read as far as they go, and
@@ -30,6 +34,7 @@ one to one, repeated ids and pages too; further columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import json
@@ -47,8 +52,8 @@ from wirespan.llm.near_dedup import SALTS, salted
 from wirespan.llm.url_filter import split_url
 
 DEPTH = 60
-#: A text of a host's wrapper counts as template if so many pages have it and no page another one there.
-TEMPLATE_PAGES = 5
+#: A text of a host's wrapper counts as template if this share of its pages, two at least, have it and no page another one there.
+TEMPLATE_SHARE = 4, 5
 #: Wrappers of all hosts that are larger than this are joined by a shuffle, not sent to every executor.
 MAX_BROADCAST_BYTES = 16 << 20
 #: Hosts whose wrappers a task holds at a time.
@@ -78,10 +83,11 @@ SPACE = re.compile(r"\s+")
 class Element:
     """A part of a page: its label, its items (texts, children and block ends) in order, and whether it is an inline one's text."""
 
-    __slots__ = ("items", "label", "name", "words")
+    __slots__ = ("items", "label", "name", "own", "whole", "words")
 
     def __init__(self, name: str, words: frozenset = frozenset()):
         self.name, self.words, self.items = name, words, []
+        self.own = self.whole = None  # hashes, once they are asked for
         self.label = "flow" if name in FLOW and not words & ASIDE_WORDS else " ".join([name, *sorted(words)])
 
 
@@ -159,29 +165,151 @@ def parse(page: str) -> Element:
     return root
 
 
+def hashed(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest() if text else ""
+
+
 def text_hash(e: Element) -> str:
     """A hash of the element's own whole text; empty where it has none."""
-    text = SPACE.sub(" ", "".join(i[0] for i in e.items if isinstance(i, tuple))).strip()
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest() if text else ""
+    if e.own is None:
+        e.own = hashed(" ".join("".join([i[0] for i in e.items if type(i) is tuple]).split()))
+    return e.own
+
+
+def children_of(e: Element) -> list[Element]:
+    return [i for i in e.items if type(i) is Element]
+
+
+def whole_hash(e: Element) -> str:
+    """A hash of all texts in the element; empty where it has none."""
+    if e.whole is None:
+        e.whole = hashed(" ".join(filter(None, [text_hash(e), *map(whole_hash, children_of(e))])))
+    return e.whole
+
+
+def in_order(first: list, second: list) -> list[tuple[int, int]]:
+    """The longest rising chain of pairs (place in first, place in second) of keys that are the same one's same occurrence."""
+    seen: Counter = Counter()
+    places = {}
+    for j, key in enumerate(second):
+        seen[key] += 1
+        places[key, seen[key]] = j
+    seen.clear()
+    tails: list[int] = []  # the least last place of chains of each length
+    ends: list[tuple] = []  # and such a chain, as (pair, chain before it)
+    for i, key in enumerate(first):
+        seen[key] += 1
+        j = places.get((key, seen[key])) if key is not None else None
+        if j is not None:
+            at = bisect.bisect_left(tails, j)
+            chain = ((i, j), ends[at - 1] if at else None)
+            tails[at : at + 1], ends[at : at + 1] = [j], [chain]
+    out = []
+    chain = ends[-1] if ends else None
+    while chain:
+        out.append(chain[0])
+        chain = chain[1]
+    return out[::-1]
+
+
+def align(children: list[Element], slots: list[dict]) -> list[tuple[int, bool]]:
+    """For each child its slot, or the gap (before the slot of that number) that it falls in, and whether it has the slot."""
+    labels, wanted = [c.label for c in children], [s["l"] for s in slots]
+    if labels == wanted:
+        return [(i, True) for i in range(len(children))]
+    if not slots:
+        return [(0, False)] * len(children)
+    found: dict[int, int] = {}
+
+    def gaps(i: int, j: int, pairs: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int, int, int]]:
+        """What lies between the pairs in children from i to a and slots from j to b, where that is something in both."""
+        out = []
+        for x, y in [*pairs, (a, b)]:
+            if i < x and j < y:
+                out.append((i, j, x, y))
+            i, j = x + 1, y + 1
+        return out
+
+    strong = in_order([(c.label, whole_hash(c)) if whole_hash(c) else None for c in children], [(s["l"], s["d"]) if s["d"] else None for s in slots])
+    found.update(strong)
+    rest = gaps(0, 0, strong, len(children), len(slots))
+    while rest:
+        i, j, a, b = rest.pop()
+        pairs = [(i + x, j + y) for x, y in in_order(labels[i:a], wanted[j:b])]
+        found.update(pairs)
+        if pairs:
+            rest += gaps(i, j, pairs, a, b)
+    out, gap = [], 0
+    for i in range(len(children)):
+        if i in found:
+            gap = found[i] + 1
+        out.append((found[i], True) if i in found else (gap, False))
+    return out
+
+
+def pattern_of(e: Element) -> dict:
+    """The wrapper whose slots s are the page's elements, that no page has been aligned with yet; d is the hash of all texts in a slot."""
+    return {"l": e.label, "n": 0, "q": "", "c": 0, "k": 0, "t": None, "d": whole_hash(e), "s": [pattern_of(c) for c in children_of(e)], "g": {}}
+
+
+def characters(e: Element) -> list[int]:
+    """The element's own characters outside and inside of links."""
+    n = [0, 0]
+    for i in e.items:
+        if type(i) is tuple:
+            n[i[1]] += len(i[0].strip())
+    return n
+
+
+def absorb(w: dict, e: Element) -> None:
+    """Align one more page with the wrapper, which takes it up."""
+    own = text_hash(e)
+    free, linked = characters(e)
+    w["n"] += 1
+    w["c"] += free
+    w["k"] += linked
+    w["t"] = own if w["t"] in (None, own) else ""
+    children = children_of(e)
+    if not children:
+        return
+    groups: dict[str, dict] = {}
+    for child, (at, has_slot) in zip(children, align(children, w["s"]), strict=True):
+        if has_slot:
+            absorb(w["s"][at], child)
+        else:
+            key, group = group_key(w, at, child.label), wrapper_of(child)
+            groups[key] = merged(groups[key], group, max) | {"q": "+"} if key in groups else group
+    for key, group in groups.items():
+        w["g"][key] = merged(w["g"][key], group) if key in w["g"] else group
+
+
+def group_key(w: dict, gap: int, label: str) -> str:
+    """Groups are told apart by their gap and label; within a group, which has no slots, by label."""
+    return f"{gap} {label}" if w["s"] else label
 
 
 def wrapper_of(e: Element) -> dict:
-    """The element's own wrapper: label l, pages n, repeated or not q, characters c outside and k inside links, template text's hash t, groups g by label."""
-    own = [i for i in e.items if isinstance(i, tuple)]
-    w = {"l": e.label, "n": 1, "q": "", "c": sum(len(t.strip()) for t, link in own if not link), "k": sum(len(t.strip()) for t, link in own if link), "t": text_hash(e), "g": {}}
-    for child in e.items:
-        if isinstance(child, Element):
-            own_group = wrapper_of(child)
-            w["g"][child.label] = merged(w["g"][child.label], own_group, max) | {"q": "+"} if child.label in w["g"] else own_group
+    """The element as a group: label l, pages n, repeated or not q, characters c outside and k inside links, template text's hash t, no slots s, groups g by label."""
+    free, linked = characters(e)
+    w = {"l": e.label, "n": 1, "q": "", "c": free, "k": linked, "t": text_hash(e), "s": [], "g": {}}
+    for child in children_of(e):
+        own = wrapper_of(child)
+        w["g"][child.label] = merged(w["g"][child.label], own, max) | {"q": "+"} if child.label in w["g"] else own
     return w
 
 
 def merged(a: dict, b: dict, pages=sum) -> dict:
-    """The wrapper of what either fits; ``pages`` is max for two groups of one page. Groups that only one has are optional."""
+    """The wrapper of what either fits, both of one pattern; ``pages`` is max for two groups of one page. Groups that only one has are optional."""
     groups = dict(a["g"])
     for label, g in b["g"].items():
         groups[label] = merged(groups[label], g, pages) if label in groups else g
-    return {"l": a["l"], "n": pages((a["n"], b["n"])), "q": max(a["q"], b["q"]), "c": a["c"] + b["c"], "k": a["k"] + b["k"], "t": a["t"] if a["t"] == b["t"] else "", "g": groups}
+    text = a["t"] if b["t"] in (None, a["t"]) else b["t"] if a["t"] is None else ""
+    slots = [merged(x, y, pages) for x, y in zip(a["s"], b["s"], strict=True)]
+    return a | {"n": pages((a["n"], b["n"])), "q": max(a["q"], b["q"]), "c": a["c"] + b["c"], "k": a["k"] + b["k"], "t": text, "s": slots, "g": groups}
+
+
+def parts(w: dict) -> list[dict]:
+    return [*w["s"], *w["g"].values()]
 
 
 def is_aside(label: str) -> bool:
@@ -205,7 +333,7 @@ def holders(wrapper: dict) -> frozenset:
     def visit(w: dict) -> tuple[int, bool]:
         if is_aside(w["l"]) and not is_soft(w["l"]):
             return 0, False
-        inside = [visit(g) for g in w["g"].values()]
+        inside = [visit(g) for g in parts(w)]
         chars = w["c"] + sum(c for c, _ in inside)
         main = any(m for _, m in inside)
         if is_soft(w["l"]):
@@ -231,7 +359,7 @@ def main_label(wrapper: dict, holding: frozenset = frozenset()) -> str:
         def visit(w: dict, depth: int) -> int:
             if is_aside(w["l"]) and w["l"] not in holding:
                 return 0
-            held = free(w) + sum(visit(w["g"][label], depth + 1) for label in sorted(w["g"]))
+            held = free(w) + sum(visit(g, depth + 1) for g in parts(w))
             if w["l"] != "flow":
                 sums[w["l"]] = sums.get(w["l"], 0) + held
                 depths[w["l"]] = max(depth, depths.get(w["l"], 0))
@@ -248,11 +376,18 @@ def main_label(wrapper: dict, holding: frozenset = frozenset()) -> str:
                     return max(found, key=lambda x: (sums[x], x))
         return max(with_share(8), key=lambda x: (depths[x], sums[x], x), default=wrapper["l"])
 
-    return choose(lambda w: 0 if is_template(w) else w["c"]) or choose(lambda w: w["c"]) or wrapper["l"]
+    return choose(lambda w: 0 if w["template"] else w["c"]) or choose(lambda w: w["c"]) or wrapper["l"]
 
 
-def is_template(w: dict) -> bool:
-    return w["q"] != "+" and bool(w["t"]) and w["n"] >= TEMPLATE_PAGES and not w["g"]
+def settle(w: dict, pages: int, beside: bool = False) -> None:
+    """Note in all parts of a host's wrapper whether they are template: the text is the same wherever the element is, on enough
+    of the host's pages. A paragraph or item ``beside`` others is prose, and what all articles say in one is theirs."""
+    part, whole = TEMPLATE_SHARE
+    same = bool(w["t"]) and w["q"] != "+" and not parts(w)
+    w["template"] = same and w["n"] >= 2 and w["n"] * whole >= part * pages and not (beside and w["l"] == "flow")
+    flow = [p for p in parts(w) if p["l"] == "flow"]
+    for p in parts(w):
+        settle(p, pages, len(flow) > 1 or any(f["q"] for f in flow))
 
 
 def copies(wrapper: dict, label: str, holding: frozenset = frozenset()) -> bool:
@@ -264,11 +399,11 @@ def copies(wrapper: dict, label: str, holding: frozenset = frozenset()) -> bool:
         if is_aside(w["l"]) and w["l"] not in holding:
             return
         within = within or w["l"] == label
-        if within and is_template(w):
+        if within and w["template"]:
             same += w["c"]
         elif within:
             other += w["c"]
-        for g in w["g"].values():
+        for g in parts(w):
             visit(g, within)
 
     visit(wrapper, False)
@@ -278,6 +413,7 @@ def copies(wrapper: dict, label: str, holding: frozenset = frozenset()) -> bool:
 def main_text(page: Element, wrapper: dict) -> str:
     """The page's main text by its host's wrapper."""
     if "main" not in wrapper:  # decided once for a wrapper
+        settle(wrapper, wrapper["n"])
         holding = holders(wrapper)
         label = main_label(wrapper, holding)
         wrapper["main"] = holding, label, copies(wrapper, label, holding)
@@ -297,15 +433,14 @@ def main_text(page: Element, wrapper: dict) -> str:
             if is_aside(e.label) and e.label not in holding and not (within and e.name == "header" and not e.words & ASIDE_WORDS - {"header"}):
                 return  # a header within the main part has its title
             within = within or e.label == root
-            children = [i for i in e.items if isinstance(i, Element)]
-            fixed = not whole and bool(w) and not children and is_template(w) and text_hash(e) == w["t"]
+            children = children_of(e)
+            fixed = not whole and bool(w) and not children and w["template"] and text_hash(e) == w["t"]
+            fits = iter([w["s"][at] if has_slot else w["g"].get(group_key(w, at, c.label)) for c, (at, has_slot) in zip(children, align(children, w["s"]), strict=True)] if w else [None] * len(children))
             for item in e.items:
                 if isinstance(item, Element):
-                    if within:
-                        close()
-                    take(item, w["g"].get(item.label) if w else None, within)
-                    if within:
-                        close()
+                    close()
+                    take(item, next(fits), within)
+                    close()
                 elif within and item is None:
                     close()
                 elif within:
@@ -321,17 +456,43 @@ def main_text(page: Element, wrapper: dict) -> str:
     return "\n".join(free or [t for t, _ in blocks])
 
 
+def with_host(pages: DataFrame, table: DataFrame, deal_by: list[str]) -> DataFrame:
+    """pages joined with a written table of one row for each host: broadcast if that is small, else over salts."""
+    size = table.agg(F.coalesce(F.sum(sum(F.octet_length(c) for c in table.columns)), F.lit(0))).first()[0]
+    if size <= MAX_BROADCAST_BYTES:
+        return pages.join(F.broadcast(table), "host")
+    return pages.withColumn("salt", F.pmod(F.xxhash64(*deal_by), F.lit(SALTS))).join(salted(table), ["host", "salt"])
+
+
+def patterns(pages: DataFrame) -> DataFrame:
+    """(host, pattern as JSON): of each host's pages that have any text the one of the least hash."""
+    keyed = pages.where(F.length("html") > 0).select("host", "html", F.xxhash64("html").alias("code"))
+    least = materialised(keyed.groupBy("host").agg(F.min("code").cast("string").alias("least")))
+    # Copies of that page are one row of each task before they are shuffled.
+    chosen = with_host(keyed, least, ["code"]).where(F.col("code").cast("string") == F.col("least")).groupBy("host").agg(F.min("html").alias("html"))
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in slices(batch.column(1)):
+                out = [json.dumps(pattern_of(parse(text))) for text in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, len(texts)), pa.array(out, pa.string())], ["host", "pattern"])
+
+    return materialised(chosen.select("host", "html").mapInArrow(run, "host string, pattern string"))
+
+
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON) of pages with columns host and html."""
+    """(host, wrapper as JSON) of pages with columns host and html, for hosts that have any text."""
 
     def fold(batches):
         held: dict[str, dict] = {}
         emit = lambda: pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([json.dumps(w, sort_keys=True) for w in held.values()])], ["host", "wrapper"])
         for batch in batches:
             for part, texts in slices(batch.column(1)):
-                for host, text in zip(batch.column(0).slice(part.start, len(texts)).to_pylist(), texts, strict=True):
-                    own = wrapper_of(parse(text))
-                    held[host] = merged(held[host], own) if host in held else own
+                rows = batch.slice(part.start, len(texts))
+                for host, text, pattern in zip(rows.column(0).to_pylist(), texts, rows.column(2), strict=True):
+                    if host not in held:
+                        held[host] = json.loads(pattern.as_py())
+                    absorb(held[host], parse(text))
                 if len(held) > HOSTS:
                     yield emit()
                     held.clear()
@@ -345,7 +506,7 @@ def infer(pages: DataFrame) -> DataFrame:
             out = w if out is None else merged(out, w)
         return pd.DataFrame({"host": [frame.host.iloc[0]], "wrapper": [json.dumps(out, sort_keys=True)]})
 
-    partial = pages.select("host", "html").mapInArrow(fold, "host string, wrapper string")
+    partial = with_host(pages.select("host", "html"), patterns(pages), ["html"]).select("host", "html", "pattern").mapInArrow(fold, "host string, wrapper string")
     salt = F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))
     some = partial.withColumn("salt", salt).groupBy("host", "salt").applyInPandas(merge, "host string, wrapper string")
     return some.groupBy("host").applyInPandas(merge, "host string, wrapper string")
@@ -354,29 +515,26 @@ def infer(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url and text of every page."""
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), split_url(F.col(url_col))[0].alias("host"))
-    wrappers = materialised(infer(source))
-    size = wrappers.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0))).first()[0]
-    if size <= MAX_BROADCAST_BYTES:
-        both = source.join(F.broadcast(wrappers), "host", "left")
-    else:
-        both = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).join(salted(wrappers), ["host", "salt"], "left")
+    full = F.length("html") > 0
+    both = with_host(source.where(full), materialised(infer(source.where(full))), ["page_id", "url"])
 
     def run(batches):
         cache: dict[str, dict] = {}
         for batch in batches:
             for part, texts in slices(batch.column(2)):
                 out = []
-                for text, wrapper in zip(texts, batch.column(3).slice(part.start, len(texts)).to_pylist(), strict=True):
-                    if wrapper not in cache:
+                rows = batch.slice(part.start, len(texts))
+                for text, host, wrapper in zip(texts, rows.column(3).to_pylist(), rows.column(4), strict=True):
+                    if host not in cache:
                         if len(cache) >= HOSTS:
                             cache.clear()
-                        cache[wrapper] = json.loads(wrapper)
-                    out.append(main_text(parse(text), cache[wrapper]))
-                kept = batch.slice(part.start, len(texts))
-                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
+                        cache[host] = json.loads(wrapper.as_py())
+                    out.append(main_text(parse(text), cache[host]))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    return both.select("page_id", "url", "html", "wrapper").mapInArrow(run, f"page_id {types['page_id']}, url {types['url']}, text string")
+    texts = both.select("page_id", "url", "html", "host", "wrapper").mapInArrow(run, f"page_id {types['page_id']}, url {types['url']}, text string")
+    return texts.unionByName(source.where(~full).select("page_id", "url", F.lit("").alias("text")))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
