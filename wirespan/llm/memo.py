@@ -15,20 +15,28 @@ SLICE_CHARS = 1_000_000
 
 
 class Memo:
-    """What ``encode_many`` gives for each word; a worker keeps the first ``limit`` words it met."""
+    """What ``encode_many`` gives for each word; a worker keeps words, none longer than LONGEST_WORD, up to ``limit`` bytes."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 100_000):
-        self.encode_many, self.limit, self.known = encode_many, limit, {}
+    #: Longer words are runs without spaces, which hardly come again.
+    LONGEST_WORD = 64
+    #: Bytes of a dictionary's entry and of the heads of its key and value.
+    ENTRY = 200
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 32 << 20):
+        self.encode_many, self.limit, self.known, self.held = encode_many, limit, {}, 0
 
     def join(self, texts: list[list[str]]) -> list[bytes]:
         """The concatenated results of each text's words."""
         known = self.known
         missing = list(set().union(*texts).difference(known))
-        known.update(zip(missing, self.encode_many(missing)))
+        known.update(zip(missing, self.encode_many(missing), strict=True))
         out = [b"".join(map(known.__getitem__, words)) for words in texts]
-        if len(known) > self.limit:
-            for word in missing:
+        for word in missing:
+            size = self.ENTRY + 4 * len(word) + len(known[word])
+            if len(word) > self.LONGEST_WORD or self.held + size > self.limit:
                 del known[word]
+            else:
+                self.held += size
         return out
 
 

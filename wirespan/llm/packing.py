@@ -3,9 +3,9 @@
 A document of n tokens is cut into pieces whose lengths are the powers of two
 that n is a sum of (from 1024 up: as many 1024s as fit), longest first. A
 sequence is one piece, so no sequence crosses documents and none is padded;
-equal lengths form a bucket, and batches are drawn from one bucket. Pieces are
-made where a document is read: there is no shuffle, and ``write_buckets``
-files each bucket apart.
+equal lengths form a bucket (numbered by the power of two), and batches are
+drawn from one bucket. Pieces are made where a document is read and carry their
+bucket: there is no shuffle, and ``write_buckets`` files each bucket apart.
 
 A null text counts as empty and yields the closing id alone. Rows that repeat
 an id get sequences of their own; null ids stay null. Sequence ids are unique
@@ -43,7 +43,7 @@ class ByteBpe:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token[0] in "ĠĊ"]] = True
-        self.memo = Memo(self._words, 400_000)
+        self.memo = Memo(self._words, 96 << 20)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,7 +89,7 @@ def binary_pieces(n: int, longest: int = LONGEST) -> list[int]:
 
 
 def pack(docs: DataFrame, tokenizer: str, close_id: int = 0, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (binary, little-endian 32 bits each), doc_tokens, sequence_id, offset."""
+    """One row per piece: doc_id, start, length, ids (binary, little-endian 32 bits each), doc_tokens, sequence_id, offset, bucket."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     source = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
@@ -117,16 +117,16 @@ def pack(docs: DataFrame, tokenizer: str, close_id: int = 0, longest: int = LONG
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens"])
 
     made = source.mapInArrow(pieces, f"doc_id {'bigint' if id_type == pa.int64() else 'string'}, start bigint, length bigint, ids binary, doc_tokens bigint")
-    return made.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return made.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).withColumn("bucket", F.log2("length").cast("int"))
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Files for training, a folder for each length."""
-    pieces.write.partitionBy("length").parquet(path)
+    """Files for training, a folder for each bucket."""
+    pieces.write.partitionBy("bucket").parquet(path)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
