@@ -43,7 +43,7 @@ class ByteBpe:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token[0] in "ĠĊ"]] = True
-        self.memo = Memo(self._words, 96 << 20)
+        self.memo = Memo(self._words, 192 << 20)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
