@@ -41,7 +41,11 @@ PRIMES, BASES = (2147483647, 2147483629), (1315423911, 2038074743)
 
 
 def trimmed(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, f"[{SPACE}]+", " "))
+    """The line with white space runs as one space, trimmed; most lines have single spaces only and are searched, not rewritten."""
+    odd = F.lit(False)
+    for mark in ("  ", "\t", "\n", "\v", "\f", "\r"):
+        odd = odd | F.contains(line, F.lit(mark))
+    return F.trim(F.when(odd, F.regexp_replace(line, f"[{SPACE}]+", " ")).otherwise(line))
 
 
 def halves(line: Column) -> Column:
@@ -86,10 +90,12 @@ def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "do
     keyed = docs.drop(*added).withColumn("_key", F.xxhash64(text_of(text_col)))
     texts = keyed.select(F.col(id_col).alias("doc_id"), F.col("_key").alias("key"), text_of(text_col).alias("text"))
     where = F.struct("doc_id", "key", "no").alias("at")
-    split = texts.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("no", "raw")).withColumn("line", trimmed(F.col("raw"))).drop("raw")
+    split = texts.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
+    # Asked of the raw line, so that the filter below the projection does not trim each line once more.
+    split = split.where(F.col("raw").rlike(f"[^{SPACE}]")).withColumn("line", trimmed(F.col("raw"))).drop("raw")
     names = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2")]
     both = F.when(F.length("line") >= near_chars, halves(F.col("line"))).alias("halves")
-    lines = materialised(split.where("line != ''").select(*names, where, both))
+    lines = materialised(split.select(*names, where, both))
 
     # Lines that differ have different (h1, h2); the earliest of each stands for it.
     distinct = materialised(lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.any_value("halves").alias("halves")))
