@@ -10,7 +10,7 @@ from wirespan.functions.params import DEFAULT, Params
 from wirespan.operators.clusters import clusters_by_page
 from wirespan.operators.components import connected_components
 from wirespan.operators.cover import levels_of, overlapping
-from wirespan.sources.tables import shared_table
+from wirespan.sources.tables import merged_in, shared_table
 
 KINDS = "case kind when 'device' then 0 when 'ground' then 1 else 2 end"
 
@@ -48,7 +48,7 @@ def clustered(lines: DataFrame, p: Params = DEFAULT, page_points: int = PAGE_POI
     kind = {f.name: f.dataType.simpleString() for f in points.schema.fields}
     dealt = small.where("page_id is not null").repartition("page_id").sortWithinPartitions("page_id", "pi")
     out = dealt.mapInArrow(clusters_by_page(p.merge_distance), f"page_id {kind['page_id']}, pi {kind['pi']}, x double, y double, jid int")
-    return out if small is points else out.unionByName(_clustered_by_links(points.join(large, "page_id"), p))
+    return out if small is points else merged_in(out.unionByName(_clustered_by_links(points.join(large, "page_id"), p)))
 
 
 def _clustered_by_links(points: DataFrame, p: Params) -> DataFrame:
@@ -114,6 +114,7 @@ def splice(base: DataFrame, entries: DataFrame, nodes: DataFrame, lines: DataFra
     are idempotent, an edge is there if its last action was to add it.
     """
     crossed = lines.join(entries.select("page_id", "line_idx").distinct(), ["page_id", "line_idx"], "left_semi").select("page_id", "line_idx", "x1", "y1", "x2", "y2")
+    crossed = merged_in(crossed)
     ends = line_ends(crossed, nodes, p).where("ep1 is not null and ep2 is not null")
     length = g.distance("x2", "y2", "x1", "y1")
     usable = crossed.join(ends, ["page_id", "line_idx"]).where(f"{length} >= 1e-6")
@@ -206,11 +207,10 @@ def chains_in_turn(found: DataFrame, p: Params = DEFAULT) -> DataFrame:
             acting = acting.join(gone, ["page_id", "jid"], "left_anti")
         new = shared_table(chains(acting, p))
         merged = new if merged is None else merged.union(new)
-        gone = merged.select("page_id", "jid")
+        gone = merged_in(merged.select("page_id", "jid"))
         if not waits.limit(1).count():
             return merged
-        acted = found.select(*here).distinct().join(later, here, "left_anti")
-        done = acted
+        done = merged_in(found.select(*here).distinct().join(later, here, "left_anti"))
         # Signals that acted bar nobody any more; those still open are in ``later``.
         waits = shared_table(waits.join(later.withColumnRenamed("sig_idx", "earlier"), ["page_id", "earlier"], "left_semi").select("page_id", "sig_idx", "earlier"))
 
@@ -225,7 +225,7 @@ def contract(nodes: DataFrame, graph: DataFrame, lines: DataFrame, signals: Data
     merged = merged.withColumn("seq", F.dense_rank().over(Window.partitionBy("page_id").orderBy("sig_idx", "way", "run")))
     top = nodes.groupBy("page_id").agg(F.max("jid").alias("top"))
     named = merged.join(top, "page_id").selectExpr("page_id", "jid", "cast(top + seq as int) as new_jid", "nx", "ny")
-    relabel = named.select("page_id", "jid", "new_jid")
+    relabel = merged_in(named.select("page_id", "jid", "new_jid"))
     out = graph
     for end in ("a", "b"):
         out = out.join(relabel.withColumnRenamed("jid", end), ["page_id", end], "left").withColumn(end, F.coalesce("new_jid", end)).drop("new_jid")

@@ -10,7 +10,7 @@ from wirespan.functions.params import DEFAULT, Params
 from wirespan.operators.clusters import steps_by_page
 from wirespan.operators.cover import overlapping
 from wirespan.operators.graph import KINDS
-from wirespan.sources.tables import shared_table
+from wirespan.sources.tables import merged_in, shared_table
 
 
 def numbered_boxes(boxes: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def half_paths(owner: DataFrame, step: DataFrame, most: int) -> DataFrame:
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
-    return out
+    return merged_in(out)
 
 
 def paths(entries: DataFrame, graph: DataFrame, boxes: DataFrame, p: Params = DEFAULT) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wirespan.functions.params import DEFAULT, Params
 from wirespan.operators import boxes as bx
 from wirespan.operators import fuse, graph, search
-from wirespan.sources.tables import counted_table
+from wirespan.sources.tables import counted_table, merged_in
 
 
 @dataclass
@@ -55,7 +55,7 @@ class GraphFlow:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return self.junctions.select("page_id", "jid", "x", "y").unionByName(self.entries.select("page_id", "jid", "x", "y"))
+        return merged_in(self.junctions.select("page_id", "jid", "x", "y").unionByName(self.entries.select("page_id", "jid", "x", "y")))
 
     @cached_property
     def rebuilt(self) -> DataFrame:

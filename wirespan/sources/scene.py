@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirespan.sources.tables import merged_in
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the star schema; all that are read here grow with the input."""
+    return merged_in(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def scene_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
