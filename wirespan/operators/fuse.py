@@ -9,7 +9,7 @@ from wirespan.functions import geometry as g
 from wirespan.functions.params import DEFAULT, Params
 from wirespan.operators.cover import levels_of, overlapping
 from wirespan.operators.graph import endpoints
-from wirespan.sources.tables import shared_table
+from wirespan.sources.tables import merged_in, shared_table
 
 
 def match_endpoints(lines: DataFrame, signals: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -82,10 +82,10 @@ def survivors(ranked: DataFrame, conflicts: DataFrame) -> DataFrame:
     while open_pairs.limit(1).count():
         better = open_pairs.select("page_id", F.col("hi").alias("r")).distinct()
         firm = better.join(open_pairs.select("page_id", F.col("lo").alias("r")).distinct(), ["page_id", "r"], "left_anti")
-        gone = shared_table(open_pairs.join(firm.withColumnRenamed("r", "hi"), ["page_id", "hi"], "left_semi").select("page_id", F.col("lo").alias("r")).distinct())
+        gone = shared_table(open_pairs.join(merged_in(firm).withColumnRenamed("r", "hi"), ["page_id", "hi"], "left_semi").select("page_id", F.col("lo").alias("r")).distinct())
         dropped = gone if dropped is None else dropped.union(gone)
         # A dropped row bars nobody and needs no decision; a firm row's pairs are spent.
         open_pairs = open_pairs.join(gone.withColumnRenamed("r", "lo"), ["page_id", "lo"], "left_anti").join(gone.withColumnRenamed("r", "hi"), ["page_id", "hi"], "left_anti")
         open_pairs = shared_table(open_pairs)
-    out = ranked if dropped is None else ranked.join(dropped, ["page_id", "r"], "left_anti")
+    out = ranked if dropped is None else ranked.join(merged_in(dropped), ["page_id", "r"], "left_anti")
     return out.drop("r")
