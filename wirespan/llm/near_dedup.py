@@ -1,7 +1,10 @@
 """Near duplicates by improved consistent weighted sampling.
 
 A text is a weighted set: its shingles of five words (split at ASCII white
-space), each weighing its count times its IDF. The IDF is 1 for a shingle of
+space), each weighing its count times its IDF. In op1 and the pipeline the IDF
+is ln((1 + N) / (1 + df)) + 1 for every shingle, by its bucket of 2 ** 20 as in
+HashingTF and IDF (idf_table). Callers that do not ask for it get an IDF for
+common shingles alone (common_shingles): it is 1 for a shingle of
 less than a tenth of all documents and falls with the logarithm of the document
 frequency, to a half at least; so only shingles that a tenth of the documents
 have need an exact frequency, and there are at most ten times as many of them
@@ -47,6 +50,10 @@ WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
 #: Document frequency, as a share of all documents, from which a shingle weighs less than its count.
 COMMON = 0.1
 BUCKETS = 1 << 16
+#: Buckets of document frequencies, and the steps of their IDF: one of a rare shingle is so many.
+IDF_BUCKETS, IDF_STEPS = 1 << 20, 16
+#: Characters at a time where only shingles are counted.
+COUNT_CHARS = 1 << 18
 SALTS = 16
 #: Buckets of up to so many pairs to verify have them as rows; larger ones go in blocks.
 PAIRS = 1024
@@ -151,15 +158,18 @@ def samples(text: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int) -> n
 
 
 class Weights:
-    """Counts times IDF; ``common`` holds the hashes whose IDF is less than 1, sorted, and their IDF."""
+    """Counts times IDF; ``common`` has the hashes whose IDF is less than 1 and their IDF, or ``table`` the IDF of all by bucket, in IDF_STEPS."""
 
-    def __init__(self, common: dict[int, float]):
+    def __init__(self, common: dict[int, float], table: np.ndarray | None = None):
+        self.table = table
         self.code = np.array(sorted(common), np.uint64)
         self.idf = np.array([common[int(c)] for c in self.code])
 
     def of(self, code: np.ndarray, count: np.ndarray) -> np.ndarray:
         weight = count.astype(np.float64)
-        if len(self.code):
+        if self.table is not None:
+            weight *= self.table[(code % np.uint64(IDF_BUCKETS)).astype(np.intp)] / IDF_STEPS
+        elif len(self.code):
             at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
             hit = self.code[at] == code
             weight[hit] *= self.idf[at[hit]]
@@ -245,20 +255,48 @@ def common_shingles(texts: DataFrame, n: int, words: int) -> dict[int, float]:
     return {r.code % (1 << 64): idf(r.n) for r in counts.collect()}
 
 
+def idf_table(texts: DataFrame, n: int, words: int) -> np.ndarray:
+    """The IDF of every shingle by bucket, from the frequencies of buckets over all n documents, a shingle once for each that has it.
+
+    Shingles of a bucket share its frequency, so a rare one has that of the median bucket at least, some thousandth of the
+    documents. Only ratios of weights count: the median bucket's IDF is IDF_STEPS, and others are rounded to whole steps, so
+    that most shingles weigh their count, which draws faster. The table is as large for any input.
+    """
+
+    def buckets(batches):
+        counts = np.zeros(IDF_BUCKETS, np.int64)
+        for batch in batches:
+            for _, found in slices(batch.column("text"), COUNT_CHARS):
+                np.add.at(counts, (shingles(found, words)[1] % np.uint64(IDF_BUCKETS)).astype(np.intp), 1)
+        at = np.flatnonzero(counts)
+        for begin in range(0, len(at), BUCKETS):
+            some = at[begin : begin + BUCKETS]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["bucket", "n"])
+
+    found = texts.mapInArrow(trimmed(buckets), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(IDF_BUCKETS, np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    idf = lambda df: np.log((1 + n) / (1 + np.minimum(df, n))) + 1
+    rare = np.median(counts[counts > 0]) if counts.any() else 0
+    return np.clip(np.rint(IDF_STEPS * idf(counts) / idf(rare)), 1, 255).astype(np.uint8)
+
+
 def salted(groups: DataFrame) -> DataFrame:
     return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", full_idf: bool = False) -> DataFrame:
     """One row per input row: doc_id, text_key, class_id (the least id of its class), class_size (rows), kept.
 
     A class is a connected component of links of at least ``threshold``. Of the rows of its least id the one with the
-    least text_key (the text's xxhash64) is kept, with its repetitions.
+    least text_key (the text's xxhash64) is kept, with its repetitions. With ``full_idf`` every shingle weighs by its document
+    frequency, else common ones alone.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     n = texts.count()
-    weights = spark.sparkContext.broadcast(Weights(common_shingles(texts.select("text"), n, words)))
+    only = texts.select("text")
+    weights = spark.sparkContext.broadcast(Weights({}, idf_table(only, n, words)) if full_idf else Weights(common_shingles(only, n, words)))
     keyed = texts.withColumn("text_key", F.xxhash64("text"))
 
     def signatures(batches):
@@ -441,4 +479,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_key")
+    return near_duplicates(read(spark, sf_dir, "documents"), full_idf=True).drop("text_key")
