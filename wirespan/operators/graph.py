@@ -80,7 +80,8 @@ def entry_points(ends_junctions: DataFrame, boxes: DataFrame, lines: DataFrame,
     """
     e = p.box_expand
     wide = boxes.selectExpr("page_id", "kind", "box_idx", f"greatest(0D, x1 - {e}) as bx1", f"greatest(0D, y1 - {e}) as by1", f"x2 + {e} as bx2", f"y2 + {e} as by2")
-    both = overlapping(lines.select("page_id", "line_idx", "x1", "y1", "x2", "y2"), wide, g.extent(g.box()), g.box("b"))
+    there = levels_of(wide, g.box("b")), levels_of(lines, g.extent(g.box()))
+    both = overlapping(lines.select("page_id", "line_idx", "x1", "y1", "x2", "y2"), wide, g.extent(g.box()), g.box("b"), levels=there[0], left_levels=there[1])
     met = ", ".join(g.meeting(g.box(), s) for s in g.sides(g.box("b")))
     found = both.selectExpr("page_id", "kind", "box_idx", "line_idx", f"posexplode(array({met})) as (edge_idx, at)").where("at is not null")
     first = ends_junctions.groupBy("page_id").agg(F.count("*").alias("n"))
