@@ -5,7 +5,7 @@ import pytest
 from tests import test_broadcasts
 
 
-@pytest.mark.parametrize("name", ["paths", "connections"])
+@pytest.mark.parametrize("name", ["paths", "connections", "connections_csv"])
 def test_paths_and_what_follows_do_not_broadcast(spark, monkeypatch, name):
     monkeypatch.setattr(test_broadcasts, "SF", "/root/testdata/sf0.001")
     test_broadcasts.test_steps_do_not_broadcast(spark, monkeypatch, name)
