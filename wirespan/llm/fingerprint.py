@@ -167,8 +167,8 @@ def with_class(rows: DataFrame, like: float = LIKE) -> DataFrame:
     """rows (a written table with doc_id and print, a fingerprint in bytes) with class_id, the least id of the row's class.
 
     Classes are what links of fingerprints that are alike join; a class without any id has a null class_id. Equal
-    fingerprints are one vertex, a number. In each bucket of a band all are held against its least one. In a bucket that
-    then spans several components, all outside the largest one are held against all of it, in blocks.
+    fingerprints are one vertex, a number. In each bucket of a band all are held against its least one. Where the others
+    then span several components, all outside the largest one are held against all others, in blocks.
     """
     own = materialised(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).withColumn("v", F.monotonically_increasing_id()))
     need = next(k for k in range(1, SLOTS + 1) if k / SLOTS >= like)
@@ -186,17 +186,16 @@ def with_class(rows: DataFrame, like: float = LIKE) -> DataFrame:
     links = materialised(met.where("alike and hub != v").select("hub", "v").distinct())
     parts = connected_components(links, "hub", "v")
 
-    at = met.join(parts, "v", "left").select("band", "v", F.coalesce("component", "v").alias("component"))
-    each = at.groupBy("band", "component").agg(F.count("*").alias("k"))
-    spans = each.groupBy("band").agg(F.max(F.struct("k", "component")).alias("main"), F.sum("k").alias("n"), F.count("*").alias("components")).where("components > 1")
-    blocks = lambda n: F.ceil(n / BLOCK)
-    spans = materialised(spans.select("band", "n", F.col("main.component").alias("main"), blocks(F.col("n") - F.col("main.k")).alias("n_left"), blocks(F.col("n")).alias("n_right")))
+    at = met.where("hub != v").join(parts, "v", "left").select("band", "v", F.coalesce("component", "v").alias("component"))
+    spans = materialised(open_buckets(at))
     if spans.limit(1).count():
         open_ = by_group(at, spans, ["band"], "n", "v").join(own.select("v", "print"), "v")
         number = lambda n: F.pmod(F.xxhash64("v", F.lit("block")), n)
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
-        outside = open_.where("component != main").select("band", number(F.col("n_left")).alias("i"), every(F.col("n_right")).alias("j"), F.lit(True).alias("left"), "v", "component", "print")
-        inside = open_.select("band", every(F.col("n_left")).alias("i"), number(F.col("n_right")).alias("j"), F.lit(False).alias("left"), "v", "component", "print")
+        # Of a bucket of one block each way a row moves once, for both sides.
+        one = F.expr("n_left = 1 and n_right = 1")
+        outside = open_.where((F.col("component") != F.col("main")) & ~one).select("band", number(F.col("n_left")).alias("i"), every(F.col("n_right")).alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"), "v", "component", "print")
+        inside = open_.select("band", every(F.col("n_left")).alias("i"), number(F.col("n_right")).alias("j"), ((F.col("component") != F.col("main")) & one).alias("left"), F.lit(True).alias("right"), "v", "component", "print")
 
         # Small buckets are many, so a task's group holds the blocks of about GROUP rows.
         to_meet = spans.agg(F.sum(F.col("n") * (F.col("n_left") + F.col("n_right")))).first()[0]
@@ -206,9 +205,9 @@ def with_class(rows: DataFrame, like: float = LIKE) -> DataFrame:
             """Links of two blocks each, one at most from an outsider to each component."""
             found = []
             slots = np.frombuffer(b"".join(frame.print), ">u2").astype(np.uint16).reshape(len(frame), SLOTS)
-            v, component, is_left = frame.v.to_numpy(), frame.component.to_numpy(), frame.left.to_numpy()
+            v, component, is_left, is_right = (frame[c].to_numpy() for c in ("v", "component", "left", "right"))
             for rows_ in frame.groupby(["band", "i", "j"]).indices.values():
-                a, b = rows_[is_left[rows_]], rows_[~is_left[rows_]]
+                a, b = rows_[is_left[rows_]], rows_[is_right[rows_]]
                 if len(a) * len(b) <= SMALL:
                     hit = (slots[a][:, None] == slots[b][None]).sum(2) >= need
                     i, j = np.nonzero(hit & (component[a][:, None] != component[b][None]))
@@ -225,6 +224,18 @@ def with_class(rows: DataFrame, like: float = LIKE) -> DataFrame:
     return by_group(rows, named, ["print"], "rows", "doc_id").drop("rows")
 
 
+def open_buckets(at: DataFrame) -> DataFrame:
+    """Bands with rows of ``at`` (band, v, component; without the least vertex, which all were held against) of several components.
+
+    n is how many rows there are, main the component of most of them; n_left and n_right are the blocks that rows outside
+    it and all rows make.
+    """
+    blocks = lambda n: F.ceil(n / BLOCK)
+    each = at.groupBy("band", "component").agg(F.count("*").alias("k"))
+    spans = each.groupBy("band").agg(F.max(F.struct("k", "component")).alias("main"), F.sum("k").alias("n"), F.count("*").alias("components")).where("components > 1")
+    return spans.select("band", "n", F.col("main.component").alias("main"), blocks(F.col("n") - F.col("main.k")).alias("n_left"), blocks(F.col("n")).alias("n_right"))
+
+
 def alike_pairs(first: np.ndarray, second: np.ndarray, of_first: np.ndarray, of_second: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of two blocks with at least ``need`` equal slots and other components: one for each row of the first and component.
 
