@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wirespan.llm import memo
 from wirespan.llm.bloom import suspects
 from wirespan.llm.common import SPACE, by_group, materialised, read, text_of
 from wirespan.llm.near_dedup import BASE, mixed
@@ -131,7 +132,7 @@ def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "do
     # Tasks of about as many variants each, whatever the lines' lengths.
     to_make = bodies.agg(F.coalesce(F.sum(2 * F.length("line").cast("long") + 1), F.lit(0))).first()[0]
     dealt = bodies.select("number", "line").repartition(1 + to_make // TASK_VARIANTS, "number")
-    made = dealt.mapInArrow(variants, "number bigint, role tinyint, variant bigint")
+    made = dealt.mapInArrow(memo.trimmed(variants), "number bigint, role tinyint, variant bigint")
     # Of one variant are at most as many distinct lines as a character can have values, times a line's places.
     group = Window.partitionBy("variant")
     least = lambda role: F.min(F.when(F.col("role") == role, F.col("number"))).over(group)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +15,10 @@ import pyarrow.compute as pc
 SLICE_CHARS = 1_000_000
 
 
+#: The memos of this worker.
+_memos: weakref.WeakSet = weakref.WeakSet()
+
+
 class Memo:
     """What ``encode_many`` gives for each word; a worker keeps words, none longer than LONGEST_WORD, up to ``limit`` bytes."""
 
@@ -24,6 +29,10 @@ class Memo:
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 32 << 20):
         self.encode_many, self.limit, self.known, self.held = encode_many, limit, {}, 0
+        _memos.add(self)
+
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
 
     def join(self, texts: list[list[str]]) -> list[bytes]:
         """The concatenated results of each text's words."""
@@ -55,16 +64,25 @@ def slices(column: pa.Array | list[str], most: int = SLICE_CHARS) -> Iterator[tu
 
 
 def trimmed(run: Callable) -> Callable:
-    """run (for mapInArrow), after which the worker gives the memory that it has freed back to the machine.
+    """run (for mapInArrow), before and after which the worker gives memory back to the machine: what the memos of other
+    stages hold, and what is freed.
 
     Workers are kept for later tasks, and beside those of an earlier stage the JVM may need the memory.
     """
 
     @functools.wraps(run)
     def each(batches):
+        if any(memo.held for memo in _memos):
+            for memo in _memos:
+                memo.forget()
+            _release()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
-            ctypes.CDLL(None).malloc_trim(0)
+        _release()
 
     return each
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -365,7 +365,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
         # A text goes to as many tasks as its pairs are dealt to, not to all salts.
         left = bodies.select(F.col("v").alias("a"), F.col("text").alias("a_text")).join(dealt.select("a", "salt").distinct(), "a")
         both = dealt.join(right, "b").join(left, ["a", "salt"])
-        return both.select("a", "b", "a_text", "b_text").mapInArrow(verified, "a bigint, b bigint")
+        return both.select("a", "b", "a_text", "b_text").mapInArrow(trimmed(verified), "a bigint, b bigint")
 
     similar_size = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b) * (1 - 1e-12)
     tested = links = parts = None
