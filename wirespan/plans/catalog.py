@@ -11,7 +11,7 @@ from wirespan.functions import geometry as g
 from wirespan.functions.params import DEFAULT as P
 from wirespan.operators import boxes as bx
 from wirespan.operators import drawing, fuse, graph, models, objects, search
-from wirespan.operators.cover import overlapping
+from wirespan.operators.cover import levels_of, overlapping
 from wirespan.plans import oracle
 from wirespan.plans.flows import GraphFlow, fuse_flow
 from wirespan.sources import images, scene
@@ -319,7 +319,7 @@ def model_lines(lines, boxes, signals, spark, d):
     """Lines of tiles by a table function, from the scene's lines that begin in a tile as recorded answers, moved to the picture."""
     tiles = images.tile_grid(scene.scene_images(spark, d), P.tile_size, P.scan_overlap)
     at = tiles.selectExpr("page_id", "row", "col", "x1 as tx1", "y1 as ty1", "x2 as tx2", "y2 as ty2")
-    begun = overlapping(lines, at, ("x1", "y1", "x1", "y1"), g.box("t")).where("x1 < tx2 and y1 < ty2")
+    begun = overlapping(lines, at, ("x1", "y1", "x1", "y1"), g.box("t"), levels=levels_of(at, g.box("t"))).where("x1 < tx2 and y1 < ty2")
     local = [f"({c} - t{c[0]}1) * {P.infer_size}D / (t{c[0]}2 - t{c[0]}1) as {c}" for c in g.box()]
     recorded = begun.selectExpr("page_id", "row", "col", "line_idx", *local, "case when cast(round(score * 1000) as int) % 97 != 0 then score end as score")
     found = models.recorded_lines(tiles, recorded).where(F.col("score") >= P.line_score)
