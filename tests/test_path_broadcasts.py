@@ -7,5 +7,4 @@ from tests import test_broadcasts
 
 @pytest.mark.parametrize("name", ["paths", "connections", "connections_csv", "draw_commands"])
 def test_paths_and_what_follows_do_not_broadcast(spark, monkeypatch, name):
-    monkeypatch.setattr(test_broadcasts, "SF", "/root/testdata/sf0.001")
     test_broadcasts.test_steps_do_not_broadcast(spark, monkeypatch, name)
