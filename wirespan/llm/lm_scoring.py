@@ -61,7 +61,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     white = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(white, prepend=True, append=True))
     starts, ends = edge[0::2], edge[1::2]
-    up, down = powers(max(10, len(data).bit_length()))
+    up, down = powers(len(data))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
     word = mixed((sums[ends] - sums[starts]) * down[starts]) >> np.uint64(1) | np.uint64(4)  # below 2 ** 63, and neither mark
     text = np.searchsorted(np.cumsum(sizes + 1), starts, side="right")

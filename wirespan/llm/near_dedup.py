@@ -52,8 +52,8 @@ COMMON = 0.1
 BUCKETS = 1 << 16
 #: Buckets of document frequencies, and the steps of their IDF: one of a rare shingle is so many.
 IDF_BUCKETS, IDF_STEPS = 1 << 20, 16
-#: Characters at a time where only shingles are counted.
-COUNT_CHARS = 1 << 18
+#: Characters at a time whose shingles are made; of pairs of texts twice as many, which the table of powers still covers.
+SHINGLE_CHARS = 1 << 18
 SALTS = 16
 #: Buckets of up to so many pairs to verify have them as rows; larger ones go in blocks.
 PAIRS = 1024
@@ -70,18 +70,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Fewer powers than 2 to this are never made on their own.
+#: A worker keeps so many powers, as a power of 2; longer tables are made for one call.
 POWER_BITS = 20
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for b in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))):
+        x = np.full(n, b)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x, out=x))
+    return tuple(out)
+
+
 @cache
-def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to 0, 1, ... below 2 ** bits, and the same of its inverse modulo 2 ** 64."""
-    if bits < POWER_BITS:  # a part of one table, not a table for each size
-        return tuple(x[: 1 << bits] for x in powers(POWER_BITS))
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    up = [np.concatenate([np.ones(1, np.uint64), np.full((1 << bits) - 1, b)]) for b in (BASE, inverse)]
-    return tuple(np.multiply.accumulate(x) for x in up)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(1 << POWER_BITS)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to 0, 1, ... below n at least, and the same of its inverse modulo 2 ** 64."""
+    return _kept_powers() if n <= 1 << POWER_BITS else _powers(n)
 
 
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,8 +102,12 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    up, down = powers(max(10, len(data).bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
+    up, down = powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    terms = sums[1:]
+    np.add(data, np.uint64(1), out=terms)
+    np.multiply(terms, up[: len(data)], out=terms)
+    np.cumsum(terms, out=terms)
     word = mixed((sums[ends] - sums[starts]) * down[starts])
     text = np.searchsorted(np.cumsum(lengths + 1), starts, side="right")
     count = np.bincount(text, minlength=len(texts))
@@ -228,7 +241,7 @@ def common_shingles(texts: DataFrame, n: int, words: int) -> dict[int, float]:
 
     def each(batches):
         for batch in batches:
-            for _, found in slices(batch.column("text")):
+            for _, found in slices(batch.column("text"), SHINGLE_CHARS):
                 yield shingles(found, words)[1]
 
     def buckets(batches):
@@ -266,7 +279,7 @@ def idf_table(texts: DataFrame, n: int, words: int) -> np.ndarray:
     def buckets(batches):
         counts = np.zeros(IDF_BUCKETS, np.int64)
         for batch in batches:
-            for _, found in slices(batch.column("text"), COUNT_CHARS):
+            for _, found in slices(batch.column("text"), SHINGLE_CHARS):
                 np.add.at(counts, (shingles(found, words)[1] % np.uint64(IDF_BUCKETS)).astype(np.intp), 1)
         at = np.flatnonzero(counts)
         for begin in range(0, len(at), BUCKETS):
@@ -301,7 +314,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
 
     def signatures(batches):
         for batch in batches:
-            for part, found in slices(batch.column("text")):
+            for part, found in slices(batch.column("text"), SHINGLE_CHARS):
                 size = len(found)
                 text, code, count = shingles(found, words)
                 weight = weights.value.of(code, count)
@@ -346,7 +359,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
 
     def verified(batches):
         for batch in batches:
-            for part, a in slices(batch.column("a_text")):  # of similar length are only texts that are compared
+            for part, a in slices(batch.column("a_text"), SHINGLE_CHARS):  # of similar length are only texts that are compared
                 size = len(a)
                 text, code, count = shingles([*a, *batch.column("b_text").slice(part.start, size).to_pylist()], words)
                 weight = weights.value.of(code, count)

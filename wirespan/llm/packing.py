@@ -43,7 +43,7 @@ class ByteBpe:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token[0] in "ĠĊ"]] = True
-        self.memo = Memo(self._words, 192 << 20)
+        self.memo = Memo(self._words, 96 << 20)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -101,7 +101,7 @@ def pack(docs: DataFrame, tokenizer: str, close_id: int = 0, longest: int = LONG
         bpe = byte_bpe(tokenizer)
         for batch in batches:
             ids = batch.column("doc_id")
-            for part, texts in slices(batch.column("text"), 4_000_000):
+            for part, texts in slices(batch.column("text")):
                 starts, lengths, blobs, totals, owner = [], [], [], [], []
                 for i, raw in enumerate(bpe.encode(texts), part.start):
                     raw += close

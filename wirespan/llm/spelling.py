@@ -102,7 +102,7 @@ def deletion_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     length = np.fromiter(map(len, words), np.int64, len(words))
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64)
-    up, down = powers(max(10, len(data).bit_length()))
+    up, down = powers(len(data))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
     end = np.cumsum(length)
     start = end - length
