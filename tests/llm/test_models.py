@@ -399,3 +399,26 @@ def test_page_texts_of_hosts_without_telling_names(spark):
         assert got[0][i] == f"Title {i}\n{' '.join(['Body of page %d.' % i] * 20)}\nShared by all articles."
     alone = html_text.parse(page(3))
     assert html_text.main_text(alone, html_text.wrapper_of(alone)) != got[0][3]
+
+
+def test_trigrams_of_several_blobs_are_looked_up_once(monkeypatch):
+    texts = ["a b c a b d", "a b c", "d c a b c"]
+    codes, owner = lm_scoring.tokens(texts)
+    blobs = [b for _, b in lm_scoring.Asking(1, np.zeros(0, np.uint64), {}).blobs(codes, owner, np.array([True, True, False]))]
+    base, looked, score = lm_scoring.Base(np.zeros(0, np.uint64), np.zeros(0), 11, 5), [], elias_fano.Trie.score
+    monkeypatch.setattr(elias_fano.Trie, "score", lambda self, v, times, words, u, w: looked.append(len(u)) or score(self, v, times, words, u, w))
+    whole = list(lm_scoring.answers(blobs * 3, base, 0.75))
+    assert len(set(whole)) == 1 and len(whole) == 3
+    list(lm_scoring.answers(blobs, base, 0.75))
+    assert looked[0] == looked[1] and len(looked) == 2
+    monkeypatch.setattr(elias_fano.Trie, "SCORED", 2)
+    assert list(lm_scoring.answers(blobs * 3, base, 0.75)) == whole
+
+
+@pytest.mark.parametrize("m", [50, 1 << 21])
+def test_distinct_trigrams(m):
+    """Also with so many words that a trigram is no single number."""
+    v, u, w = np.random.default_rng(5).integers(0, 6, (3, 400)) * (m // 6)
+    *grams, of, order = lm_scoring.distinct_trigrams(v, u, w, m)
+    assert list(zip(*(g.tolist() for g in grams), strict=True)) == sorted(set(zip(v.tolist(), u.tolist(), w.tolist(), strict=True)))
+    assert all((g[of] == x).all() for g, x in zip(grams, (v, u, w), strict=True)) and (np.diff(of[order]) >= 0).all()

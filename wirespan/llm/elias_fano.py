@@ -137,6 +137,8 @@ class Trie:
 
     SEQUENCES = ("tops", "words", "after", "after_at", "before", "before_at", "third", "third_at")
     BOOKS = ("after_log", "third_log", "back", "before_back")
+    #: Pairs looked up at a time, so that what is in between stays small.
+    SCORED = 1 << 17
 
     @classmethod
     def of(cls, tops: np.ndarray, words: np.ndarray, grams: tuple[np.ndarray, ...], whole: tuple[np.ndarray, ...], discount: float) -> Trie:
@@ -179,14 +181,23 @@ class Trie:
         """log10 of each w's probability after (u, v), and whether neither context knows it: then it lacks that of w alone.
 
         Each v has the next ``times`` pairs of u and w, which are places in ``words`` and sorted by u; so each v, context
-        and word is looked up once.
+        and word is looked up once. SCORED pairs are looked up at a time.
         """
         if not self.tops.n or not len(u):
             return np.zeros(len(u)), np.ones(len(u), bool)
+        known_words = self.words.find(words.astype(np.uint64))
+        run, out = np.repeat(np.arange(len(v)), times), []
+        for a in range(0, len(u), self.SCORED):
+            part = slice(a, a + self.SCORED)
+            here = run[part]
+            out.append(self._score(v[here[0] : here[-1] + 1], here - here[0], known_words, u[part], w[part]))
+        value, open_ = zip(*out, strict=True)
+        return np.concatenate(value), np.concatenate(open_)
+
+    def _score(self, v: np.ndarray, run: np.ndarray, known_words: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """score() of some pairs; ``run`` tells the place in v, ``known_words`` where the trie has each word, or -1."""
         top = self.tops.find(v)
         first, last = self._run(self.after_at, top)
-        run = np.repeat(np.arange(len(v)), times)
-        known_words = self.words.find(words.astype(np.uint64))
         word = known_words[w]
         i = top[run]
         found = np.where((i >= 0) & (word >= 0), i * self.size + word, 0).astype(np.uint64)
@@ -247,7 +258,9 @@ class Trie:
 
 
 def _summed(major: np.ndarray, minor: np.ndarray, n: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """The distinct pairs in order, with their sums of n."""
+    """The distinct pairs in order, with their sums of n; pairs that are so already stay as they are."""
+    if ((major[1:] > major[:-1]) | ((major[1:] == major[:-1]) & (minor[1:] > minor[:-1]))).all():
+        return (major, minor), n
     order = np.lexsort((minor, major))
     major, minor, n = major[order], minor[order], n[order]
     new = np.flatnonzero(np.concatenate([[True], (major[1:] != major[:-1]) | (minor[1:] != minor[:-1])])) if len(major) else np.zeros(0, np.intp)

@@ -110,15 +110,31 @@ ASKED = "u8 u4 u8 u4 u2 u4 u4 u4 u2 u2 u2 u2 u2 u8 u4 u4 u4"
 ANSWERED = "u2 f4 u2 f8 u4 u2 u4"
 
 
-def distinct_trigrams(v: np.ndarray, u: np.ndarray, w: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct trigrams of numbers below m, in order, and which of them each is."""
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order."""
+    numbers = np.sort(numbers)
+    return numbers[np.concatenate([[True], numbers[1:] != numbers[:-1]])] if len(numbers) else numbers
+
+
+def ranked(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers in order, which of them each is, and the places of all in this order."""
+    order = np.argsort(numbers)
+    numbers = numbers[order]
+    new = np.diff(numbers, prepend=-1) != 0
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return numbers[new], of, order
+
+
+def distinct_trigrams(v: np.ndarray, u: np.ndarray, w: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct trigrams of numbers below m, in order, which of them each is, and the places of all in this order."""
     v = v.astype(np.int64)
     if m < 1 << 21:
-        grams, of = np.unique((v * m + u) * m + w, return_inverse=True)
-        return grams // (m * m), grams // m % m, grams % m, of
-    context, of = np.unique(v * m + u, return_inverse=True)
-    grams, of = np.unique(of * m + w, return_inverse=True)
-    return context[grams // m] // m, context[grams // m] % m, grams % m, of
+        grams, of, order = ranked((v * m + u) * m + w)
+        return grams // (m * m), grams // m % m, grams % m, of, order
+    context, of, _ = ranked(v * m + u)
+    grams, of, order = ranked(of * m + w)
+    return context[grams // m] // m, context[grams // m] % m, grams % m, of, order
 
 
 class Asking:
@@ -144,9 +160,9 @@ class Asking:
         at = np.flatnonzero(codes != BEGIN)
         w, v, u = place[at], place[at - 1], place[np.where(codes[at - 1] == BEGIN, at - 1, at - 2)]
         texts, m = owner[at], len(words)
-        v, u, w, of = distinct_trigrams(v, u, w, m)
+        v, u, w, of, order = distinct_trigrams(v, u, w, m)
         times, learned = np.bincount(of, minlength=len(v)), np.bincount(of, train[texts], len(v)).astype(np.uint32)
-        listed = texts[np.argsort(of, kind="stable")].astype(np.uint16)
+        listed = texts[order].astype(np.uint16)
         starts = np.cumsum(times) - times
         parts = self.parts_of(words[v])
         shard = self.home(words[v], np.where(parts > 1, mixed(words[u] * BASE) % parts, 0).astype(np.uint64))
@@ -171,15 +187,21 @@ class Asking:
         rare_word, rare_text = place[at][mine], texts[mine].astype(np.uint16)
         rare_shard = self.home(words[rare_word], np.zeros(len(mine), np.uint64))
 
+        # Numbers of two bytes are sorted by their digits.
+        shard, pair_shard, rare_shard = (x.astype(np.min_scalar_type(self.shards)) for x in (shard, pair_shard, rare_shard))
         order, pair_order, rare_order = (np.argsort(x, kind="stable") for x in (shard, pair_shard, rare_shard))
+        has, rank = np.zeros(m, bool), np.empty(m, np.int64)
         ends = [np.searchsorted(x[o], np.arange(self.shards + 1)) for x, o in ((shard, order), (pair_shard, pair_order), (rare_shard, rare_order))]
         for s in range(self.shards):
             own, own_pairs, own_rare = (o[e[s] : e[s + 1]] for o, e in zip((order, pair_order, rare_order), ends, strict=True))
             if not len(own) and not len(own_pairs) and not len(own_rare):
                 continue
             new = np.flatnonzero(np.diff(v[own], prepend=-1))
-            codebook, number = np.unique(np.concatenate([u[own], w[own]]), return_inverse=True)
-            halves = [half for x in (number[: len(own)], number[len(own) :]) for half in (x.astype(np.uint16), (x >> 16).astype(np.uint16))]
+            us, ws = u[own], w[own]
+            has[us] = has[ws] = True
+            codebook = np.flatnonzero(has)
+            has[codebook], rank[codebook] = False, np.arange(len(codebook))
+            halves = [half for x in (rank[us], rank[ws]) for half in (x.astype(np.uint16), (x >> 16).astype(np.uint16))]
             k = times[own]
             lists = listed[np.arange(k.sum()) + np.repeat(starts[own] - (np.cumsum(k) - k), k)]
             first = np.flatnonzero(np.diff(rare_word[own_rare], prepend=-1))
@@ -198,7 +220,7 @@ def mapped(trie: Trie) -> Trie:
     with tempfile.TemporaryFile() as f:
         f.write(trie.to_bytes())
         f.flush()
-        return Trie.from_buffer(np.memmap(f, np.uint8, mode="r"))
+        return Trie.from_buffer(np.memmap(f, np.uint8, mode="r").view(np.ndarray))  # slices of a memmap cost more than those of an array
 
 
 class Base:
@@ -237,40 +259,43 @@ def answers(blobs: list[bytes], base: Base, discount: float) -> Iterator[bytes]:
         return a
 
     asked = [opened(b) for b in blobs]
+    joined = lambda k: np.concatenate([a[k] for a in asked])
     number = lambda low, high: low.astype(np.int64) | high.astype(np.int64) << 16
-    pairs = lambda a: (number(a[8], a[9]), number(a[10], a[11]))
-    words = np.unique(np.concatenate([*(a[5] for a in asked), *(a[16] for a in asked)]))
-    tops = np.unique(np.concatenate([x for a in asked for x in (np.repeat(a[0], a[1])[a[6] > 0], a[13])]))
-
-    def learned(a) -> tuple[np.ndarray, ...]:
-        had, place = a[6] > 0, np.searchsorted(words, a[5])
-        u, w = pairs(a)
-        return np.repeat(np.searchsorted(tops, a[0]), a[1])[had], place[u[had]], place[w[had]], a[6][had].astype(np.int64)
-
-    def split(a) -> tuple[np.ndarray, ...]:
-        return np.repeat(np.searchsorted(tops, a[13]), a[14]), np.searchsorted(words, a[16]), a[15].astype(np.int64)
-
-    gathered = lambda parts: tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-    bigrams = merged_bigrams(*gathered(split(a) for a in asked))
-    trie = mapped(Trie.of(tops, words, gathered(learned(a) for a in asked), bigrams, discount))
-    del words, tops, asked
-    for a in map(opened, blobs):
-        u, w = pairs(a)
-        value, open_ = trie.score(a[0], a[1], a[5], u, w)
-        texts, k = a[12].astype(np.intp), a[7]
-        hit, logs = (x[w] for x in base.known_short(a[5]))
-        value = value + np.where(open_, logs * hit - base.norm, 0.0)
-        sums = np.bincount(texts, np.repeat(value, k))
-        there = np.unique(texts)
-        lost = np.repeat(open_ & ~hit, k)
-        seen = trie.seen(a[2])
-        rare = a[4].astype(np.intp)
-        counts = np.repeat(seen, a[3])
-        rare_there = np.unique(rare)
+    words = distinct(np.concatenate([joined(5), joined(16)]))
+    heads = distinct(np.concatenate([joined(0), joined(13)]))
+    places = [np.searchsorted(words, a[5]) for a in asked]
+    u, w = (np.concatenate([p[number(a[k], a[k + 1])] for a, p in zip(asked, places, strict=True)]) for k in (8, 10))
+    v = np.concatenate([np.repeat(np.searchsorted(heads, a[0]), a[1]) for a in asked])
+    del places
+    # What several blobs ask is made and looked up once.
+    v, u, w, of, _ = distinct_trigrams(v, u, w, max(len(heads), len(words)))
+    n = np.bincount(of, joined(6), len(v)).astype(np.int64)
+    whole_v, whole_w = np.repeat(np.searchsorted(heads, joined(13)), joined(14)), np.searchsorted(words, joined(16))
+    bigrams = merged_bigrams(whole_v, whole_w, joined(15).astype(np.int64))
+    had = n > 0
+    learned = np.zeros(len(heads), bool)
+    learned[v[had]] = learned[bigrams[0]] = True
+    top = np.cumsum(learned) - 1
+    trie = mapped(Trie.of(heads[learned], words, (top[v[had]], u[had], w[had], n[had]), (top[bigrams[0]], *bigrams[1:]), discount))
+    kept = [(a[7], a[12], a[3], a[4]) for a in asked]
+    seen = np.split(trie.seen(joined(2)), np.cumsum([len(a[2]) for a in asked])[:-1])
+    of = np.split(of.astype(np.int32), np.cumsum([len(a[6]) for a in asked])[:-1])
+    del asked, n, had, bigrams, whole_v, whole_w
+    new = np.flatnonzero(np.diff(v, prepend=-1))
+    value, open_ = trie.score(heads[v[new]], np.diff(new, append=len(v)), words, u, w)
+    hit, logs = base.known_short(words)
+    value = value + np.where(open_, (logs * hit)[w] - base.norm, 0.0)
+    lost, word = open_ & ~hit[w], words[w]
+    del v, u, w, open_
+    for (k, texts, times, rare), counts, grams in zip(kept, seen, of, strict=True):
+        sums, there = np.bincount(texts, np.repeat(value[grams], k)), np.flatnonzero(np.bincount(texts))
+        late = np.repeat(lost[grams], k)
+        counts = np.repeat(counts, times)
+        rare_there = np.flatnonzero(np.bincount(rare))
         yield pack(
             *(there.astype(np.uint16), sums[there].astype(np.float32)),
             *(rare_there.astype(np.uint16), np.bincount(rare, np.log10(counts + 1.0))[rare_there], np.bincount(rare, counts > 0)[rare_there].astype(np.uint32)),
-            *(texts[lost].astype(np.uint16), np.repeat(a[5][w], k)[lost]),
+            *(texts[late].astype(np.uint16), np.repeat(word[grams], k)[late]),
         )
 
 
