@@ -49,18 +49,19 @@ def draw_commands(lines: DataFrame, boxes: DataFrame, signals: DataFrame, connec
     corners = ("x1", "y1", "x2", "y2")
     box_color = F.when(F.col("kind") == "device", "blue").when(F.col("kind") == "ground", "green").otherwise("red")
     entry_color = F.when(F.col("kind") == "device", "cyan").when(F.col("kind") == "ground", "yellow").otherwise("magenta")
-    numbered = connections.select("page_id", "path_jids", "signal")
-    steps = numbered.select("page_id", "path_jids", "signal", F.posexplode("path_jids").alias("pos", "jid")).join(nodes.select("page_id", "jid", "x", "y"), ["page_id", "jid"])
+    steps = connections.select("page_id", "path_jids", "signal", F.posexplode("path_jids").alias("pos", "jid")).join(nodes.select("page_id", "jid", "x", "y"), ["page_id", "jid"])
     order = Window.partitionBy("page_id", "path_jids").orderBy("pos")
-    segments = steps.withColumn("ex", F.lead("x").over(order)).withColumn("ey", F.lead("y").over(order)).where("ex is not null")
-    middle = steps.where("pos = size(path_jids) div 2")
+    steps = steps.withColumn("ex", F.lead("x").over(order)).withColumn("ey", F.lead("y").over(order))
+    # Both shapes of a step from one row, as two uses of the steps would find all connections twice.
+    drawn = lambda z, kind, cs, text: F.struct(F.lit(z).alias("z"), F.lit(kind).alias("shape"), *at(*cs), F.lit("red").alias("color"), text.alias("text"))
+    segment = F.when(F.col("ex").isNotNull(), drawn(4, "line", ("x", "y", "ex", "ey"), none))
+    middle = F.when(F.expr("pos = size(path_jids) div 2"), drawn(5, "text", ("x", "y", "x", "y"), F.coalesce(F.nullif("signal", F.lit("")), F.lit("?"))))
     parts = [
         shape(lines, 0, "line", corners, F.lit("purple"), none),
         shape(signals, 1, "box", corners, F.lit("orange"), F.col("raw_text")),
         shape(boxes, 2, "box", corners, box_color, F.col("raw_text")),
         shape(entries, 3, "dot", ("x", "y", "x", "y"), entry_color, none),
-        shape(segments, 4, "line", ("x", "y", "ex", "ey"), F.lit("red"), none),
-        shape(middle, 5, "text", ("x", "y", "x", "y"), F.lit("red"), F.coalesce(F.nullif("signal", F.lit("")), F.lit("?"))),
+        steps.select("page_id", F.inline(F.array_compact(F.array(segment, middle)))),
     ]
     out = parts[0]
     for part in parts[1:]:
